@@ -46,3 +46,11 @@ def ascii_lower(text: Column) -> Column:
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id`` and ``text`` (null: empty) of ``docs``, and the columns named in ``more``; other columns are left out."""
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
+
+
+def small_batches(batches, size: int = 4 << 20):
+    """Arrow batches cut so that each holds about ``size`` bytes, and one row at least."""
+    for batch in batches:
+        n = max(1, batch.num_rows * size // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, n):
+            yield batch.slice(at, n)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tarn.llm import tokens
-from tarn.llm.common import texts, written
+from tarn.llm.common import small_batches, texts, written
 
 #: Patterns fitted at most: the grid of third lengths gets coarser until they are so few.
 MAX_PATTERNS = 60_000
@@ -53,7 +53,7 @@ def token_pieces(docs: DataFrame, *, vocabulary: str, capacity: int = 2048, end_
 
     def cut(batches):
         encoder = tokens.library_encoder(vocabulary)
-        for batch in batches:
+        for batch in small_batches(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids, start = encoder.encode(text) + tail, 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import exact_dedup, packing, records
+from tarn.llm import exact_dedup, packing, pii, records, sp_bpe
 from tarn.llm.tokens import vocabulary
 
 
@@ -26,7 +26,16 @@ def op6_content_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op2_nnls_packing, op6_content_sort_dedup)}
+def op7_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
+def op8_sentencepiece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sp_bpe.encoded(table(spark, sf_dir, "documents"), vocabulary=vocabulary("byte_bpe_multi_50k.tiktoken"))
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_records, op2_nnls_packing, op6_content_sort_dedup, op7_pii_boosting, op8_sentencepiece_bpe)}
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.llm import tokens
-from tarn.llm.common import fresh_path, texts
+from tarn.llm.common import fresh_path, small_batches, texts
 
 HEAD, ENTRY, PAYLOAD = struct.Struct("<QI"), struct.Struct("<qQQ"), struct.Struct("<Bq")
 MASK_DELTA = 0xA282EAD8
@@ -73,7 +73,7 @@ def write_records(docs: DataFrame, path: str, *, vocabulary: str, end_id: int |
 
     def encode(batches):
         encoder, offset = tokens.library_encoder(vocabulary), 0
-        for batch in batches:
+        for batch in small_batches(batches):
             data, index = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data.append(framed(doc_id, encoder.encode(text) + tail))
