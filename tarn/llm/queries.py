@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import exact_dedup, packing, pii, records, sp_bpe
+from tarn.llm import exact_dedup, packing, pii, probminhash, records, sp_bpe
 from tarn.llm.tokens import vocabulary
 
 
@@ -22,6 +22,10 @@ def op2_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 def op6_content_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op8_sentencepiece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op2_nnls_packing, op6_content_sort_dedup, op7_pii_boosting, op8_sentencepiece_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_records, op2_nnls_packing, op3_probminhash, op6_content_sort_dedup, op7_pii_boosting, op8_sentencepiece_bpe)}
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
