@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import exact_dedup, packing, pii, probminhash, records, sp_bpe
+from tarn.llm import cotraining, exact_dedup, packing, pii, probminhash, records, sp_bpe
 from tarn.llm.tokens import vocabulary
 
 
@@ -39,7 +39,11 @@ def op8_sentencepiece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op2_nnls_packing, op3_probminhash, op6_content_sort_dedup, op7_pii_boosting, op8_sentencepiece_bpe)}
+def op9_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_records, op2_nnls_packing, op3_probminhash, op6_content_sort_dedup, op7_pii_boosting, op8_sentencepiece_bpe, op9_cotraining)}
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
