@@ -5,9 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 
 @dataclass
 class Boosted:
@@ -28,14 +25,20 @@ class Boosted:
         a, b = self.scale
         return 1 / (1 + np.exp(-(a * self.margin(x) + b)))
 
-    def column(self, features: list[Column]) -> Column:
-        """The calibrated probability over columns of doubles."""
-        total = F.lit(self.bias)
+    def sql(self, features: list[str]) -> str:
+        """The calibrated probability as SQL over expressions of doubles."""
+        each = [f"{self.bias!r}D"]
         for (f, c), left, right in self.trees:
-            sides = [F.when(features[g] <= d, low).otherwise(high) for g, d, low, high in (left, right)]
-            total = total + F.when(features[f] <= c, sides[0]).otherwise(sides[1])
+            low, high = (f"if({features[g]} <= {d!r}D, {a!r}D, {b!r}D)" for g, d, a, b in (_finite(left), _finite(right)))
+            each.append(f"if({features[f]} <= {c!r}D, {low}, {high})")
         a, b = self.scale
-        return 1 / (1 + F.exp(-(total * a + b)))
+        return f"(1 / (1 + exp(-(({' + '.join(each)}) * {a!r}D + {b!r}D))))"
+
+
+def _finite(side: tuple) -> tuple:
+    """A side without a split has an infinite cut, which SQL has no number for: the largest double does as well."""
+    g, d, a, b = side
+    return g, min(d, 1.7e308), a, b
 
 
 def _split(x, g, h, rows, cuts, ridge):
@@ -64,6 +67,7 @@ def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 30, rate: float = 0.3, rid
         p = 1 / (1 + np.exp(-margin))
         g, h = p - y, p * (1 - p)
         _, f, c, _, _ = _split(x, g, h, every, cuts, ridge)
+        c = min(c, 1.7e308)
         sides = []
         for rows in (x[:, f] <= c, x[:, f] > c):
             _, f2, c2, low, high = _split(x, g, h, rows, cuts, ridge)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.common import ascii_lower, texts, written
+from tarn.llm.common import ascii_lower, written
 
 #: Characters of the text that a splitter holds at most. Splitters only deal rows out; the comparison is of whole texts.
 SPLITTER_CHARS = 64
@@ -20,11 +20,12 @@ def _sorted_groups(docs: DataFrame, *carried: str) -> DataFrame:
     ``place`` 1 is the largest document id of its group, ``n`` the group's rows.
     """
     salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    norm = texts(docs, *carried).withColumn("__norm", ascii_lower(F.col("text"))).drop(*[] if "text" in carried else ["text"])
-    keyed = norm.withColumns(
-        {"__head": F.substring("__norm", 1, SPLITTER_CHARS), "__hash": F.xxhash64("__norm"), "__salt": F.pmod(F.xxhash64("doc_id"), F.lit(salts)), "__sha": F.sha2("__norm", 256)}
-    )
-    dealt = keyed.repartitionByRange("__head", "__hash", "__salt")
+    norm = ascii_lower(F.coalesce("text", F.lit("")))
+    # Where the text is carried its normalised form is made anew behind the exchange, not sent as well.
+    sent = [] if "text" in carried else [norm.alias("__norm")]
+    keys = [F.substring(norm, 1, SPLITTER_CHARS).alias("__head"), F.xxhash64(norm).alias("__hash"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("__salt")]
+    dealt = docs.select("doc_id", *carried, *sent, *keys).repartitionByRange("__head", "__hash", "__salt")
+    dealt = dealt.withColumn("__norm", F.col("__norm") if sent else norm).withColumn("__sha", F.sha2("__norm", 256))
     group = Window.partitionBy("__head", "__hash", "__salt", "__norm")
     placed = dealt.withColumn("__place", F.row_number().over(group.orderBy(F.desc("doc_id")))).withColumn("__n", F.count(F.lit(1)).over(group.orderBy(F.desc("doc_id")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     return placed.drop("__norm", "__head", "__hash")
@@ -59,6 +60,6 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     Only texts that more than one salt has can lose their first row to another group, so an anti-join takes those few away.
     """
     columns = [c for c in docs.columns if c != "doc_id"]
-    groups = written(_sorted_groups(docs, *columns), "exact-rows")
+    groups = written(_sorted_groups(docs, *columns).where("__place = 1"), "exact-rows")
     lost = _decided(groups.select("doc_id", "__sha", "__salt", "__place", "__n")).where("__salt != keep_salt").select("__sha", "__salt")
-    return groups.where("__place = 1").join(lost, ["__sha", "__salt"], "left_anti").select(*docs.columns)
+    return groups.join(lost, ["__sha", "__salt"], "left_anti").select(*docs.columns)

@@ -157,9 +157,14 @@ def _passes(kind: str):
     return lambda s: _valid(kind, s["match"])
 
 
-def _selected(model: boosting.Boosted, generator: str, kind: str, cut: float):
-    """Whether a candidate reaches its threshold and is apart from all base spans."""
-    return lambda s: (model.column(_features(generator, kind, s)) >= cut) & ~F.exists(F.col("__base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+def _with_features(generator: str, kind: str):
+    return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), *(x.alias(n) for x, n in zip(_features(generator, kind, s), FEATURES, strict=True)))
+
+
+def _selected(model: boosting.Boosted, generator: str, cut: float) -> Column:
+    """The candidates that reach their threshold and are apart from all base spans."""
+    score = model.sql([f"s.{n}" for n in FEATURES])
+    return F.expr(f"filter(__{generator}, s -> {score} >= {cut!r}D and not exists(__base, b -> b.start < s.end and s.start < b.end))")
 
 
 def _of_kind(kind: str, found: Column) -> Column:
@@ -177,7 +182,8 @@ def _spans(spark: SparkSession, docs: DataFrame, *carried: str) -> DataFrame:
     for generator, (kind, pattern, need) in MORE.items():
         if cuts[kind] == float("inf"):
             continue
-        more.append(_of_kind(kind, F.filter(_found(F.col("__text"), pattern, need), _selected(model, generator, kind, cuts[kind]))))
+        out = out.withColumn(f"__{generator}", F.transform(_found(F.col("__text"), pattern, need), _with_features(generator, kind)))
+        more.append(_of_kind(kind, _selected(model, generator, cuts[kind])))
     return out.withColumn("__all", F.array_sort(F.array_distinct(F.concat("__base", *more))))
 
 
