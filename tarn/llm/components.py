@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.llm.common import written
 
+#: Members of a bucket that are compared with all others in one round.
+BLOCK = 32
+
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, comp`` for every node of ``edges`` (``a, b``): comp is the smallest node of its component.
@@ -29,3 +34,43 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before, now = state, new
     return new.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(new.select(F.col("b"), F.col("b")).distinct())
+
+
+def ordered(a: Column | str, b: Column | str) -> list[Column]:
+    """Two nodes as ``a`` and ``b``, the smaller first."""
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def bucket_components(members: DataFrame, links_of: Callable[[DataFrame], DataFrame], block: int = BLOCK) -> DataFrame:
+    """``node, comp`` of the graph of all links between nodes that share a bucket; ``links_of`` takes pairs (``a, b``) and returns the true ones.
+
+    ``members`` (``key, node``) says who is in which bucket, and is read in every round, so give a written table. A bucket's
+    members are first compared with its smallest. Where they aren't then one component, those outside the bucket's
+    largest component are compared, ``block`` by block, with all that are in another one, until no such pair of any bucket is
+    left: every link between two components has an end outside the largest. No bucket is capped, none expanded into all its pairs.
+    """
+    hubs = members.groupBy("key").agg(F.min("node").alias("hub"))
+    pairs = members.join(hubs, "key").where("node != hub").select(*ordered("node", "hub")).distinct()
+    links = written(links_of(pairs), "links")
+    comps = written(components(links), "comps")
+    done = None
+    while True:
+        named = members.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+        mixed = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
+        open_ = written(named.join(mixed, "key"), "open")
+        sizes = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+        largest = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top")).select("key", F.col("top.comp").alias("top"))
+        rest = open_.join(largest, "key").where("comp != top").select("key", "node", "comp")
+        if done is not None:
+            rest = rest.join(done, ["key", "node"], "left_anti")
+        ranked = rest.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("node"))).where(F.col("rank") <= block)
+        pivots = written(ranked.select("key", F.col("node").alias("pivot"), F.col("comp").alias("own")), "pivots")
+        if pivots.isEmpty():
+            return comps
+        more = pivots.join(open_, "key").where("comp != own").select(*ordered("node", "pivot")).distinct()
+        new = written(links_of(more), "links")
+        used = pivots.select("key", F.col("pivot").alias("node"))
+        done = used if done is None else done.union(used)
+        if not new.isEmpty():
+            links = links.union(new)
+            comps = written(components(links), "comps")

@@ -6,9 +6,8 @@ holds. Two texts agree in a register with the probability Jaccard similarity of
 Texts that agree in all registers of a band are candidates, and a candidate pair is a link when the plain Jaccard similarity of
 the two sets of shingles reaches the threshold.
 
-Texts of the same words are one node. A bucket's members are first compared with one of them. Where they aren't then one
-component, the members outside the bucket's largest component are compared, block by block, with all that are in another
-component, until no such pair of any bucket is left. So no bucket is capped and none expanded into all its pairs.
+Texts of the same words are one node. ``bucket_components`` compares the members of buckets without expanding any into all its
+pairs, and loses no link between candidates.
 """
 
 from __future__ import annotations
@@ -18,18 +17,16 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from tarn.llm import shingles
 from tarn.llm.common import small_batches, texts, written
-from tarn.llm.components import components
+from tarn.llm.components import bucket_components
 
 #: Bands and registers in each. At a similarity of 0.8 a pair is missed with a probability of 3 in 100 000, at 0.9 of 1 in 10**9.
 BANDS, ROWS = 20, 4
-#: Members of a bucket that are compared with all others in one round.
-BLOCK = 32
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -124,10 +121,6 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return full.where(F.col("both") >= threshold * (F.col("na") + F.col("nb") - F.col("both")) - 1e-9).select("a", "b")
 
 
-def _ordered(a: Column | str, b: Column | str) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
 def near_groups(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """A row for each row of ``docs``: ``doc_id, class_id, class_size``, and ``node``, the hash of its words.
 
@@ -139,34 +132,11 @@ def near_groups(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8) ->
     base = written(_signed(docs, shingle), "signed")
     nodes = written(base.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("rows")), "nodes")
     banded = nodes.where("doc_id is not null").select("node", F.explode("keys").alias("key"))
-    hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
-    members = written(banded.join(hubs, "key"), "members")
-    pairs = members.where("node != hub").select(*_ordered("node", "hub")).distinct()
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    members = written(banded.join(shared, "key"), "members")
     wanted = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
     sets = written(_sets(docs, wanted, shingle), "sets")
-    links = written(_links(pairs, sets, threshold), "links")
-    comps = written(components(links), "comps")
-    done = None
-    while True:
-        named = members.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        mixed = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
-        open_ = written(named.join(mixed, "key"), "open")
-        sizes = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-        largest = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top")).select("key", F.col("top.comp").alias("top"))
-        rest = open_.join(largest, "key").where("comp != top").select("key", "node", "comp")
-        if done is not None:
-            rest = rest.join(done, ["key", "node"], "left_anti")
-        ranked = rest.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("node"))).where(F.col("rank") <= BLOCK)
-        pivots = written(ranked.select("key", F.col("node").alias("pivot"), F.col("comp").alias("own")), "pivots")
-        if pivots.isEmpty():
-            break
-        more = pivots.join(open_, "key").where("comp != own").select(*_ordered("node", "pivot")).distinct()
-        new = written(_links(more, sets, threshold), "links")
-        used = pivots.select("key", F.col("pivot").alias("node"))
-        done = used if done is None else done.union(used)
-        if not new.isEmpty():
-            links = links.union(new)
-            comps = written(components(links), "comps")
+    comps = bucket_components(members, lambda pairs: _links(pairs, sets, threshold))
     of = nodes.select("node", "doc_id", "rows").join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "doc_id", "rows")
     classes = of.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.sum("rows").alias("class_size"))
     named = of.select("node", "comp").join(classes, "comp").select("node", "class_id", "class_size")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import cotraining, exact_dedup, packing, pii, probminhash, records, sp_bpe
+from tarn.llm import chat, cotraining, exact_dedup, licenses, packing, pii, probminhash, records, sp_bpe, spotsigs
 from tarn.llm.tokens import vocabulary
 
 
@@ -26,6 +26,14 @@ def op3_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
+def op4_perspective_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
+def op5_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_content_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -43,11 +51,29 @@ def op9_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op2_nnls_packing, op3_probminhash, op6_content_sort_dedup, op7_pii_boosting, op8_sentencepiece_bpe, op9_cotraining)}
+def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_token_records,
+    op2_nnls_packing,
+    op3_probminhash,
+    op4_perspective_chat,
+    op5_license_dice,
+    op6_content_sort_dedup,
+    op7_pii_boosting,
+    op8_sentencepiece_bpe,
+    op9_cotraining,
+    op10_spotsigs,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
+    "op4_perspective_chat": chat.ORACLE_SQL,
+    "op5_license_dice": licenses.oracle_sql(),
     "op6_content_sort_dedup": f"""
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                row_number() OVER (PARTITION BY norm ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(norm) AS text_sha256
