@@ -1,12 +1,13 @@
-"""Getting this package to the executors."""
+"""Getting this package to the executors, and tables to the folder that all of them share."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -26,3 +27,19 @@ def ship(spark: SparkSession) -> None:
                     out.write(full, os.path.relpath(full, os.path.dirname(here)))
     context.addPyFile(path)
     _SHIPPED.add(context.applicationId)
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` as the session names it; one of this machine only where it names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        named = "file://" + os.path.join(tempfile.gettempdir(), "tarn-checkpoints")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it again: its lineage is cut, and what is used twice is made once."""
+    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
