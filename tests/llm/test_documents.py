@@ -1,0 +1,261 @@
+import hashlib
+import re
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tarn.llm import chat, common, cotraining, exact_dedup, licenses, pii, probminhash, spotsigs
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sha string, node string, key long"
+BASE = "the quick brown fox jumps over the lazy dog and runs into the deep green forest where it finds a small river that flows to the sea of stones"
+
+
+def frame(spark, texts, first=0):
+    rows = [(first + i if not isinstance(t, tuple) else t[0], t if not isinstance(t, tuple) else t[1], "en", f"s{i % 3}", None, "x", "y", 1) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def sample(spark):
+    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+
+
+ODD = ["", None, "A b", "a B", "a b", "É b", "é b", (5, "a b"), (None, "a b"), (None, "alone"), (None, "alone"), "x" * 20000]
+
+
+def test_exact_groups(spark):
+    docs = frame(spark, ODD)
+    got = exact_dedup.exact_groups(docs).collect()
+    rows = docs.collect()
+    norm = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    groups = defaultdict(list)
+    for r in rows:
+        groups[hashlib.sha256(norm(r.text).encode()).hexdigest()].append(r.doc_id)
+    assert len(got) == len(rows)
+    for sha, ids in groups.items():
+        own = [r for r in got if r.text_sha256 == sha]
+        keep = max((i for i in ids if i is not None), default=None)
+        assert {(r.keep_id, r.group_size) for r in own} == {(keep, len(ids))}
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in own) == sorted((i is None, i or 0) for i in ids)
+        assert [r.doc_id for r in own if r.kept] == [keep]
+    assert exact_dedup.exact_groups(docs.limit(0)).count() == 0
+
+
+def test_drop_copies_keeps_columns(spark):
+    docs = frame(spark, ODD)
+    got = exact_dedup.drop_copies(docs)
+    assert got.columns == docs.columns
+    texts = [(t[1] if isinstance(t, tuple) else t) or "" for t in ODD]
+    assert got.count() == len({t if "É" in t else t.lower() for t in texts})
+
+
+def test_hot_copies_meet_across_salts(spark):
+    docs = frame(spark, ["same text"] * 500 + [f"text {i}" for i in range(50)])
+    got = exact_dedup.exact_groups(docs)
+    assert got.where("group_size = 500").count() == 500 and got.where("kept").count() == 51
+    assert exact_dedup.drop_copies(docs).where("text = 'same text'").collect()[0].doc_id == 499
+
+
+def truth(rows, threshold=0.8):
+    sets = {}
+    for r in rows:
+        w = (r.text or "").lower().split()
+        sets[r.doc_id] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+    holders = defaultdict(set)
+    for d, s in sets.items():
+        for x in s:
+            holders[x].add(d)
+    up = {d: d for d in sets}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    empty = [d for d, s in sets.items() if not s]
+    pairs = [(a, empty[0]) for a in empty]
+    for d, s in sets.items():
+        shared = defaultdict(int)
+        for x in s:
+            for e in holders[x]:
+                shared[e] += 1
+        pairs += [(d, e) for e, k in shared.items() if k / (len(s) + len(sets[e]) - k) >= threshold]
+    for a, b in pairs:
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    return {d: top(d) for d in sets}
+
+
+def test_near_groups_match_all_pairs(spark, sample):
+    got = {r.doc_id: r.class_id for r in probminhash.near_groups(sample).collect()}
+    assert got == truth(sample.collect())
+
+
+def test_near_groups_of_a_large_group(spark):
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(120):
+        words = list(base)
+        words[int(rng.integers(200))] = f"new{i}"
+        texts.append(" ".join(words))
+    docs = frame(spark, [*texts, "", None, "one two", "one two", (None, "one two"), (None, "no one else")])
+    got = probminhash.near_groups(docs).collect()
+    assert len(got) == 126
+    want = truth([r for r in docs.collect() if r.doc_id is not None])
+    assert all(r.class_id == want[r.doc_id] for r in got if r.doc_id is not None)
+    assert probminhash.drop_near_copies(docs).columns == docs.columns
+    assert sorted((r.doc_id is None, r.doc_id) for r in probminhash.drop_near_copies(docs).select("doc_id").collect())[:3] == [(False, 0), (False, 120), (False, 122)]
+    assert probminhash.near_groups(docs.limit(0)).count() == 0
+
+
+def test_registers_estimate_probability_jaccard():
+    rng = np.random.default_rng(0)
+    e = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    a, b = e[:200], e[50:250]
+    m = 1024
+    same = (probminhash.signature(a, np.ones(200), m) == probminhash.signature(b, np.ones(200), m)).mean()
+    assert abs(same - 150 / 250) < 0.06
+    w = np.ones(200)
+    w[:100] = 5.0
+    other = (probminhash.signature(a, w, m) == probminhash.signature(a, np.ones(200), m)).mean()
+    exact = sum(1 / np.maximum(w / w[i], np.ones(200)).sum() for i in range(200))
+    assert abs(other - exact) < 0.06
+
+
+PII = ["", None, "a@b.c@d.e", "x a@b.com_x@d.org y", "1.2.3.4.5.6.7.8.9", "300.1.1.1 001.2.3.0255 1.2.3", "4111 1111 1111 1111 4111111111111111", "4111-1111-1111-1111x", "+1 (743) 555-3824 and +12 3", "é😀 a.b@c-d.ef 10.0.0.1", "1" * 20000, "a" * 20000 + "@", "+1" + " " * 5000 + "2", "a@b..c a@-.-", "9.9.9.9 " * 300]
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            good = {"email": lambda: True, "ip": lambda: all(int(x) <= 255 for x in m[0].split(".")), "card": lambda d=digits: 16 <= len(d) <= 19 and luhn(d), "phone": lambda d=digits: 8 <= len(d) <= 15}[kind]()
+            if good:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_pii_spans(spark, sample):
+    docs = frame(spark, PII).select("doc_id", "text").union(sample.select(F.col("doc_id") + 1000, "text"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = pii.find_pii(docs).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        spans = base_spans(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in spans) for k in PATTERNS]
+        assert {f"{k}:{a}:{b}" for k, a, b in spans} <= set(r.spans.split(","))
+    assert pii.find_pii(docs.limit(0)).count() == 0
+
+
+def test_pii_candidates_and_redaction(spark):
+    docs = frame(spark, ["call (743) 555-3824 now", "isbn 743 555 3824", "mail a@b.cd, ip 1.2.3.4!", None, "nothing"])
+    found = {r.doc_id: r.spans for r in pii.find_pii(docs).collect()}
+    assert found[0] == "phone:5:19" and found[1] == ""
+    got = {r.doc_id: (r.text, r.n_chars) for r in pii.redact(docs).collect()}
+    assert pii.redact(docs).columns == docs.columns
+    assert got[0][0] == "call [PHONE] now" and got[2] == ("mail [EMAIL], ip [IP]!", 22)
+    assert got[3] == (None, None) and got[4][0] == "nothing"
+
+
+def test_fingerprints(spark, sample):
+    docs = frame(spark, ["", None, "the cat sat on the mat of the old house", "the cat sat on the mat of the old house", (None, "of all the things in the world"), "q " * 5000], 10**6).select("doc_id", "text", "key").union(sample.select("doc_id", "text", F.lit(1).cast("long")))
+    rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in docs.collect()))
+    got = sorted(spotsigs.fingerprints(docs).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
+    common_words = set(spotsigs.ANCHORS.split())
+
+    def signs(text):
+        words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
+        content, out, k = [w for w in words if w not in common_words], set(), 0
+        for i, w in enumerate(words):
+            if w in common_words:
+                p = i - k
+                k += 1
+                if p + 1 < len(content):
+                    out.add((w, content[p], content[p + 1]))
+        return out
+
+    like = lambda a, b, same: 1.0 if same else len(a & b) / len(a | b) if a | b else 0.0
+    for i, ((there, doc_id, text), r) in enumerate(zip(rows, got, strict=True)):
+        after = rows[(i + 1) % len(rows)][2]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        assert (r.doc_id, r.n_chars, r.edited_sha256) == (doc_id if there else None, len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert r.near_edited == pytest.approx(like(signs(text), signs(edited), text == edited))
+        assert r.near_next == pytest.approx(like(signs(text), signs(after), text == after))
+    assert spotsigs.fingerprints(docs.limit(0)).count() == 0
+    assert spotsigs.fingerprints(docs.limit(1)).collect()[0].near_next == 1.0
+
+
+def test_fingerprints_across_buckets(spark, sample, monkeypatch):
+    want = {r.doc_id: r.edited_sha256 for r in spotsigs.fingerprints(sample).collect()}
+    monkeypatch.setattr(spotsigs, "ROWS_TOGETHER", 10)
+    assert {r.doc_id: r.edited_sha256 for r in spotsigs.fingerprints(sample).collect()} == want
+
+
+def test_alike_groups(spark):
+    words = [f"w{i}" for i in range(120)]
+    text = " ".join(w if i % 3 else f"the {w}" for i, w in enumerate(words))
+    docs = frame(spark, [text, text + " end", text.replace("w7 ", "new "), " ".join(f"the x{i} y{i}" for i in range(50)), "", None])
+    got = {r.doc_id: r.class_id for r in spotsigs.alike_groups(docs).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5}
+
+
+def test_licenses(spark):
+    mit = next(t for n, t in licenses.TEMPLATES if len(t) > 300)
+    docs = frame(spark, ["", None, "prose\nReleased under the MIT License.\nmore prose", mit.upper(), "one", "Licensed under the Apache License, Version 2.0.\n" * 3, "the license of the dog", "word " * 5000])
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
+    assert (got[2].license, got[2].dice, got[2].unit, got[2].found) == ("MIT", 1.0, 2, "MIT")
+    assert (got[3].license, got[3].dice, got[3].unit) == ("MIT", 1.0, 0)
+    assert got[5].license == "Apache-2.0"
+    assert all(got[i].license == "" and got[i].unit == -1 for i in (0, 1, 4, 6, 7))
+    assert licenses.scan_licenses(docs.limit(0)).count() == 0
+
+
+def test_chat(spark):
+    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 3, "ann", "bye"), (1, None, None, "?"), (2, 0, "system", "alone"), (None, 0, "ann", "lost"), (3, 700, "ann", "late"), (3, 2, "ann", "soon"), (3, 2, "ann", "soon")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.perspectives(turns)
+    assert got.count() == 3 * 5 + 3
+    whole = {(r.conv_id, r.perspective): r for r in chat.assembled(got).collect()}
+    ann = whole[1, "ann"]
+    assert ann.text.startswith("<|im_start|>user name=unknown\n?<|im_end|>\n<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi")
+    assert [ann.text[s.start : s.end] for s in ann.spans] == ["<|im_start|>assistant\nhi<|im_end|>\n", "<|im_start|>assistant\nbye<|im_end|>\n"]
+    assert "user name=bob" in ann.text and "user name=ann" in whole[1, "bob"].text
+    assert [whole[3, "ann"].text[s.start : s.end].split("\n")[1] for s in whole[3, "ann"].spans] == ["soon<|im_end|>", "soon<|im_end|>", "late<|im_end|>"]
+    assert chat.perspectives(turns.limit(0)).count() == 0
+
+
+def test_quality_on_held_out_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    split = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3))
+    model = cotraining.fit_quality(docs, labels.where(split > 0))
+    held = cotraining.score_quality(docs, model).join(labels.where(split == 0), "doc_id").toPandas()
+    assert ((held.kept) == (held.quality == 1)).mean() > 0.93
+    assert held[held.quality == 1].kept.mean() > 0.97
+
+
+def test_quality_edges(spark):
+    docs = frame(spark, ["", None, "fine words here", (None, "no id"), (2, "again")])
+    labels = spark.createDataFrame([(0, 1), (1, None), (99, 0), (None, 0)], "doc_id long, quality int")
+    model = cotraining.fit_quality(docs, labels)
+    got = cotraining.score_quality(docs, model).collect()
+    assert len(got) == 5 and all(r.score == 1.0 and r.kept for r in got)
+    kept = cotraining.keep_good(docs, model)
+    assert kept.columns == docs.columns and kept.count() == 5
+    assert cotraining.quality(docs.limit(0), labels).count() == 0
+    assert cotraining.score_quality(docs.select("doc_id", "text"), model).count() == 5
+
+
+def test_shared_folder_is_the_session_s(spark):
+    assert common.work_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
