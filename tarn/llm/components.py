@@ -41,35 +41,52 @@ def ordered(a: Column | str, b: Column | str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def bucket_components(members: DataFrame, links_of: Callable[[DataFrame], DataFrame], block: int = BLOCK) -> DataFrame:
-    """``node, comp`` of the graph of all links between nodes that share a bucket; ``links_of`` takes pairs (``a, b``) and returns the true ones.
+def shared_sizes(sets: DataFrame) -> DataFrame:
+    """``node, n, s``: a node's items, and those that any other node of ``sets`` (``node, items``) has too. One exchange of the items, no join back."""
+    each = sets.select("node", F.explode("items").alias("item"))
+    alone = each.groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
+    return sets.select("node", F.size("items").alias("n")).join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s"))
 
-    ``members`` (``key, node``) says who is in which bucket, and is read in every round, so give a written table. A bucket's
-    members are first compared with its smallest. Where they aren't then one component, those outside the bucket's
-    largest component are compared, ``block`` by block, with all that are in another one, until no such pair of any bucket is
-    left: every link between two components has an end outside the largest. No bucket is capped, none expanded into all its pairs.
+
+def bucket_components(members: DataFrame, sets: DataFrame, links_of: Callable[[DataFrame], DataFrame], threshold: float, block: int = BLOCK) -> DataFrame:
+    """``node, comp`` of the graph of all links between nodes that share a bucket: pairs whose sets have a Jaccard similarity of ``threshold``.
+
+    ``members`` (``key, node``) says who is in which bucket, ``sets`` (``node, items``) what each holds, ``links_of`` takes pairs (``a, b``) and
+    returns the links. Both tables are read in every round, so give written ones. A bound that loses no link goes first: two sets
+    share at most what either shares with any set at all, so a node with many items of its own can't link to anything of its size.
+
+    A bucket's members are first compared with the one that shares the most. Where they aren't then one component, those outside the
+    bucket's largest component are compared, ``block`` by block, with all that are in another one, until no such pair of any
+    bucket is left: every link between two components has an end outside the largest. No bucket is capped, none expanded into all its pairs.
     """
-    hubs = members.groupBy("key").agg(F.min("node").alias("hub"))
-    pairs = members.join(hubs, "key").where("node != hub").select(*ordered("node", "hub")).distinct()
-    links = written(links_of(pairs), "links")
+    slack = 1e-9
+    bounds = shared_sizes(sets).where(F.col("s") >= threshold * F.col("n") - slack)
+    known = members.join(bounds, "node")
+    least = known.groupBy("key").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("many")).where("many > 1").select("key", "least")
+    able = F.col("s") >= threshold * (F.col("n") + F.greatest("least", "s") - F.col("s")) - slack
+    members = written(known.join(least, "key").where(able).select("key", "node", "n", "s"), "able")
+    near = lambda a, b: F.least(f"{a}.s", f"{b}.s") * (1 + threshold) >= threshold * (F.col(f"{a}.n") + F.col(f"{b}.n")) - slack
+    hubs = members.groupBy("key").agg(F.max(F.struct((F.col("s") / F.col("n")).alias("share"), "node", "n", "s")).alias("h")).select(F.col("key").alias("hub_key"), "h.node", "h.n", "h.s")
+    first = members.alias("m").join(hubs.alias("h"), (F.col("m.key") == F.col("hub_key")) & (F.col("m.node") != F.col("h.node")) & near("m", "h"))
+    links = written(links_of(first.select(*ordered("m.node", "h.node")).distinct()), "links")
     comps = written(components(links), "comps")
     done = None
     while True:
-        named = members.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+        named = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         mixed = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
         open_ = written(named.join(mixed, "key"), "open")
-        sizes = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-        largest = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top")).select("key", F.col("top.comp").alias("top"))
-        rest = open_.join(largest, "key").where("comp != top").select("key", "node", "comp")
+        sizes = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("many"))
+        largest = sizes.groupBy("key").agg(F.max(F.struct("many", "comp")).alias("top")).select("key", F.col("top.comp").alias("top"))
+        rest = open_.join(largest, "key").where("comp != top")
         if done is not None:
             rest = rest.join(done, ["key", "node"], "left_anti")
         ranked = rest.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("node"))).where(F.col("rank") <= block)
-        pivots = written(ranked.select("key", F.col("node").alias("pivot"), F.col("comp").alias("own")), "pivots")
+        pivots = written(ranked.select("key", "node", "n", "s", "comp"), "pivots")
         if pivots.isEmpty():
             return comps
-        more = pivots.join(open_, "key").where("comp != own").select(*ordered("node", "pivot")).distinct()
-        new = written(links_of(more), "links")
-        used = pivots.select("key", F.col("pivot").alias("node"))
+        both = pivots.alias("p").join(open_.alias("m"), (F.col("p.key") == F.col("m.key")) & (F.col("p.comp") != F.col("m.comp")) & near("p", "m"))
+        new = written(links_of(both.select(*ordered("p.node", "m.node")).distinct()), "links")
+        used = pivots.select("key", "node")
         done = used if done is None else done.union(used)
         if not new.isEmpty():
             links = links.union(new)

@@ -81,7 +81,7 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``node, n, items`` (sorted distinct 32-bit shingle hashes) of the nodes in ``wanted`` (``node, doc_id``)."""
+    """``node, items`` (sorted distinct 32-bit shingle hashes) of the nodes in ``wanted`` (``node, doc_id``)."""
 
     def run(batches):
         for batch in small_batches(batches, 1 << 20):
@@ -91,18 +91,17 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 own = words[a:b]
                 if hashlib.blake2b(own, digest_size=16).digest() == node:
                     nodes.append(node)
-                    items.append(np.unique(shingles.shingle_hashes(own, size).astype(np.uint32)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([len(i) for i in items], pa.int64()), pa.array([i.tobytes() for i in items], pa.binary())], ["node", "n", "items"])
+                    items.append(np.unique(shingles.shingle_hashes(own, size).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(items, pa.list_(pa.int32()))], ["node", "items"])
 
     rows = texts(docs).join(wanted, "doc_id").select("node", "text")
-    return rows.mapInArrow(run, "node binary, n long, items binary").dropDuplicates(["node"])
+    return rows.mapInArrow(run, "node binary, items array<int>").dropDuplicates(["node"])
 
 
 def common(left: pd.Series, right: pd.Series) -> pd.Series:
-    """How many items two sorted arrays of 32-bit hashes share."""
+    """How many items two sorted arrays of integers share."""
     out = []
-    for a, b in zip(left, right, strict=True):
-        x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    for x, y in zip(left, right, strict=True):
         if len(x) > len(y):
             x, y = y, x
         at = np.searchsorted(y, x)
@@ -111,14 +110,10 @@ def common(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (``a, b``) whose Jaccard similarity reaches the threshold. Set sizes, which bound it, prune first."""
-    sizes = sets.select("node", "n")
-    near = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    near = near.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    one = sets.select(F.col("node").alias("a"), F.col("items").alias("ia"))
-    two = sets.select(F.col("node").alias("b"), F.col("items").alias("ib"))
-    full = near.join(one, "a").join(two, "b").withColumn("both", F.pandas_udf(common, LongType())("ia", "ib"))
-    return full.where(F.col("both") >= threshold * (F.col("na") + F.col("nb") - F.col("both")) - 1e-9).select("a", "b")
+    """The pairs (``a, b``) whose Jaccard similarity reaches the threshold."""
+    one, two = (sets.select(F.col("node").alias(c), F.col("items").alias(f"i{c}")) for c in "ab")
+    full = pairs.join(one, "a").join(two, "b").withColumn("both", F.pandas_udf(common, LongType())("ia", "ib"))
+    return full.where(F.col("both") >= threshold * (F.size("ia") + F.size("ib") - F.col("both")) - 1e-9).select("a", "b")
 
 
 def near_groups(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -136,7 +131,7 @@ def near_groups(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8) ->
     members = written(banded.join(shared, "key"), "members")
     wanted = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
     sets = written(_sets(docs, wanted, shingle), "sets")
-    comps = bucket_components(members, lambda pairs: _links(pairs, sets, threshold))
+    comps = bucket_components(members, sets, lambda pairs: _links(pairs, sets, threshold), threshold)
     of = nodes.select("node", "doc_id", "rows").join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "doc_id", "rows")
     classes = of.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.sum("rows").alias("class_size"))
     named = of.select("node", "comp").join(classes, "comp").select("node", "class_id", "class_size")

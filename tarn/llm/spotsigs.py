@@ -138,7 +138,7 @@ def alike_groups(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
         full = pairs.join(one, "a").join(two, "b").where(F.least(F.size("sa"), F.size("sb")) >= threshold * F.greatest(F.size("sa"), F.size("sb")))
         return full.where(likeness("sa", "sb", F.lit(False)) >= threshold - 1e-9).select("a", "b")
 
-    comps = bucket_components(members, links)
+    comps = bucket_components(members, sets.select("node", F.col("signs").alias("items")), links, threshold)
     named = rows.select("doc_id", "node", "signs").join(comps, "node", "left").select("doc_id", "signs", F.coalesce("comp", "node").alias("comp"))
     real = F.col("doc_id").isNotNull() & (F.size("signs") > 0)
     classes = named.where(real).groupBy("comp").agg(F.min("doc_id").alias("class_id"))
