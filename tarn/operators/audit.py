@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarn.runtime import written
+
 
 def differences(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
     """Rows that only one of two products has, with ``side``."""
@@ -46,11 +48,12 @@ def match_lakes(cells: DataFrame, tree: DataFrame, levels: DataFrame, *, toleran
     samples and all above them; a candidate's pool is what its subtree holds at or under the lake's level, but no higher than the basin holds water.
     The best is the candidate of the greatest overlap over union, the smaller node among equals. Trees are climbed a generation a round.
     """
+    tree, cells = written(tree, "tree"), written(cells, "labelled")
     up = tree.where("node > 0 and parent > 0").select("node", "parent")
-    pairs = tree.where("node > 0").select(F.col("node").alias("under"), F.col("node").alias("node"))
-    now = pairs
+    now = written(tree.where("node > 0").select(F.col("node").alias("under"), "node"), "above")
+    pairs = now
     while not now.isEmpty():
-        now = now.join(up, "node").select("under", F.col("parent").alias("node"))
+        now = written(now.join(up, "node").select("under", F.col("parent").alias("node")), "above")
         pairs = pairs.union(now)
     known = levels.where("level is not null")
     mask = cells.where("lake_id > 0").join(known, "lake_id")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tarn.bindings import lattice, lines, rivers, sql, table
 from tarn.functions import codecs, hydraulics
-from tarn.operators import flow, hierarchy, lakes, profiles, spatial, stencil
+from tarn.operators import audit, beds, flow, hierarchy, lakes, measures, paths, profiles, shores, spatial, stencil
 from tarn.operators import rivers as river_ops
 from tarn.plans.lattice import GridPlan
+from tarn.sources import features
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -618,3 +619,143 @@ def lake_statistics(spark, sf_dir):
     own = cells.where("lake_id > 0").groupBy("lake_id").agg(F.count(F.lit(1)).alias("samples"), F.min("h").alias("low"), F.max("h").alias("high"))
     got = own.join(lakes.interior_levels(cells), "lake_id", "left").join(lakes.ring_percentiles(cells, {"p25": 0.25}).select("lake_id", "p25"), "lake_id", "left")
     return got.select("lake_id", "samples", "low", "high", F.coalesce(F.round("estimate", 3), F.lit(-1.0)).alias("estimate"), F.coalesce(F.round("p25", 3), F.lit(-1.0)).alias("shore"))
+
+
+_CHORD = ", ch AS (SELECT seg_id, ord, coalesce(lead(x) OVER w, x) - coalesce(lag(x) OVER w, x) AS dx, coalesce(lead(y) OVER w, y) - coalesce(lag(y) OVER w, y) AS dy FROM lines WINDOW w AS (PARTITION BY seg_id ORDER BY ord))"
+
+
+@query(sql(_CHORD + " SELECT seg_id, ord, round(-dy / sqrt(dx * dx + dy * dy), 6) AS nx, round(dx / sqrt(dx * dx + dy * dy), 6) AS ny FROM ch WHERE dx <> 0 OR dy <> 0", "lines"))
+def vertex_normals(spark, sf_dir):
+    return measures.normals(lines(spark, sf_dir)).where("nx is not null").select("seg_id", "ord", F.round("nx", 6).alias("nx"), F.round("ny", 6).alias("ny"))
+
+
+@query(
+    sql(
+        """, st AS (SELECT seg_id, ord, x - lag(x) OVER w AS ax, y - lag(y) OVER w AS ay, lead(x) OVER w - x AS bx, lead(y) OVER w - y AS bb FROM lines WINDOW w AS (PARTITION BY seg_id ORDER BY ord))
+    SELECT seg_id, ord, round(coalesce(2.0::DOUBLE * atan2(ax * bb - ay * bx, ax * bx + ay * bb) / (sqrt(ax * ax + ay * ay) + sqrt(bx * bx + bb * bb)), 0), 6) AS curvature FROM st""",
+        "lines",
+    )
+)
+def line_curvature(spark, sf_dir):
+    return measures.curvature(lines(spark, sf_dir)).select("seg_id", "ord", F.round("curvature", 6).alias("curvature"))
+
+
+@query()
+def geometry_hash(spark, sf_dir):
+    return measures.geometry_hash(lines(spark, sf_dir))
+
+
+@query(
+    """WITH i AS (SELECT event_id AS id, user_id AS reach, floor(value)::BIGINT AS lo, floor(value)::BIGINT + event_id % 4 + 1 AS hi FROM events),
+    f AS (SELECT *, max(hi) OVER (PARTITION BY reach ORDER BY lo, hi, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM i)
+    SELECT id, reach, (sum(CASE WHEN far IS NULL OR lo >= far THEN 1 ELSE 0 END) OVER (PARTITION BY reach ORDER BY lo, hi, id ROWS UNBOUNDED PRECEDING) - 1)::BIGINT AS "group" FROM f"""
+)
+def overlap_groups(spark, sf_dir):
+    low = F.floor("value")
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("reach"), low.alias("lo"), (low + F.col("event_id") % 4 + 1).alias("hi"))
+    return measures.overlap_groups(rows).select("id", "reach", F.col("group").cast("long").alias("group"))
+
+
+@query(
+    """WITH c AS (SELECT c_nationkey AS label, c_custkey AS j, floor(c_acctbal)::BIGINT AS aa, (c_custkey % 100)::DOUBLE AS value FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey, floor(c_acctbal) ORDER BY c_custkey DESC) = 1),
+    p AS (SELECT s_suppkey AS id, s_nationkey AS label, floor(s_acctbal)::BIGINT AS z FROM supplier),
+    a AS (SELECT id, arg_max(value, aa) AS v, max(aa) AS aa FROM p JOIN c ON c.label = p.label AND aa <= z GROUP BY id), b AS (SELECT id, arg_min(value, aa) AS v, min(aa) AS aa FROM p JOIN c ON c.label = p.label AND aa >= z GROUP BY id)
+    SELECT p.id, round(CASE WHEN a.aa = z THEN a.v ELSE coalesce(a.v + (b.v - a.v) * ((z - a.aa) / (b.aa - a.aa)), a.v, b.v) END, 6) AS value FROM p LEFT JOIN a USING (id) LEFT JOIN b USING (id) WHERE coalesce(a.v, b.v) IS NOT NULL"""
+)
+def curve_lookup(spark, sf_dir):
+    curves = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("label"), F.col("c_custkey").alias("j"), F.floor("c_acctbal").alias("at"), (F.col("c_custkey") % 100).alias("value"))
+    points = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("label"), F.floor("s_acctbal").alias("z"))
+    return measures.curve_values(points, curves).where("value is not null").select("id", F.round("value", 6).alias("value"))
+
+
+@query(
+    """SELECT c_custkey AS seg_id, CASE WHEN c_custkey % 7 = 0 THEN 12.5 WHEN c_custkey % 4 = 2 THEN least(c_custkey % 30, 3) WHEN c_custkey % 4 = 3 THEN least(greatest(c_custkey % 30, 3), 15) ELSE c_custkey % 30 END::DOUBLE AS width FROM customer"""
+)
+def class_widths(spark, sf_dir):
+    key = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(key.alias("seg_id"), F.lit(0).alias("ord"), (key % 30).cast("double").alias("width"), (key % 4).alias("width_class"), F.when(key % 7 == 0, 12.5).alias("measured"))
+    return measures.class_widths(rows).select("seg_id", "width")
+
+
+@query("""SELECT c_custkey AS branch, round((1 + c_custkey % 7) * (1 + c_custkey % 7)::DOUBLE / ((10 + c_nationkey) * (10 + c_nationkey) + sum((1 + c_custkey % 7) * (1 + c_custkey % 7)) OVER (PARTITION BY c_nationkey)), 9) AS share FROM customer""")
+def side_channel_shares(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("branch"), F.col("c_nationkey").alias("reach"), (1 + F.col("c_custkey") % 7).cast("double").alias("width"), (10 + F.col("c_nationkey")).cast("double").alias("stem_width"))
+    return beds.side_channel_shares(rows).select("branch", F.round("share", 9).alias("share"))
+
+
+@query(
+    sql(
+        """ SELECT a.seg_id, CASE WHEN b.seg_id IS NULL THEN 'no such segment' WHEN a.downstream = a.seg_id THEN 'its own downstream' ELSE 'less discharge downstream' END AS error FROM rivers a LEFT JOIN rivers b ON b.seg_id = a.downstream
+    WHERE a.downstream IS NOT NULL AND (b.seg_id IS NULL OR a.downstream = a.seg_id OR b.area_km2 < a.area_km2) UNION ALL SELECT seg_id, 'unknown lake' FROM rivers WHERE unit NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 4)""",
+        "rivers",
+    )
+)
+def referential_checks(spark, sf_dir):
+    seg = rivers(spark, sf_dir).withColumn("discharge", F.col("area_km2"))
+    known = table(spark, sf_dir, "nation").where("n_regionkey < 4").select(F.col("n_nationkey").alias("lake_id"))
+    return audit.check_links(seg, seg.select("seg_id", F.col("unit").alias("lake_id")), known)
+
+
+@query()
+def calibration_sweep(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("lake_id"), (F.col("l_quantity") / 50).alias("q"), (F.col("l_discount") * 100 + 1).alias("depth"), F.lit(12.0).alias("reach"))
+    return measures.calibration(rows)
+
+
+@query()
+def shore_parts(spark, sf_dir):
+    cells, sy, sx = lattice(spark, sf_dir)
+    return shores.split_shores(cells, _levels(cells), sy, sx, 5.0, shores.ShoreRules(plane_m=2e6, flat_m=1e6, edge_drop_m=1e5, island_m=1e6))
+
+
+@query()
+def lake_bed_ramp(spark, sf_dir):
+    cells, _, sx = lattice(spark, sf_dir)
+    return beds.lake_ramp(cells, sx, 5.0)
+
+
+@query()
+def river_trench(spark, sf_dir):
+    cells, _, _ = lattice(spark, sf_dir)
+    centre = cells.where("kind = 1 and col % 3 = 0").select("row", "col", F.col("h").cast("double").alias("level"), F.lit(50000.0).alias("depth"), F.lit(10.0).alias("half_width"))
+    return beds.carve_rivers(cells, centre, 2, 5.0, tolerance_m=1e6)
+
+
+@query()
+def river_mouths(spark, sf_dir):
+    spans, _ = _spans(spark, sf_dir)
+    cells, _, _ = lattice(spark, sf_dir)
+    vertices = cells.select(F.col("row").alias("seg_id"), F.col("col").alias("ord"), F.col("h").alias("bed"), F.when(F.col("lake_id") > 0, F.col("h")).alias("surface"), F.lit(6.0).alias("width"), F.lit(5e6).alias("order_depth"))
+    return beds.mouths(vertices, spans)
+
+
+@query()
+def world_noise(spark, sf_dir):
+    cells, _, _ = lattice(spark, sf_dir)
+    return cells.select("row", "col", beds.noise(F.col("col") * 5.0, F.col("row") * 5.0, wavelength_m=400, octaves=5).alias("noise"))
+
+
+@query()
+def graded_tails(spark, sf_dir):
+    rows = _shaped(spark, sf_dir).select(F.col("seg_id").cast("long").alias("seg_id"), "ord", F.col("shaped").alias("surface"), F.lit(3.0).alias("along"), F.lit(100.0).alias("junction"), F.lit(300.0).alias("most"))
+    return paths.grade_tails(rows)
+
+
+@query()
+def snapped_offsets(spark, sf_dir):
+    rows = lines(spark, sf_dir).select(F.col("seg_id").cast("long").alias("seg_id"), "ord", F.lit(3.0).alias("along"), F.transform(F.sequence(F.lit(-5), F.lit(5)), lambda k: F.abs(k - F.col("z") % 11 + 5).cast("double")).alias("costs"))
+    return paths.snap_lines(rows)
+
+
+@query()
+def lake_matches(spark, sf_dir):
+    cells, _, sx = lattice(spark, sf_dir)
+    named = hierarchy.labels(cells.withColumn("grid", F.lit(0))).select("row", "col", "label").join(cells, ["row", "col"]).select("label", "lake_id", F.col("code").cast("double").alias("h"))
+    tree = hierarchy.nodes(cells.withColumn("grid", F.lit(0))).select("node", "parent", F.col("spill_code").cast("double").alias("spill_m"), F.lit(0.0).alias("head"))
+    levels = cells.where("lake_id > 0").groupBy("lake_id").agg(F.avg("code").alias("level")).withColumn("regulated", F.lit(False))
+    return audit.match_lakes(named, tree, levels)
+
+
+@query()
+def feature_geojson(spark, sf_dir):
+    return features.to_geojson(lines(spark, sf_dir))

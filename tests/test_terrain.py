@@ -254,3 +254,22 @@ def test_rivers(spark):
     assert {(r.seg_id, r.ord, r.z) for r in rivers.orient(up).collect()} == {(1, 0, 30.0), (1, 1, 0.0), (2, 0, 0.0), (2, 1, 30.0)}
     line = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 3.0, 4.0), (1, 2, 3.0, 4.0)], "seg_id int, ord int, x double, y double")
     assert [(r.x, r.y) for r in rivers.densify(line, 2.5).orderBy("ord", "step").collect()] == [(0, 0), (1.5, 2), (3, 4)]
+
+
+def test_measures(spark):
+    from tarn.operators import measures
+
+    line = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 10.0, 0.0), (1, 2, 10.0, 10.0)], "seg_id int, ord int, x double, y double")
+    n = {r.ord: (r.nx, r.ny) for r in measures.normals(line).collect()}
+    assert n[0] == (0, 1) and n[1] == pytest.approx((-(0.5**0.5), 0.5**0.5))
+    assert [r.curvature for r in measures.curvature(line).orderBy("ord").collect()] == pytest.approx([0, np.pi / 20, 0])
+    back = line.withColumn("ord", 2 - F.col("ord"))
+    assert measures.geometry_hash(line).first().hash != measures.geometry_hash(back).first().hash
+    spans = spark.createDataFrame([(1, 1, 0, 5), (2, 1, 4, 9), (3, 1, 9, 12), (4, 2, 0, 1), (5, 1, 1, 2)], "id long, reach int, lo int, hi int")
+    assert {r.id: r.group for r in measures.overlap_groups(spans).collect()} == {1: 0, 2: 0, 3: 1, 4: 0, 5: 0}
+    curve = spark.createDataFrame([(1, 0, 0.0, 1.0), (1, 1, 10.0, 3.0), (1, 2, 10.0, 7.0), (1, 3, 20.0, 8.0)], "label int, j int, at double, value double")
+    points = spark.createDataFrame([(1, 1, -5.0), (2, 1, 5.0), (3, 1, 10.0), (4, 1, 15.0), (5, 1, 99.0)], "id long, label int, z double")
+    assert {r.id: r.value for r in measures.curve_values(points, curve).collect()} == {1: 1.0, 2: 2.0, 3: 7.0, 4: 7.5, 5: 8.0}
+    q = [(lake, i / 10, 10 * 0.6 * (1 - np.exp(-0.9 * i / 10 / 0.6)), 10.0) for lake in (1, 2) for i in range(1, 10)]
+    best = measures.calibration(spark.createDataFrame([(a, b, float(c), d) for a, b, c, d in q], "lake_id int, q double, depth double, reach double")).first()
+    assert (best.k, best.b, best.scale) == (0.9, 0.6, 1.0) and best.objective < 1e-9
