@@ -64,7 +64,9 @@ def bucket_components(members: DataFrame, sets: DataFrame, links_of: Callable[[D
     known = members.join(bounds, "node")
     least = known.groupBy("key").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("many")).where("many > 1").select("key", "least")
     able = F.col("s") >= threshold * (F.col("n") + F.greatest("least", "s") - F.col("s")) - slack
-    members = written(known.join(least, "key").where(able).select("key", "node", "n", "s"), "able")
+    kept = written(known.join(least, "key").where(able).select("key", "node", "n", "s"), "kept")
+    # A node's buckets are few: with their list, a pair is made only in the first bucket that both are in.
+    members = written(kept.join(kept.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys")), "node"), "able")
     near = lambda a, b: F.least(f"{a}.s", f"{b}.s") * (1 + threshold) >= threshold * (F.col(f"{a}.n") + F.col(f"{b}.n")) - slack
     hubs = members.groupBy("key").agg(F.max(F.struct((F.col("s") / F.col("n")).alias("share"), "node", "n", "s")).alias("h")).select(F.col("key").alias("hub_key"), "h.node", "h.n", "h.s")
     first = members.alias("m").join(hubs.alias("h"), (F.col("m.key") == F.col("hub_key")) & (F.col("m.node") != F.col("h.node")) & near("m", "h"))
@@ -81,10 +83,10 @@ def bucket_components(members: DataFrame, sets: DataFrame, links_of: Callable[[D
         if done is not None:
             rest = rest.join(done, ["key", "node"], "left_anti")
         ranked = rest.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("node"))).where(F.col("rank") <= block)
-        pivots = written(ranked.select("key", "node", "n", "s", "comp"), "pivots")
+        pivots = written(ranked.select("key", "node", "n", "s", "comp", "keys"), "pivots")
         if pivots.isEmpty():
             return comps
-        both = pivots.alias("p").join(open_.alias("m"), (F.col("p.key") == F.col("m.key")) & (F.col("p.comp") != F.col("m.comp")) & near("p", "m"))
+        both = pivots.alias("p").join(open_.alias("m"), (F.col("p.key") == F.col("m.key")) & (F.col("p.comp") != F.col("m.comp")) & near("p", "m") & (F.get(F.array_intersect("p.keys", "m.keys"), F.lit(0)) == F.col("p.key")))
         new = written(links_of(both.select(*ordered("p.node", "m.node")).distinct()), "links")
         used = pivots.select("key", "node")
         done = used if done is None else done.union(used)
