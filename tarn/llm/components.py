@@ -41,11 +41,22 @@ def ordered(a: Column | str, b: Column | str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+#: Parts that a node's shared items are counted in, by their remainder.
+PARTS = 32
+
+
 def shared_sizes(sets: DataFrame) -> DataFrame:
-    """``node, n, s``: a node's items, and those that any other node of ``sets`` (``node, items``) has too. One exchange of the items, no join back."""
+    """``node, n, s, parts``: a node's items, those that any other node of ``sets`` (``node, items``) has too, and how many of these lie in each of ``PARTS`` parts.
+
+    The items are exchanged once; counts are partial before any other exchange.
+    """
+    part = F.pmod("item", F.lit(PARTS)).alias("part")
     each = sets.select("node", F.explode("items").alias("item"))
-    alone = each.groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
-    return sets.select("node", F.size("items").alias("n")).join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s"))
+    alone = each.groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1")
+    counts = each.groupBy("node", part).agg(F.count(F.lit(1)).alias("k")).union(alone.groupBy("node", part).agg((-F.count(F.lit(1))).alias("k")))
+    of = counts.groupBy("node", "part").agg(F.sum("k").alias("k")).groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("part", "k"))).alias("m"), F.sum("k").alias("s"))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda p: F.coalesce(F.col("m")[p], F.lit(0)).cast("int"))
+    return sets.select("node", F.size("items").alias("n")).join(of.select("node", "s", parts.alias("parts")), "node")
 
 
 def bucket_components(members: DataFrame, sets: DataFrame, links_of: Callable[[DataFrame], DataFrame], threshold: float, block: int = BLOCK) -> DataFrame:
@@ -53,7 +64,8 @@ def bucket_components(members: DataFrame, sets: DataFrame, links_of: Callable[[D
 
     ``members`` (``key, node``) says who is in which bucket, ``sets`` (``node, items``) what each holds, ``links_of`` takes pairs (``a, b``) and
     returns the links. Both tables are read in every round, so give written ones. A bound that loses no link goes first: two sets
-    share at most what either shares with any set at all, so a node with many items of its own can't link to anything of its size.
+    share at most what either shares with any set at all, counted part by part, so a node with many items of its own can't link to
+    anything of its size.
 
     A bucket's members are first compared with the one that shares the most. Where they aren't then one component, those outside the
     bucket's largest component are compared, ``block`` by block, with all that are in another one, until no such pair of any
@@ -64,11 +76,17 @@ def bucket_components(members: DataFrame, sets: DataFrame, links_of: Callable[[D
     known = members.join(bounds, "node")
     least = known.groupBy("key").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("many")).where("many > 1").select("key", "least")
     able = F.col("s") >= threshold * (F.col("n") + F.greatest("least", "s") - F.col("s")) - slack
-    kept = written(known.join(least, "key").where(able).select("key", "node", "n", "s"), "kept")
+    kept = written(known.join(least, "key").where(able).select("key", "node", "n", "s", "parts"), "kept")
     # A node's buckets are few: with their list, a pair is made only in the first bucket that both are in.
     members = written(kept.join(kept.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys")), "node"), "able")
-    near = lambda a, b: F.least(f"{a}.s", f"{b}.s") * (1 + threshold) >= threshold * (F.col(f"{a}.n") + F.col(f"{b}.n")) - slack
-    hubs = members.groupBy("key").agg(F.max(F.struct((F.col("s") / F.col("n")).alias("share"), "node", "n", "s")).alias("h")).select(F.col("key").alias("hub_key"), "h.node", "h.n", "h.s")
+
+    def near(a: str, b: str) -> Column:
+        """Whether two nodes may reach the threshold: part by part they share at most the fewer of their shared items."""
+        both = F.aggregate(F.zip_with(f"{a}.parts", f"{b}.parts", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+        most = threshold * (F.col(f"{a}.n") + F.col(f"{b}.n")) - slack
+        return (F.least(f"{a}.s", f"{b}.s") * (1 + threshold) >= most) & (both * (1 + threshold) >= most)
+
+    hubs = members.groupBy("key").agg(F.max(F.struct((F.col("s") / F.col("n")).alias("share"), "node", "n", "s", "parts")).alias("h")).select(F.col("key").alias("hub_key"), "h.node", "h.n", "h.s", "h.parts")
     first = members.alias("m").join(hubs.alias("h"), (F.col("m.key") == F.col("hub_key")) & (F.col("m.node") != F.col("h.node")) & near("m", "h"))
     links = written(links_of(first.select(*ordered("m.node", "h.node")).distinct()), "links")
     comps = written(components(links), "comps")
@@ -83,7 +101,7 @@ def bucket_components(members: DataFrame, sets: DataFrame, links_of: Callable[[D
         if done is not None:
             rest = rest.join(done, ["key", "node"], "left_anti")
         ranked = rest.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("node"))).where(F.col("rank") <= block)
-        pivots = written(ranked.select("key", "node", "n", "s", "comp", "keys"), "pivots")
+        pivots = written(ranked.select("key", "node", "n", "s", "parts", "comp", "keys"), "pivots")
         if pivots.isEmpty():
             return comps
         both = pivots.alias("p").join(open_.alias("m"), (F.col("p.key") == F.col("m.key")) & (F.col("p.comp") != F.col("m.comp")) & near("p", "m") & (F.get(F.array_intersect("p.keys", "m.keys"), F.lit(0)) == F.col("p.key")))
