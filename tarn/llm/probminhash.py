@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from tarn.llm import shingles
 from tarn.llm.common import small_batches, texts, written
@@ -81,7 +81,10 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``node, items`` (sorted distinct 32-bit shingle hashes) of the nodes in ``wanted`` (``node, doc_id``)."""
+    """``node, items`` (sorted distinct 32-bit shingle hashes) of the nodes in ``wanted`` (``node, doc_id``).
+
+    A node with a ``doc_id`` is found by it. Rows without one have no other key, so all of them are hashed, and those wanted stay.
+    """
 
     def run(batches):
         for batch in small_batches(batches, 1 << 20):
@@ -89,13 +92,29 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             nodes, items = [], []
             for node, a, b in zip(batch.column(0).to_pylist(), edges, edges[1:], strict=False):
                 own = words[a:b]
-                if hashlib.blake2b(own, digest_size=16).digest() == node:
-                    nodes.append(node)
+                found = hashlib.blake2b(own, digest_size=16).digest()
+                if node is None or found == node:
+                    nodes.append(found)
                     items.append(np.unique(shingles.shingle_hashes(own, size).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(items, pa.list_(pa.int32()))], ["node", "items"])
 
-    rows = texts(docs).join(wanted, "doc_id").select("node", "text")
-    return rows.mapInArrow(run, "node binary, items array<int>").dropDuplicates(["node"])
+    made = "node binary, items array<int>"
+    named = texts(docs).join(wanted.where("doc_id is not null"), "doc_id").select("node", "text").mapInArrow(run, made)
+    bare = texts(docs).where("doc_id is null").select(F.lit(None).cast("binary").alias("node"), "text").mapInArrow(run, made)
+    return named.union(bare.join(wanted.where("doc_id is null").select("node"), "node", "left_semi")).dropDuplicates(["node"])
+
+
+def _with_node(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__node``, the hash of a row's words."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in small_batches(batches):
+            words, edges = shingles.word_hashes([t or "" for t in batch.column(at).to_pylist()])
+            nodes = [hashlib.blake2b(words[a:b], digest_size=16).digest() for a, b in zip(edges, edges[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary())], [*batch.schema.names, "__node"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__node", BinaryType())]))
 
 
 def common(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -116,39 +135,44 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return full.where(F.col("both") >= threshold * (F.size("ia") + F.size("ib") - F.col("both")) - 1e-9).select("a", "b")
 
 
-def near_groups(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
-    """A row for each row of ``docs``: ``doc_id, class_id, class_size``, and ``node``, the hash of its words.
-
-    ``class_id`` is the smallest ``doc_id`` of all texts that links join, ``class_size`` their rows. A null text is an empty one;
-    texts without words are one class, and texts under ``shingle`` words have one shingle. A row without ``doc_id`` is in the
-    class of texts of the same words; texts that only such rows have link to no other. Repeated rows are copies. Other columns
-    of ``docs`` are not used. An empty table gives none.
-    """
+def _grouped(docs: DataFrame, shingle: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` as ``doc_id, node``, and for each node ``node, comp, doc_id`` (its smallest, if any) and ``rows``."""
     base = written(_signed(docs, shingle), "signed")
     nodes = written(base.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("rows")), "nodes")
-    banded = nodes.where("doc_id is not null").select("node", F.explode("keys").alias("key"))
+    banded = nodes.select("node", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = written(banded.join(shared, "key"), "members")
     wanted = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
     sets = written(_sets(docs, wanted, shingle), "sets")
     comps = bucket_components(members, sets, lambda pairs: _links(pairs, sets, threshold), threshold)
-    of = nodes.select("node", "doc_id", "rows").join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "doc_id", "rows")
+    return base.select("doc_id", "node"), nodes.select("node", "doc_id", "rows").join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "doc_id", "rows")
+
+
+def near_groups(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+    """A row for each row of ``docs``: ``doc_id, class_id, class_size``, and ``node``, the hash of its words.
+
+    ``class_id`` is the smallest ``doc_id`` of all texts that links join, ``class_size`` their rows. A null text is an empty one;
+    texts without words are one class, and texts under ``shingle`` words have one shingle. A row without ``doc_id`` is in the
+    class of its text like any other; a class of such rows alone has no ``class_id``. Repeated rows are copies. Other columns
+    of ``docs`` are not used. An empty table gives none.
+    """
+    base, of = _grouped(docs, shingle, threshold)
     classes = of.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.sum("rows").alias("class_size"))
     named = of.select("node", "comp").join(classes, "comp").select("node", "class_id", "class_size")
-    return base.select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "class_size", "node")
+    return base.join(named, "node").select("doc_id", "class_id", "class_size", "node")
 
 
 def drop_near_copies(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is the smallest of their class, with all their columns; of repeated rows one stays.
+    """One row of ``docs`` for each class, with all its columns: one of the smallest ``doc_id``, of repeated rows any.
 
-    Rows without a ``doc_id`` stay only where all rows of their class lack one, and then one does.
+    Rows without a ``doc_id`` stay only where all rows of their class lack one, and then one does. Rows of one ``doc_id`` with different
+    texts are told apart by their words.
     """
-    groups = near_groups(docs, shingle=shingle, threshold=threshold)
-    first = written(groups.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id")).distinct(), "stay")
-    stay = docs.join(first, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return stay.dropDuplicates(["doc_id"]) if not _unique(stay) else stay
-
-
-def _unique(docs: DataFrame) -> bool:
-    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return ids.where("n > 1").isEmpty()
+    base, of = _grouped(docs, shingle, threshold)
+    first = of.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "node")).alias("s"))
+    stay = written(first.select(F.col("s.doc_id").alias("__id"), F.col("s.node").alias("__of")), "stay")
+    own = F.col("doc_id").eqNullSafe(F.col("__id"))
+    if base.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return docs.join(stay, own, "left_semi")
+    rows = _with_node(docs).join(stay, own & (F.col("__node") == F.col("__of")), "left_semi")
+    return rows.dropDuplicates(["__node"]).drop("__node")

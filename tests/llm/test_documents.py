@@ -111,6 +111,19 @@ def test_near_groups_of_a_large_group(spark):
     assert probminhash.near_groups(docs.limit(0)).count() == 0
 
 
+def test_one_row_of_each_class_stays_without_ids(spark):
+    words = [f"w{i}" for i in range(200)]
+    near = [" ".join([*words[:k], "new", *words[k + 1 :]]) for k in (3, 190)]
+    other = " ".join(f"v{i}" for i in range(200))
+    docs = frame(spark, [(1, " ".join(words)), *((None, t) for t in near), (None, "first alone"), (None, "second alone"), (None, "second alone"), (None, other), (None, other + " end"), (7, "one text"), (7, "another text"), (7, near[0] + " end")])
+    got = probminhash.drop_near_copies(docs)
+    texts = sorted((r.doc_id is None, r.doc_id or 0, r.text[:12]) for r in got.collect())
+    assert got.columns == docs.columns
+    assert texts == [(False, 1, " ".join(words)[:12]), (False, 7, "another text"), (False, 7, "one text"), (True, 0, "first alone"), (True, 0, "second alone"), (True, 0, other[:12])]
+    sizes = {(r.class_id, r.class_size) for r in probminhash.near_groups(docs).where("doc_id is null").collect()}
+    assert sizes == {(1, 4), (None, 1), (None, 2)}
+
+
 def test_registers_estimate_probability_jaccard():
     rng = np.random.default_rng(0)
     e = rng.integers(0, 2**63, 300, dtype=np.uint64)
