@@ -1,10 +1,10 @@
-"""Near-duplicates by ProbMinHash: registers filled by Poisson arrivals of weighted shingles, then banding and verification.
+"""Near-duplicates by ProbMinHash: registers filled by Poisson arrivals of shingles, then banding and verification.
 
 A shingle of weight w arrives at times that are exponential gaps over w, each arrival at a register that its own random bits
 name; a register keeps its first arrival. The arrivals of a shingle stop as soon as they come later than what every register
-holds. Two texts agree in a register with the probability Jaccard similarity of their weights (1 + log of the count).
-Texts that agree in all registers of a band are candidates, and a candidate pair is a link when the plain Jaccard similarity of
-the two sets of shingles reaches the threshold.
+holds. Two texts agree in a register with the probability Jaccard similarity of their weights. Every distinct shingle weighs 1
+however often it occurs, so that this is the plain Jaccard similarity of the two sets of shingles, which links are defined by.
+Texts that agree in all registers of a band are candidates, and a candidate pair is a link when that similarity reaches the threshold.
 
 Texts of the same words are one node. ``bucket_components`` compares the members of buckets without expanding any into all its
 pairs, and loses no link between candidates.
@@ -68,8 +68,8 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
                 if a == b:
                     keys.append([])
                     continue
-                elements, counts = np.unique(shingles.shingle_hashes(own, size), return_counts=True)
-                held = signature(elements, 1 + np.log(counts), BANDS * ROWS).reshape(BANDS, ROWS)
+                elements = np.unique(shingles.shingle_hashes(own, size))
+                held = signature(elements, np.ones(len(elements)), BANDS * ROWS).reshape(BANDS, ROWS)
                 with np.errstate(over="ignore"):
                     key = np.arange(BANDS, dtype=np.uint64)
                     for k in range(ROWS):

@@ -124,6 +124,16 @@ def test_one_row_of_each_class_stays_without_ids(spark):
     assert sizes == {(1, 4), (None, 1), (None, 2)}
 
 
+def test_near_groups_with_a_repeated_footer(spark):
+    texts = []
+    for i in range(20):
+        page = " ".join(f"p{i}w{k}" for k in range(104))
+        texts += [page, page + (" " + " ".join(f"f{i}w{k}" for k in range(20))) * 100]
+    docs = frame(spark, texts)
+    got = {r.doc_id: r.class_id for r in probminhash.near_groups(docs).collect()}
+    assert got == truth(docs.collect()) == {i: i // 2 * 2 for i in range(40)}
+
+
 def test_registers_estimate_probability_jaccard():
     rng = np.random.default_rng(0)
     e = rng.integers(0, 2**63, 300, dtype=np.uint64)
