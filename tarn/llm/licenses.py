@@ -1,12 +1,14 @@
 """Licence scans: texts against licence templates by the Dice coefficient over word bigrams, with size bounds pruning templates.
 
-A document's whole text and each of its lines are units. Units and templates are lower-cased, and their words are runs of letters and
+A document's whole text, each of its lines and windows of a template's number of words are units. Units and templates are lower-cased, and their words are runs of letters and
 digits; a unit of n distinct bigrams can only reach the threshold t with templates of between n t / (2 - t) and n (2 - t) / t, so
-others aren't compared. All work is in SQL expressions over one pass; the templates are a short list in the plan.
+others aren't compared. Of a template of m bigrams a window must hold m t / (2 - t), so only documents with as many of them have windows,
+and only those windows are compared that may hold as many. All work is in SQL expressions over one pass; the templates are in the plan.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from itertools import pairwise
 
@@ -14,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.common import texts
+from tarn.llm.license_texts import LICENSES
 
 #: Templates: public licence notices and short licences. Fixed values.
 TEMPLATES = (
@@ -52,48 +55,99 @@ TEMPLATES = (
 THRESHOLD = 0.8
 
 
+#: The notices, then the complete texts.
+ALL_TEMPLATES = (*TEMPLATES, *LICENSES)
+#: From so many bigrams on a template is only looked for in documents of enough words. Results don't depend on it.
+LONG = 400
+
+
+def template_words(text: str) -> list[str]:
+    return re.findall(r"[a-z0-9]+", text.lower())
+
+
 def template_bigrams(text: str) -> list[str]:
     """Distinct word bigrams of a template, sorted."""
-    words = re.findall(r"[a-z0-9]+", text.lower())
-    return sorted({" ".join(p) for p in pairwise(words)})
+    return sorted({" ".join(p) for p in pairwise(template_words(text))})
+
+
+def _listed(grams: list[str]) -> Column:
+    """Bigrams as one value of the plan."""
+    return F.split(F.lit("\n".join(grams)), "\n")
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _pairs(words: Column) -> Column:
+    """All bigrams of an array of words, in their order."""
+    return F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
 
 
 def _bigrams(words: Column) -> Column:
     """Distinct bigrams of an array of words."""
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(pairs)
+    return F.array_distinct(_pairs(words))
 
 
-def scan_licenses(docs: DataFrame, *, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def _hit(grams: Column, t: Column, unit: Column) -> Column:
+    dice = 2.0 * F.size(F.array_intersect(grams, t["grams"])) / (F.size(grams) + t["m"])
+    return F.struct((-dice).alias("minus"), t["template"].alias("template"), unit.alias("unit"), t["license"].alias("license"))
+
+
+def _window_hits(pairs: Column, t: Column, lines: Column) -> Column:
+    """A template against the windows of its number of words that begin with one of its bigrams and may hold enough of them."""
+
+    def of(at: Column) -> Column:
+        last = F.size(at) - t["need"] + 1
+        begins = F.filter(F.slice(F.sequence(F.lit(1), F.greatest(F.size(at), F.lit(1))), 1, F.greatest(last, F.lit(0))), lambda j: F.get(at, j + t["need"] - 2) - F.get(at, j - 1) <= t["words"] - 2)
+        return F.transform(begins, lambda j: _hit(F.array_distinct(F.slice(pairs, F.get(at, j - 1), t["words"] - 1)), t, lines + F.get(at, j - 1)))
+
+    where = F.filter(F.transform(pairs, lambda p, i: F.when(F.array_contains(t["grams"], p), i + 1)), lambda i: i.isNotNull())
+    return _let(where, of)
+
+
+def scan_licenses(docs: DataFrame, *, templates=ALL_TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each row of ``docs``: ``doc_id, license, template, dice, unit, found``.
 
     The best match of any unit at ``threshold`` or more: of equal Dice coefficients the earliest template, then the earliest unit (0: the
-    whole text, 1 on: its lines). ``found`` lists the distinct licences of all matches, sorted, comma-joined. Without a match ``license``
-    and ``found`` are empty, ``template`` and ``unit`` -1 and ``dice`` 0. A null text is an empty one and matches nothing, as do units of
-    under two words. Repeated rows and null ids are kept; other columns are not used. One pass, no shuffle.
+    whole text, 1 on: its lines, then its windows by their first word). ``found`` lists the distinct licences of all matches, sorted, comma-joined.
+    Without a match ``license`` and ``found`` are empty, ``template`` and ``unit`` -1 and ``dice`` 0. A null text is an empty one and matches
+    nothing, as do units of under two words. Repeated rows and null ids are kept; other columns are not used. One pass, no shuffle.
     """
-    made = [(name, template_bigrams(text)) for name, text in templates]
-    sizes = [len(b) for _, b in made]
+    made = [(name, template_bigrams(text), len(template_words(text))) for name, text in templates]
+    sizes = [len(b) for _, b, _ in made]
+    need = [math.ceil(m * threshold / (2 - threshold) - 1e-9) for m in sizes]
     low, high = min(sizes) * threshold / (2 - threshold), max(sizes) * (2 - threshold) / threshold
     units = F.concat(F.array(F.col("text")), F.split(F.col("text"), "\n"))
     words = F.transform(units, lambda u, i: F.struct(i.alias("unit"), F.filter(F.split(F.lower(u), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("words")))
     # n distinct bigrams take n + 1 words at least.
-    grams = F.transform(F.filter(words, lambda u: F.size(u["words"]) - 1 >= low), lambda u: F.struct(u["unit"], _bigrams(u["words"]).alias("grams")))
+    grams = F.transform(F.filter("__words", lambda u: F.size(u["words"]) - 1 >= low), lambda u: F.struct(u["unit"], _bigrams(u["words"]).alias("grams")))
     kept = F.filter(grams, lambda u: F.size(u["grams"]).between(low, high))
-    table = F.array(*(F.struct(F.lit(k).alias("template"), F.lit(name).alias("license"), F.lit(len(b)).alias("m"), F.array(*map(F.lit, b)).alias("grams")) for k, (name, b) in enumerate(made)))
+    table = F.array(
+        *(
+            F.struct(F.lit(k).alias("template"), F.lit(name).alias("license"), F.lit(len(b)).alias("m"), F.lit(n).alias("words"), F.lit(c).alias("need"), _listed(b).alias("grams"))
+            for k, ((name, b, n), c) in enumerate(zip(made, need, strict=True))
+        )
+    )
 
     def against(u: Column) -> Column:
         n = F.size(u["grams"])
         near = F.filter(table, lambda t: (t["m"] >= n * threshold / (2 - threshold)) & (t["m"] <= n * (2 - threshold) / threshold))
-        return F.transform(
-            near,
-            lambda t: F.struct(
-                (-2.0 * F.size(F.array_intersect(u["grams"], t["grams"])) / (n + t["m"])).alias("minus"), t["template"].alias("template"), u["unit"].alias("unit"), t["license"].alias("license")
-            ),
-        )
+        return F.transform(near, lambda t: _hit(u["grams"], t, u["unit"]))
+
+    every = sorted({g for _, b, _ in made for g in b})
+    short = sorted({g for _, b, _ in made if len(b) < LONG for g in b}) or every
+    least = min((c for c, m in zip(need, sizes, strict=True) if m >= LONG), default=0)
+    pairs = _pairs(F.get("__words", F.lit(0))["words"])
+
+    def in_windows(pairs: Column) -> Column:
+        shared = F.array_intersect(pairs, F.when(F.size(pairs) >= least, _listed(every)).otherwise(_listed(short)))
+        near = _let(shared, lambda s: F.filter(table, lambda t: (F.size(s) >= t["need"]) & (F.size(F.array_intersect(s, t["grams"])) >= t["need"])))
+        return F.flatten(F.transform(near, lambda t: _window_hits(pairs, t, F.size("__words") - 1)))
 
-    hits = F.filter(F.flatten(F.transform("__kept", against)), lambda h: -h["minus"] >= threshold)
-    out = texts(docs).withColumn("__kept", kept).withColumn("__hits", hits).withColumn("__best", F.array_min("__hits"))
+    hits = F.filter(F.concat(F.flatten(F.transform("__kept", against)), _let(pairs, in_windows)), lambda h: -h["minus"] >= threshold)
+    out = texts(docs).withColumn("__words", words).withColumn("__kept", kept).withColumn("__hits", hits).withColumn("__best", F.array_min("__hits"))
     found = F.array_join(F.array_sort(F.array_distinct(F.transform("__hits", lambda h: h["license"]))), ",")
     best = lambda name, none: F.coalesce(F.col(f"__best.{name}"), F.lit(none)).alias(name)
     return out.select("doc_id", best("license", ""), best("template", -1), F.coalesce(-F.col("__best.minus"), F.lit(0.0)).alias("dice"), best("unit", -1), found.alias("found"))

@@ -1,12 +1,13 @@
 import hashlib
 import re
+import textwrap
 from collections import defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarn.llm import chat, common, cotraining, exact_dedup, licenses, pii, probminhash, spotsigs
+from tarn.llm import chat, common, cotraining, exact_dedup, license_texts, licenses, pii, probminhash, spotsigs
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sha string, node string, key long"
 BASE = "the quick brown fox jumps over the lazy dog and runs into the deep green forest where it finds a small river that flows to the sea of stones"
@@ -244,6 +245,19 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_whole_licences_and_windows(spark):
+    full = dict(license_texts.LICENSES)
+    prose = "\n".join(f"some words of line {i} that are {i * 7} of no licence" for i in range(200))
+    notice = textwrap.fill(next(t for n, t in licenses.TEMPLATES if n == "GPL-3.0" and len(t) > 200), 60)
+    names = [*full]
+    docs = frame(spark, [*(full[n] for n in names), *(f"{prose}\n{full[n]}\n{prose}" for n in ("MIT", "ISC", "BSD-3-Clause", "Apache-2.0")), "# " + notice.replace("\n", "\n# ") + "\n" + prose, prose])
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
+    for i, n in enumerate(names):
+        assert (got[i].license, got[i].dice, got[i].found) == (n, 1.0, n)
+    assert [(got[i].license, got[i].dice) for i in range(6, 11)] == [(n, 1.0) for n in ("MIT", "ISC", "BSD-3-Clause", "Apache-2.0", "GPL-3.0")]
+    assert got[11].license == got[11].found == ""
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 3, "ann", "bye"), (1, None, None, "?"), (2, 0, "system", "alone"), (None, 0, "ann", "lost"), (3, 700, "ann", "late"), (3, 2, "ann", "soon"), (3, 2, "ann", "soon")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
