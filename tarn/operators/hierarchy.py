@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions import codecs
+from tarn.operators import graph
+from tarn.runtime import written
 
 #: Samples of a hypsometric curve below and above the spill; fixed values.
 BELOW, ABOVE = 48, 16
@@ -182,8 +184,40 @@ def outflow_heads(tree: DataFrame, cells: DataFrame, low: Column, high: Column)
     return tree.select("node").join(got, "node", "left").select("node", F.coalesce("head", F.lit(0.0)).alias("head"))
 
 
-def unexplained(tree: DataFrame, cell_area: float, *, depth_m: float = 2.0, area_m2: float = 5000.0, limit: int = 500) -> DataFrame:
-    """The top ``limit`` nodes by area times depth that are deep and wide and have no lake: ``node, depth, area, score``. Tree: ``node, floor_m, spill_m, subtree_cells, has_lake``."""
+def _subtree_levels(tree: DataFrame) -> DataFrame:
+    """``node, level, lakes``: the highest ``level`` of the lake nodes in each subtree that has any, and whether it has; sent upwards by doubling."""
+    now = written(tree.select("node", F.col("parent").alias("to"), F.when(F.col("has_lake"), F.col("level")).alias("level"), F.col("has_lake").alias("lakes")), "levels")
+    while not now.where("to is not null").isEmpty():
+        sent = now.where("to is not null").groupBy(F.col("to").alias("node")).agg(F.max("level").alias("more"), F.max("lakes").alias("any"))
+        ahead = now.select(F.col("node").alias("to"), F.col("to").alias("then"))
+        both = now.join(sent, "node", "left").join(ahead, "to", "left")
+        now = written(both.select("node", F.col("then").alias("to"), F.greatest("level", "more").alias("level"), (F.col("lakes") | F.coalesce("any", F.lit(False))).alias("lakes")), "levels")
+    return now.where("lakes").select("node", "level", "lakes")
+
+
+def unexplained(tree: DataFrame, cell_area: float, *, depth_m: float = 2.0, area_m2: float = 5000.0, limit: int = 500, tolerance: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """The top ``limit`` nodes by area times depth that are deep and wide and that no lake explains: ``node, depth, area, score``; and totals, one row ``unexplained, joins_lake``.
+
+    Tree: ``node, parent, overflow_to, floor_m, spill_m, subtree_cells, has_lake, level`` (of a lake node). Left out are nodes with a lake in their
+    subtree or above them, then those that spill into a lake at or under its level and ``tolerance`` (give one height step more), then those inside another that is left. The
+    totals count all that remain, and those that join a lake. A parent of null or 0 is none.
+    """
+    inner = lambda c: F.when(F.col(c) > 0, F.col(c)).alias(c)
+    tree = written(tree.select("node", inner("parent"), inner("overflow_to"), "floor_m", "spill_m", "subtree_cells", "has_lake", F.col("level").cast("double").alias("level")), "tree")
+    above = graph.jump(tree.select("node", F.when(~F.col("has_lake"), F.col("parent")).alias("next")))
+    lakes = tree.where("has_lake").select(F.col("node").alias("next"), F.col("level").alias("up_level"), F.lit(True).alias("inside"))
+    around = written(above.join(lakes, "next").select("node", "up_level", "inside"), "around")
+    within = written(_subtree_levels(tree), "within")
     depth, area = F.col("spill_m") - F.col("floor_m"), F.col("subtree_cells") * cell_area
-    rows = tree.where(~F.col("has_lake")).select("node", depth.alias("depth"), area.alias("area")).where((F.col("depth") >= depth_m) & (F.col("area") >= area_m2))
-    return rows.withColumn("score", F.col("depth") * F.col("area")).orderBy(F.desc("score"), "node").limit(limit)
+    rows = tree.where(~F.col("has_lake")).select("node", "parent", "overflow_to", "spill_m", depth.alias("depth"), area.alias("area")).where((F.col("depth") >= depth_m) & (F.col("area") >= area_m2))
+    rows = rows.join(around, "node", "left_anti").join(within, "node", "left_anti")
+    to = tree.select(F.col("node")).join(around, "node", "left").join(within, "node", "left").select(F.col("node").alias("overflow_to"), F.greatest("up_level", "level").alias("lake_level"))
+    joins = F.coalesce(F.col("spill_m") <= F.col("lake_level") + tolerance, F.lit(False))
+    rows = written(rows.join(to, "overflow_to", "left").withColumn("joins", joins), "candidates")
+    left = rows.where("not joins")
+    marked = tree.select("node", "parent").join(left.select("node", F.lit(True).alias("cand")), "node", "left")
+    ends = graph.jump(marked.select("node", F.when(F.col("cand").isNull(), F.col("parent")).alias("next")))
+    nested = ends.join(left.select(F.col("node").alias("next")), "next").select(F.col("node").alias("parent"))
+    outer = written(left.join(nested, "parent", "left_anti").select("node", "depth", "area", (F.col("depth") * F.col("area")).alias("score")), "unexplained")
+    totals = outer.agg(F.count(F.lit(1)).alias("unexplained")).crossJoin(rows.agg(F.count_if("joins").alias("joins_lake")))
+    return outer.orderBy(F.desc("score"), "node").limit(limit), totals

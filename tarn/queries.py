@@ -583,7 +583,9 @@ def line_raster(spark, sf_dir):
 )
 def unexplained_top500(spark, sf_dir):
     tree = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"), F.lit(0).cast("long").alias("floor_m"), (F.col("c_nationkey") * 2).cast("long").alias("spill_m"), F.floor("c_acctbal").cast("long").alias("subtree_cells"), (F.col("c_mktsegment") == "BUILDING").alias("has_lake"))
-    return hierarchy.unexplained(tree, F.lit(25))
+    # Customers have no tree: no node is in another, and none spills into a lake.
+    none = F.lit(None)
+    return hierarchy.unexplained(tree.withColumns({"parent": none.cast("long"), "overflow_to": none.cast("long"), "level": none.cast("double")}), F.lit(25))[0]
 
 
 @query()

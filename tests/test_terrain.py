@@ -176,6 +176,22 @@ def test_axis_and_curve(spark):
     assert got[0].area == 50 and got[-1].area == 100 and got[47].area == 75
 
 
+def test_unexplained_leaves_out_what_lakes_explain(spark):
+    rows = [
+        (0, None, None, 0.0, None, 999, False, None),
+        (1, 5, 2, 0.0, 10.0, 300, True, 9.0), (2, 5, 1, 0.0, 10.0, 300, False, None), (5, 0, 0, 0.0, 20.0, 700, False, None),
+        (3, 6, 4, 0.0, 10.0, 300, False, None), (4, 6, 3, 0.0, 10.0, 300, False, None), (6, 0, 5, 0.0, 30.0, 700, False, None),
+        (7, 8, 6, 0.0, 10.0, 300, False, None), (8, 0, 6, 0.0, 12.0, 500, True, 11.0),
+        (9, 0, 1, 0.0, 9.04, 400, False, None), (10, 0, 5, 0.0, 9.2, 400, False, None), (11, 0, 7, 0.0, 11.0, 400, False, None), (12, 0, 0, 0.0, 1.0, 900, False, None),
+    ]
+    tree = spark.createDataFrame(rows, "node long, parent long, overflow_to long, floor_m double, spill_m double, subtree_cells long, has_lake boolean, level double")
+    top, totals = hierarchy.unexplained(tree, F.lit(25))
+    # 2 spills at 10 over the lake's 9; 5 holds a lake, 7 lies in one, 9 and 11 join one, 3 and 4 lie in 6.
+    assert [r.node for r in top.collect()] == [6, 10, 2]
+    assert totals.first().asDict() == {"unexplained": 3, "joins_lake": 2}
+    assert [r.node for r in hierarchy.unexplained(tree, F.lit(25), limit=1)[0].collect()] == [6]
+
+
 def test_distance_nearest_ocean_and_touching(spark):
     rng = np.random.default_rng(5)
     mark = rng.random((7, 9)) < 0.15
