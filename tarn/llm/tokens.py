@@ -82,17 +82,22 @@ class WordEncoder:
 
 
 class LibraryEncoder(WordEncoder):
-    """A vocabulary file of the tokenizers library. The strings of special tokens in a text are ordinary text."""
+    """A vocabulary file of the tokenizers library, encoding as it does by default: a text with the string of an added token is encoded whole."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
             raise ValueError("ids over 65535 don't fit two bytes")
         self.model = self.tokenizer.model
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def encode(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            return array("H", self.whole_ids(text)).tobytes()
+        return super().encode(text)
 
     def piece_ids(self, mapped: str, raw: str) -> list[int]:
         return [t.id for t in self.model.tokenize(mapped)]

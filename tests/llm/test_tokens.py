@@ -3,6 +3,7 @@ from array import array
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from tarn.llm import packing, records, sp_bpe, tokens
 
@@ -22,6 +23,14 @@ def test_words_encode_as_the_library_does():
         assert list(array("H", e.encode(t))) == e.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_added_tokens_encode_as_the_library_does_by_default():
+    path = tokens.vocabulary("byte_bpe_50k.json")
+    encoder, plain = tokens.LibraryEncoder(path), Tokenizer.from_file(path)
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "a<|endoftext|><|endoftext|> é\n b", "a <|endof text|> b"):
+        assert np.frombuffer(encoder.encode(text), "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert 50256 in np.frombuffer(encoder.encode("a <|endoftext|> b"), "<u2")
+
+
 def test_words_are_forgotten_not_wrong(monkeypatch):
     monkeypatch.setattr(tokens, "MAX_WORDS", 2)
     e = tokens.LibraryEncoder(tokens.vocabulary("byte_bpe_50k.json"))
