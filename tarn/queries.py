@@ -719,7 +719,7 @@ def lake_bed_ramp(spark, sf_dir):
 @query()
 def river_trench(spark, sf_dir):
     cells, _, _ = lattice(spark, sf_dir)
-    centre = cells.where("kind = 1 and col % 3 = 0").select("row", "col", F.col("h").cast("double").alias("level"), F.lit(50000.0).alias("depth"), F.lit(10.0).alias("half_width"))
+    centre = cells.where("kind = 1").select("row", "col", F.col("h").cast("double").alias("level"), F.lit(50000.0).alias("depth"), F.lit(10.0).alias("half_width"))
     return beds.carve_rivers(cells, centre, 2, 5.0, tolerance_m=1e6)
 
 

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tarn import queries
 from tarn.operators import beds, paths, shores
 from tarn.sources import catalog, features
 
@@ -27,6 +28,15 @@ def test_carve_rivers_only_lowers(spark):
     assert got[2, 4] == 98 and 98 < got[2, 3] <= 100 and got[2, 0] == 100
 
 
+def test_river_trench_takes_all_river_samples(spark, monkeypatch):
+    given = []
+    carve = beds.carve_rivers
+    monkeypatch.setattr(beds, "carve_rivers", lambda cells, centre, *a, **b: given.extend([cells, centre]) or carve(cells, centre, *a, **b))
+    out = queries.river_trench(spark, "/root/testdata/sf0.001")
+    assert given[1].count() == given[0].where("kind = 1").count() > 0
+    assert out.count() > 0
+
+
 def test_mouths(spark):
     v = spark.createDataFrame([(1, i, 9.0 if i < 3 else 5.0, 10.0 if 3 <= i <= 6 else None, 4.0, 1.5) for i in range(10)], "seg_id int, ord int, bed double, surface double, width double, order_depth double")
     spans = spark.createDataFrame([(1, 3, 6, 7)], "seg_id int, a int, b int, lake_id int")
