@@ -17,11 +17,9 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from tarn.llm import tokens
 from tarn.llm.common import small_batches, texts, written
@@ -194,7 +192,7 @@ def pack(pieces: DataFrame, *, capacity: int = 2048) -> DataFrame:
     ``pieces`` is read three times, so give a written table. All its columns stay. Pieces of no length or a null one have no
     place and are left out; longer ones raise. The driver gets the histogram only (``capacity`` rows at most). The rank of a piece
     comes from its rank among its length and salt, with as many salts as the table needs, so a length that a third of
-    all pieces have is ranked by many tasks.
+    all pieces have is ranked by many tasks. Its slot comes from a broadcast of the plan, whose size ``slot_bins`` bounds.
     """
     counts = {r["length"]: r["n"] for r in pieces.where("length > 0").groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     if any(n > capacity for n in counts):
@@ -204,26 +202,38 @@ def pack(pieces: DataFrame, *, capacity: int = 2048) -> DataFrame:
         histogram[n] = many
     made = plan(histogram, capacity)
     salts = max(16, int(histogram.sum()) // RANKED_TOGETHER)
+    spark = pieces.sparkSession
+    wide, slots = slot_bins(made, histogram)
+    widths = F.broadcast(spark.createDataFrame([(int(n), int(wide[n])) for n in np.flatnonzero(histogram)] or [(0, 1)], "length long, __wide long"))
     salted = pieces.where("length > 0").withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("__n")).select("length", "__salt", before.alias("__before"))
+    offsets = salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("__n")).select("length", "__salt", before.alias("__before")).join(widths, "length")
     ranked = salted.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__salt").orderBy("doc_id", "piece")) - 1)
-    ranked = ranked.join(offsets, ["length", "__salt"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
-    at = StructType([StructField("sequence_id", LongType()), StructField("offset", LongType())])
-    first_of = np.searchsorted(made.length, np.arange(capacity + 2))
-    first, base, offset = made.first, made.base, made.offset
-
-    @F.pandas_udf(at)
-    def placed(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        n, r = length.to_numpy(), rank.to_numpy()
-        # One search in all slots: lengths are apart by more than any rank.
-        wide = int(r.max(initial=0)) + int(first.max(initial=0)) + 1
-        slot_length = np.repeat(np.arange(capacity + 1), np.diff(first_of))
-        k = np.searchsorted(slot_length * wide + first, n * wide + r, "right") - 1
-        return pd.DataFrame({"sequence_id": base[k] + r - first[k], "offset": offset[k]})
-
-    out = ranked.withColumn("__at", placed("length", "__rank"))
-    return out.select(*pieces.columns, "__at.sequence_id", "__at.offset")
+    ranked = ranked.join(offsets, ["length", "__salt"]).withColumn("__rank", F.col("__rank") + F.col("__before")).withColumn("__bin", F.floor(F.col("__rank") / F.col("__wide")))
+    table = F.broadcast(spark.createDataFrame(slots, "length long, __bin long, __first long, __end long, __base long, offset long"))
+    within = (F.col("__rank") >= F.col("__first")) & (F.col("__rank") < F.col("__end"))
+    here = [F.col(f"r.{c}") for c in pieces.columns]
+    out = ranked.alias("r").join(table.alias("t"), (F.col("r.length") == F.col("t.length")) & (F.col("r.__bin") == F.col("t.__bin")) & within)
+    return out.select(*here, (F.col("__base") + F.col("__rank") - F.col("__first")).alias("sequence_id"), F.col("t.offset"))
+
+
+def slot_bins(made: Plan, histogram: np.ndarray) -> tuple[np.ndarray, list[tuple[int, ...]]]:
+    """Bins of ranks for each length, so that a piece finds its slot by an equi-join: the width of a length's bins, and a row
+    ``(length, bin, first, end, base, offset)`` for each slot and each bin that it touches.
+
+    A length of s slots has at most s bins, so there are fewer than two rows for each slot, and the slots are as many as the
+    plan has (``MAX_PATTERNS`` patterns of three lengths, and the residual's): the size doesn't depend on the corpus.
+    """
+    many = np.bincount(made.length, minlength=len(histogram)) if len(made.length) else np.zeros(len(histogram), np.int64)
+    wide = np.maximum(1, -(-histogram // np.maximum(1, many)))
+    end = np.append(made.first[1:], 0)
+    last = np.append(made.length[1:] != made.length[:-1], True) if len(made.length) else np.zeros(0, bool)
+    end = np.where(last, histogram[made.length], end)[: len(made.length)]
+    rows = []
+    for n, a, b, base, offset in zip(made.length.tolist(), made.first.tolist(), end.tolist(), made.base.tolist(), made.offset.tolist(), strict=True):
+        w = int(wide[n])
+        rows += [(n, k, a, b, base, offset) for k in range(a // w, (b - 1) // w + 1)]
+    return wide, rows
 
 
 def packed_documents(docs: DataFrame, *, vocabulary: str, capacity: int = 2048, end_id: int | None = 0) -> DataFrame:

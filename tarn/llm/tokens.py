@@ -15,8 +15,9 @@ import regex
 #: Splits text into the pieces within which merges happen. A fixed value of the public vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Words kept by a worker at most; beyond it the worker forgets all and starts anew. Results don't depend on it.
-MAX_WORDS = 1_000_000
+#: Words met since the last turn that a worker keeps, beside as many of the turn before; and the longest word kept, in characters. At
+#: most 2 * MAX_WORDS words of a few hundred bytes each are in memory. Results don't depend on either.
+MAX_WORDS, MAX_WORD_CHARS = 150_000, 32
 
 
 def byte_chars() -> list[str]:
@@ -35,10 +36,20 @@ class WordEncoder:
         outer = self
 
         class Words(dict):
+            """Ids of words in two turns: a full turn becomes the old one, from which words that are met again come back."""
+
+            old: dict = {}
+
             def __missing__(self, word: str):
+                ids = self.old.get(word)
+                if ids is None:
+                    ids = outer.word_ids(word)
+                    if len(word) > MAX_WORD_CHARS:
+                        return ids
                 if len(self) >= MAX_WORDS:
+                    self.old = dict(self)
                     self.clear()
-                ids = self[word] = outer.word_ids(word)
+                self[word] = ids
                 return ids
 
         self.words = Words()

@@ -3,6 +3,7 @@ from array import array
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tarn.llm import packing, records, sp_bpe, tokens
@@ -59,30 +60,58 @@ def test_op8_rows(spark, docs):
 def test_records_in_order_with_index(spark, docs, tmp_path):
     path = f"file://{tmp_path}/shards"
     vocabulary = tokens.vocabulary("byte_bpe_50k.json")
-    got = records.token_records(docs, vocabulary=vocabulary, path=path).orderBy("shard", "offset").collect()
+    got = records.token_records(docs, vocabulary=vocabulary, path=path).orderBy("shard", "before").collect()
     e = tokens.library_encoder(vocabulary)
-    want = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in docs.collect()))
+    hashed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    want = sorted((r.doc_id is not None, r.doc_id or 0, r.h, r.text) for r in hashed.collect())
     start = 0
     assert len(got) == len(want)
-    for r, (there, doc_id, text) in zip(got, want, strict=True):
+    for r, (there, doc_id, _, text) in zip(got, want, strict=True):
         ids = list(array("H", e.encode(text))) + [0]
         assert (r.doc_id, r.start, r.n_tokens) == (doc_id if there else None, start, len(ids))
         assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
         start += len(ids)
     index = records.read_index(spark, path).collect()
-    assert {(r.shard, r.offset) for r in index} == {(r.shard, r.offset) for r in got}
-    shard = {r.shard: bytes(r.content) for r in records._files(spark, path, "data").collect()}
+    files = {int(f.name[5:10]): f for f in (tmp_path / "shards" / "kind=data").glob("part-*")}
+    assert len(index) == len(got) and records.read_order(spark, path, seed=3).select("place").distinct().count() == len(got)
+    found = []
     for r in index:  # a record alone, by the index
-        one = shard[r.shard][r.offset : r.offset + r.n_bytes] + b"\n"
-        assert [d for _, d, _ in records.unframed(one)][0] in (r.doc_id, None)
+        with files[r.shard].open("rb") as f:
+            doc_id, before, ids = records.record_at(f, r.offset, r.n_bytes)
+        assert (doc_id or 0, len(ids) // 2) == (r.doc_id, r.n_tokens)
+        found.append((r.shard, before, ids))
+    assert sorted(found) == [(r.shard, r.before, bytes(r.ids)) for r in got]
+    by_length = [(s, records.unframed(d)[1]) for s, f in sorted(files.items()) for _, d in records.scanned(f.read_bytes())]
+    assert by_length == [(r.shard, r.before) for r in got]
+
+
+def test_records_are_read_by_ranges(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/shards"
+    vocabulary = tokens.vocabulary("byte_bpe_50k.json")
+    records.write_records(docs.coalesce(1), path, vocabulary=vocabulary)
+    whole = {(r.shard, r.before, r.ids_crc32) for r in records.read_records(spark, path).collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        cut = records.read_records(spark, path)
+        assert cut.rdd.getNumPartitions() > 20 and {(r.shard, r.before, r.ids_crc32) for r in cut.collect()} == whole
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("ids", [b"", b"\x0a\x0a\x1b\x01", b"\x1b\x02\x0a\x00", bytes(range(256))])
+def test_no_record_holds_its_end(ids):
+    for doc_id in (None, 0, -1, 10, 27, 1 << 62):
+        one = records.framed(doc_id, 2570, ids)
+        assert b"\n" not in one and records.unframed(one) == (doc_id, 2570, ids)
 
 
 def test_broken_record_raises():
-    data = bytearray(records.framed(5, b"\x01\x00") + b"\n")
-    assert [(d, bytes(i)) for _, d, i in records.unframed(bytes(data))] == [(5, b"\x01\x00")]
+    data = bytearray(records.framed(5, 0, b"\x01\x00"))
     data[-7] ^= 1
     with pytest.raises(ValueError):
-        list(records.unframed(bytes(data)))
+        records.unframed(bytes(data))
+    with pytest.raises(ValueError):
+        records.unframed(bytes(data[:-2]))
 
 
 def test_empty_records(spark, docs):
@@ -96,15 +125,23 @@ def test_plan_places_all_and_wastes_little(seed):
     h = np.bincount(n, minlength=513)
     made = packing.plan(h, 512)
     assert made.sequences <= np.ceil(n.sum() / 512) * 1.01 + 1
-    room = np.zeros(made.sequences, int)
+    placed = [[] for _ in range(made.sequences)]
     for length in range(1, 513):
         own = np.flatnonzero(made.length == length)
         first = [*made.first[own], h[length]]
         assert not len(own) or first[0] == 0
         for k, a, b in zip(own, first, first[1:], strict=False):
-            assert (room[made.base[k] : made.base[k] + b - a] == made.offset[k]).all() or True
-            room[made.base[k] : made.base[k] + b - a] += length
-    assert room.sum() == n.sum() and room.max() <= 512
+            for sequence in range(made.base[k], made.base[k] + b - a):
+                placed[sequence].append((int(made.offset[k]), length))
+    for own in map(sorted, placed):  # gapless from 0, nothing beyond the end
+        assert [a for a, _ in own] == [0, *np.cumsum([b for _, b in own])[:-1]] and sum(b for _, b in own) <= 512
+    assert sum(b for own in placed for _, b in own) == n.sum()
+    wide, rows = packing.slot_bins(made, h)
+    for length in range(1, 513):
+        for rank in {0, h[length] // 2, h[length] - 1} if h[length] else ():
+            found = [r for r in rows if r[0] == length and r[1] == rank // wide[length] and r[2] <= rank < r[3]]
+            assert len(found) == 1
+    assert len(rows) < 2 * len(made.length)
 
 
 def test_plan_of_nothing():
