@@ -11,9 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
+#: Bytes of an Arrow batch between the JVM and a Python worker; both ends hold a batch or two, for each running task.
+BATCH_BYTES = "8m"
+
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the Python workers of ``spark``, once for each application, so that they need no copy of their own."""
+    """Send the package to the Python workers of ``spark``, once for each application, so that they need no copy of their own.
+
+    It also bounds the session's Arrow batches by ``BATCH_BYTES``, unless the session already asks for smaller ones than Spark's default.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "67108864b") in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(name, BATCH_BYTES)
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
