@@ -6,6 +6,11 @@ from dataclasses import dataclass
 
 import numpy as np
 
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 0.5 * (1 + np.tanh(z / 2))
+
+
 @dataclass
 class Boosted:
     """``bias`` plus, for each tree of depth two, one of four values by ``(feature, cut)`` at its root and at either side; then a logistic scale."""
@@ -23,7 +28,7 @@ class Boosted:
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         a, b = self.scale
-        return 1 / (1 + np.exp(-(a * self.margin(x) + b)))
+        return _sigmoid(a * self.margin(x) + b)
 
     def sql(self, features: list[str]) -> str:
         """The calibrated probability as SQL over expressions of doubles."""
@@ -64,7 +69,7 @@ def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 30, rate: float = 0.3, rid
     margin = np.full(len(x), model.bias)
     every = np.ones(len(x), bool)
     for _ in range(trees):
-        p = 1 / (1 + np.exp(-margin))
+        p = _sigmoid(margin)
         g, h = p - y, p * (1 - p)
         _, f, c, _, _ = _split(x, g, h, every, cuts, ridge)
         c = min(c, 1.7e308)
@@ -79,16 +84,32 @@ def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 30, rate: float = 0.3, rid
     return model
 
 
-def calibrate(model: Boosted, x: np.ndarray, y: np.ndarray, steps: int = 50) -> Boosted:
-    """Fit the logistic scale of the margins on held-out rows, by Newton steps with a small ridge."""
+def calibrate(model: Boosted, x: np.ndarray, y: np.ndarray, steps: int = 100, ridge: float = 1.0) -> Boosted:
+    """Fit the logistic scale of the margins on held-out rows, towards smoothed targets, so that separable rows don't drive it to infinity.
+
+    Damped Newton steps on a loss with a ridge towards the scale the margins have; a step that doesn't lower the loss is halved.
+    """
     m = model.margin(x)
     design = np.stack([m, np.ones(len(m))], 1)
-    w = np.array([1.0, 0.0])
+    positive = float(y.sum())
+    target = np.where(y > 0, (positive + 1) / (positive + 2), 1 / (len(y) - positive + 2))
+    start = np.array([1.0, 0.0])
+
+    def loss(w):
+        z = design @ w
+        return float((np.logaddexp(0, z) - target * z).sum() + ridge / 2 * ((w - start) ** 2).sum())
+
+    w = start
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-design @ w))
-        gradient = design.T @ (p - y) + 1e-2 * (w - [1, 0])
-        hessian = (design * (p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
-        w = w - np.linalg.solve(hessian, gradient)
+        p = _sigmoid(design @ w)
+        gradient = design.T @ (p - target) + ridge * (w - start)
+        hessian = (design * (p * (1 - p))[:, None]).T @ design + ridge * np.eye(2)
+        move, size = np.linalg.solve(hessian, gradient), 1.0
+        while size > 1e-6 and loss(w - size * move) > loss(w):
+            size /= 2
+        if size <= 1e-6 or np.abs(size * move).max() < 1e-9:
+            break
+        w = w - size * move
     return Boosted(model.bias, model.trees, (float(w[0]), float(w[1])))
 
 

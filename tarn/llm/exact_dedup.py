@@ -1,4 +1,9 @@
-"""Exact dedup by content sort: sampled splitters deal the normalised bytes out by range, a sort puts equals side by side, neighbours are compared in full."""
+"""Exact dedup by content sort: sampled splitters deal the normalised bytes out by range, a sort puts equals side by side, neighbours are compared in full.
+
+Equal texts have equal sort keys, so they meet in one range, and the comparison of neighbours there decides. Only texts that a
+count shows to be hot are dealt out over several ranges, as parts; the first rows of their parts, few and bounded in number, are
+then compared by their whole texts as well. Hashes only steer rows; none decides.
+"""
 
 from __future__ import annotations
 
@@ -9,36 +14,49 @@ from tarn.llm.common import ascii_lower, written
 
 #: Characters of the text that a splitter holds at most. Splitters only deal rows out; the comparison is of whole texts.
 SPLITTER_CHARS = 64
+#: A text is hot if it has more rows than both the first number and the table's rows over the second. So there are fewer than
+#: ``MOST_PARTS`` hot texts, and fewer than twice as many parts, whatever the size of the table: few enough to be broadcast.
+HOT_ROWS, MOST_PARTS = 256, 1 << 16
+
+_KEYS = ("head", "hash", "salt")
 
 
-def _sorted_groups(docs: DataFrame, *carried: str) -> DataFrame:
-    """Rows in sorted groups of equal texts: ``doc_id, sha, salt, place, n``, and ``carried``.
+def _sorted_rows(docs: DataFrame, *, carry: bool) -> DataFrame:
+    """The rows of ``docs`` in sorted ranges: ``doc_id, head, hash, salt, hot, text`` (normalised)``, nth`` (of the different texts of these keys)``, place, n, best``, and ``row`` if carried.
 
-    A splitter is (first characters, 64-bit hash, salt) of the normalised text, so samples on the driver are small, equal texts of
-    one salt meet, and long common beginnings don't. The salt comes from the document id and deals out even a text that a
-    third of all rows have. Within a range the sort goes on by the whole text, and the window compares neighbours by it.
-    ``place`` 1 is the largest document id of its group, ``n`` the group's rows.
+    A splitter is (first characters, 64-bit hash, salt) of the normalised text, so samples on the driver are small and long common
+    beginnings don't meet. The salt is 0 but for hot texts. ``place`` 1 is the largest document id among equal neighbours,
+    ``n`` their number and ``best`` that id. Salts follow the place of a row in its input partition, so that rows
+    that agree in everything are dealt out too; a scan makes them anew in the same way if it is repeated.
     """
-    salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     norm = ascii_lower(F.coalesce("text", F.lit("")))
-    # Where the text is carried its normalised form is made anew behind the exchange, not sent as well.
-    sent = [] if "text" in carried else [norm.alias("__norm")]
-    keys = [F.substring(norm, 1, SPLITTER_CHARS).alias("__head"), F.xxhash64(norm).alias("__hash"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("__salt")]
-    dealt = docs.select("doc_id", *carried, *sent, *keys).repartitionByRange("__head", "__hash", "__salt")
-    dealt = dealt.withColumn("__norm", F.col("__norm") if sent else norm).withColumn("__sha", F.sha2("__norm", 256))
-    group = Window.partitionBy("__head", "__hash", "__salt", "__norm")
-    placed = dealt.withColumn("__place", F.row_number().over(group.orderBy(F.desc("doc_id")))).withColumn("__n", F.count(F.lit(1)).over(group.orderBy(F.desc("doc_id")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return placed.drop("__norm", "__head", "__hash")
-
-
-def _decided(groups: DataFrame) -> DataFrame:
-    """For each group, (sha, salt): the row that stays among all groups of that text, as ``keep_id`` and ``keep_salt``, and the text's rows.
-
-    Only first rows of groups meet here, at most one for each text and salt.
+    many = written(docs.groupBy(F.xxhash64(norm).alias("hash")).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > HOT_ROWS), "hot")
+    most = max(HOT_ROWS, docs.count() // MOST_PARTS)
+    hot = many.where(F.col("rows") > most).select("hash", F.ceil(F.col("rows") / most).alias("parts"))
+    # Where the row is carried its normalised text is made anew behind the exchange, not sent as well.
+    sent = F.struct(*docs.columns).alias("row") if carry else norm.alias("text")
+    keyed = docs.select("doc_id", sent, F.substring(norm, 1, SPLITTER_CHARS).alias("head"), F.xxhash64(norm).alias("hash"), F.monotonically_increasing_id().alias("at"))
+    salted = keyed.join(F.broadcast(hot), "hash", "left").withColumn("hot", F.col("parts").isNotNull()).withColumn("salt", F.coalesce(F.pmod("at", "parts"), F.lit(0))).drop("at", "parts")
+    dealt = salted.repartitionByRange(*_KEYS)
+    if carry:
+        dealt = dealt.withColumn("text", ascii_lower(F.coalesce("row.text", F.lit(""))))
+    equal = Window.partitionBy(*_KEYS, "text").orderBy(F.desc("doc_id"))
+    whole = equal.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = dealt.withColumn("place", F.row_number().over(equal)).withColumn("n", F.count(F.lit(1)).over(whole)).withColumn("best", F.first("doc_id").over(whole))
+    return placed.withColumn("nth", F.dense_rank().over(Window.partitionBy(*_KEYS).orderBy("text")))
+
+
+def _merged(firsts: DataFrame) -> DataFrame:
+    """For each part of a hot text (``hash, salt, nth``): ``keep_id`` and ``won`` (whether its first row is the one that stays) and the text's rows, ``size``.
+
+    ``firsts`` are the first rows of the parts, with their texts, which decide who belongs together.
     """
-    firsts = groups.where("__place = 1").select("__sha", "__salt", "doc_id", "__n")
-    best = firsts.groupBy("__sha").agg(F.max(F.struct("doc_id", "__salt")).alias("best"), F.sum("__n").alias("group_size"))
-    return firsts.select("__sha", "__salt").join(best.select("__sha", F.col("best.doc_id").alias("keep_id"), F.col("best.__salt").alias("keep_salt"), "group_size"), "__sha")
+    parts = firsts.select("hash", "salt", "nth", "text", "best", "n")
+    winner = F.max(F.struct("best", "hash", "salt", "nth")).alias("w")
+    whole = parts.groupBy("text").agg(winner, F.sum("n").alias("size"))
+    back = parts.join(whole, "text")
+    won = F.struct("hash", "salt", "nth") == F.struct("w.hash", "w.salt", "w.nth")
+    return back.select("hash", "salt", "nth", F.col("w.best").alias("keep_id"), won.alias("won"), "size")
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
@@ -46,20 +64,23 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
     Texts are equal when identical after lower-casing A-Z only; a null text is an empty one. Of equal texts the largest
     ``doc_id`` stays. A row without ``doc_id`` loses to any other; where all lack one, ``keep_id`` is null and one stays.
-    Of rows that repeat one ``doc_id`` with one text, one stays. An empty table gives none.
+    Of rows that repeat one ``doc_id`` with one text, one stays. Other columns are not used. An empty table gives none.
     """
-    groups = written(_sorted_groups(docs), "exact-groups")
-    rows = groups.join(_decided(groups), ["__sha", "__salt"])
-    kept = (F.col("__place") == 1) & (F.col("__salt") == F.col("keep_salt"))
-    return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("__sha").alias("text_sha256"))
+    rows = _sorted_rows(docs.select("doc_id", "text"), carry=False).withColumn("sha", F.sha2("text", 256))
+    # Texts are kept for the first rows of hot parts alone.
+    slim = rows.withColumn("text", F.when(F.col("hot") & (F.col("place") == 1), F.col("text"))).drop("head")
+    groups = written(slim, "exact-groups")
+    cold = groups.where("not hot").select("doc_id", F.col("best").alias("keep_id"), F.col("n").alias("group_size"), (F.col("place") == 1).alias("kept"), F.col("sha").alias("text_sha256"))
+    merged = F.broadcast(_merged(groups.where("hot and place = 1")))
+    warm = groups.where("hot").join(merged, ["hash", "salt", "nth"])
+    return cold.union(warm.select("doc_id", "keep_id", F.col("size").alias("group_size"), ((F.col("place") == 1) & F.col("won")).alias("kept"), F.col("sha").alias("text_sha256")))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``exact_groups`` keeps, with all their columns.
+    """The rows of ``docs`` that ``exact_groups`` keeps, with all their columns, whatever their names.
 
-    Only texts that more than one salt has can lose their first row to another group, so an anti-join takes those few away.
+    Only a hot text can have first rows in several parts; those that lose are a bounded list, which an anti-join takes away.
     """
-    columns = [c for c in docs.columns if c != "doc_id"]
-    groups = written(_sorted_groups(docs, *columns).where("__place = 1"), "exact-rows")
-    lost = _decided(groups.select("doc_id", "__sha", "__salt", "__place", "__n")).where("__salt != keep_salt").select("__sha", "__salt")
-    return groups.join(lost, ["__sha", "__salt"], "left_anti").select(*docs.columns)
+    firsts = written(_sorted_rows(docs, carry=True).where("place = 1").select("row", "hash", "salt", "nth", "hot", F.when(F.col("hot"), F.col("text")).alias("text"), "best", "n"), "exact-rows")
+    lost = _merged(firsts.where("hot")).where("not won").select("hash", "salt", "nth")
+    return firsts.join(F.broadcast(lost), ["hash", "salt", "nth"], "left_anti").select("row.*")

@@ -15,9 +15,9 @@ import regex
 #: Splits text into the pieces within which merges happen. A fixed value of the public vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Words met since the last turn that a worker keeps, beside as many of the turn before; and the longest word kept, in characters. At
-#: most 2 * MAX_WORDS words of a few hundred bytes each are in memory. Results don't depend on either.
-MAX_WORDS, MAX_WORD_CHARS = 150_000, 32
+#: Words and other pieces met since the last turn that a worker keeps, beside as many of the turn before; and the longest kept, in
+#: characters. At most 2 * (MAX_WORDS + MAX_PARTS) of some two hundred bytes each are in memory. Results don't depend on them.
+MAX_WORDS, MAX_PARTS, MAX_WORD_CHARS = 300_000, 30_000, 32
 
 
 def byte_chars() -> list[str]:
@@ -27,32 +27,34 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+class _Turns(dict):
+    """What ``make`` returns for a key, kept for two turns: a full turn becomes the old one, from which keys that are met again come back."""
+
+    def __init__(self, make, most: int) -> None:
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > MAX_WORD_CHARS:
+                return value
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class WordEncoder:
     """``encode(text)``: the ids as little-endian unsigned 16-bit integers. Subclasses say how a piece and a whole text are encoded."""
 
     def __init__(self) -> None:
         self.pieces = regex.compile(PATTERN).findall
         self.mapped = str.maketrans({chr(b): c for b, c in enumerate(byte_chars())})
-        outer = self
-
-        class Words(dict):
-            """Ids of words in two turns: a full turn becomes the old one, from which words that are met again come back."""
-
-            old: dict = {}
-
-            def __missing__(self, word: str):
-                ids = self.old.get(word)
-                if ids is None:
-                    ids = outer.word_ids(word)
-                    if len(word) > MAX_WORD_CHARS:
-                        return ids
-                if len(self) >= MAX_WORDS:
-                    self.old = dict(self)
-                    self.clear()
-                self[word] = ids
-                return ids
-
-        self.words = Words()
+        self.words = _Turns(self.word_ids, MAX_WORDS)
+        #: Pieces that aren't a word by themselves, such as stops and what follows a line's end.
+        self.parts = _Turns(self.part_ids, MAX_PARTS)
 
     def piece_ids(self, mapped: str, raw: str) -> list[int]:
         raise NotImplementedError
@@ -65,20 +67,27 @@ class WordEncoder:
             return piece.replace(" ", "Ġ")
         return piece.encode().decode("latin-1").translate(self.mapped)
 
-    def chunk_ids(self, chunk: str) -> list[int]:
-        """Ids of a chunk. Characters past the Latin blocks go to the library's own splitter."""
+    def part_ids(self, piece: str) -> bytes:
+        """Ids of one piece."""
+        return array("H", self.piece_ids(self.spelled(piece), piece)).tobytes()
+
+    def chunk_ids(self, chunk: str) -> bytes:
+        """Ids of a chunk, from those of its pieces. Characters past the Latin blocks go to the library's own splitter."""
         if not chunk.isascii() and max(chunk) > "ɏ":
-            return self.whole_ids(chunk)
-        ids: list[int] = []
-        for piece in self.pieces(chunk):
-            ids += self.piece_ids(self.spelled(piece), piece)
-        return ids
+            return array("H", self.whole_ids(chunk)).tobytes()
+        pieces = self.pieces(chunk)
+        if len(pieces) < 2:
+            return self.part_ids(chunk) if pieces else b""
+        first = pieces[0]
+        if first[0] == " " and first[-1].isalpha():  # a word of its own, which may have been met
+            return self.words[first[1:]] + b"".join([self.parts[p] for p in pieces[1:]])
+        return b"".join([self.parts[p] for p in pieces])
 
     def word_ids(self, word: str) -> bytes | None:
         """Ids of a word and the space before it; None if the cut at that space may be wrong."""
         if not word or word[0].isspace() or word[-1].isspace():
             return None
-        return array("H", self.chunk_ids(" " + word)).tobytes()
+        return self.chunk_ids(" " + word)
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -87,7 +96,7 @@ class WordEncoder:
         if first and (first[0].isspace() or first[-1].isspace()):
             return array("H", self.whole_ids(text)).tobytes()
         try:
-            return array("H", self.chunk_ids(first)).tobytes() + b"".join(map(self.words.__getitem__, rest))
+            return self.chunk_ids(first) + b"".join(map(self.words.__getitem__, rest))
         except TypeError:  # a None among them
             return array("H", self.whole_ids(text)).tobytes()
 

@@ -34,6 +34,7 @@ def test_added_tokens_encode_as_the_library_does_by_default():
 
 def test_words_are_forgotten_not_wrong(monkeypatch):
     monkeypatch.setattr(tokens, "MAX_WORDS", 2)
+    monkeypatch.setattr(tokens, "MAX_PARTS", 2)
     e = tokens.LibraryEncoder(tokens.vocabulary("byte_bpe_50k.json"))
     text = "one two three four two one five"
     assert list(array("H", e.encode(text))) == e.tokenizer.encode(text, add_special_tokens=False).ids
