@@ -2,24 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.runtime import work_dir, written
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` as the session names it.
-
-    Only where the session names none (tests on one machine) a folder of this machine is made and set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + os.path.join(tempfile.gettempdir(), "tarn-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+__all__ = ["ascii_lower", "fresh_path", "small_batches", "texts", "work_dir", "written"]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -27,16 +17,6 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again.
-
-    It cuts the lineage with files that outlive any executor, and keeps what is used twice from being computed twice.
-    """
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else. A text of one byte a character takes the fast path, where ``lower`` does the same."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

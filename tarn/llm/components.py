@@ -1,4 +1,4 @@
-"""Connected components of a graph in a table, by rounds of star contraction; nothing of the graph comes to the driver but counts."""
+"""Components of the links between members of buckets, in DataFrame expressions alone; nothing of the graph comes to the driver but counts."""
 
 from __future__ import annotations
 
@@ -8,34 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.llm.common import written
+from tarn.operators.graph import components
 
 #: Members of a bucket that are compared with all others in one round.
 BLOCK = 32
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node, comp`` for every node of ``edges`` (``a, b``): comp is the smallest node of its component.
-
-    Each round links every node's larger neighbours, then its smaller ones, to the smallest of them. Hubs of many edges are
-    summed up before they are shuffled, and their joins may be split by adaptive execution. It ends when a round changes nothing.
-    """
-    now = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    while True:
-        both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        small = large.where("a > b")
-        lowest = small.groupBy("a").agg(F.min("b").alias("m"))
-        new = small.join(lowest, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        new = written(new, "edges")
-        state = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before, now = state, new
-    return new.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(new.select(F.col("b"), F.col("b")).distinct())
-
-
 def ordered(a: Column | str, b: Column | str) -> list[Column]:
     """Two nodes as ``a`` and ``b``, the smaller first."""
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]

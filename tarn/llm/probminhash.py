@@ -6,8 +6,7 @@ holds. Two texts agree in a register with the probability Jaccard similarity of
 however often it occurs, so that this is the plain Jaccard similarity of the two sets of shingles, which links are defined by.
 Texts that agree in all registers of a band are candidates, and a candidate pair is a link when that similarity reaches the threshold.
 
-Texts of the same words are one node. ``bucket_components`` compares the members of buckets without expanding any into all its
-pairs, and loses no link between candidates.
+Texts of the same words are one node. ``verify`` compares the members of buckets, and loses no link between candidates.
 """
 
 from __future__ import annotations
@@ -15,15 +14,14 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tarn.llm import shingles
 from tarn.llm.common import small_batches, texts, written
-from tarn.llm.components import bucket_components
+from tarn.llm.verify import bucket_components
 
 #: Bands and registers in each. At a similarity of 0.8 a pair is missed with a probability of 3 in 100 000, at 0.9 of 1 in 10**9.
 BANDS, ROWS = 20, 4
@@ -81,58 +79,38 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``node, items`` (sorted distinct 32-bit shingle hashes) of the nodes in ``wanted`` (``node, doc_id``).
+    """``node, items`` (sorted distinct 32-bit shingle hashes) of the nodes in ``wanted`` (``node, doc_id``), and perhaps of more.
 
-    A node with a ``doc_id`` is found by it. Rows without one have no other key, so all of them are hashed, and those wanted stay.
+    A node is found by its ``doc_id``; of an id that several texts have, all are hashed. Rows without one have no other key, so
+    all of them are hashed.
     """
 
     def run(batches):
         for batch in small_batches(batches, 1 << 20):
-            words, edges = shingles.word_hashes(batch.column(1).to_pylist())
+            words, edges = shingles.word_hashes(batch.column(0).to_pylist())
             nodes, items = [], []
-            for node, a, b in zip(batch.column(0).to_pylist(), edges, edges[1:], strict=False):
+            for a, b in zip(edges, edges[1:], strict=False):
                 own = words[a:b]
-                found = hashlib.blake2b(own, digest_size=16).digest()
-                if node is None or found == node:
-                    nodes.append(found)
-                    items.append(np.unique(shingles.shingle_hashes(own, size).astype(np.int32)))
+                nodes.append(hashlib.blake2b(own, digest_size=16).digest())
+                items.append(np.unique(shingles.shingle_hashes(own, size).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(items, pa.list_(pa.int32()))], ["node", "items"])
 
-    made = "node binary, items array<int>"
-    named = texts(docs).join(wanted.where("doc_id is not null"), "doc_id").select("node", "text").mapInArrow(run, made)
-    bare = texts(docs).where("doc_id is null").select(F.lit(None).cast("binary").alias("node"), "text").mapInArrow(run, made)
-    return named.union(bare.join(wanted.where("doc_id is null").select("node"), "node", "left_semi")).dropDuplicates(["node"])
+    named = texts(docs).join(wanted.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    bare = texts(docs).where("doc_id is null").select("text")
+    some = named if wanted.where("doc_id is null").isEmpty() else named.union(bare)
+    return some.mapInArrow(run, "node binary, items array<int>").dropDuplicates(["node"])
 
 
-def _with_node(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__node``, the hash of a row's words."""
-    at = docs.columns.index("text")
+def _with_node(rows: DataFrame) -> DataFrame:
+    """``rows`` (``row, doc_id, text``) with ``node``, the hash of a row's words, and without the text."""
 
     def run(batches):
         for batch in small_batches(batches):
-            words, edges = shingles.word_hashes([t or "" for t in batch.column(at).to_pylist()])
+            words, edges = shingles.word_hashes([t or "" for t in batch.column(2).to_pylist()])
             nodes = [hashlib.blake2b(words[a:b], digest_size=16).digest() for a, b in zip(edges, edges[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary())], [*batch.schema.names, "__node"])
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__node", BinaryType())]))
-
-
-def common(left: pd.Series, right: pd.Series) -> pd.Series:
-    """How many items two sorted arrays of integers share."""
-    out = []
-    for x, y in zip(left, right, strict=True):
-        if len(x) > len(y):
-            x, y = y, x
-        at = np.searchsorted(y, x)
-        out.append(int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0)
-    return pd.Series(out, dtype="int64")
-
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary())], ["row", "doc_id", "node"])
 
-def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (``a, b``) whose Jaccard similarity reaches the threshold."""
-    one, two = (sets.select(F.col("node").alias(c), F.col("items").alias(f"i{c}")) for c in "ab")
-    full = pairs.join(one, "a").join(two, "b").withColumn("both", F.pandas_udf(common, LongType())("ia", "ib"))
-    return full.where(F.col("both") >= threshold * (F.size("ia") + F.size("ib") - F.col("both")) - 1e-9).select("a", "b")
+    return rows.mapInArrow(run, StructType([rows.schema["row"], rows.schema["doc_id"], StructField("node", BinaryType())]))
 
 
 def _grouped(docs: DataFrame, shingle: int, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -144,7 +122,7 @@ def _grouped(docs: DataFrame, shingle: int, threshold: float) -> tuple[DataFrame
     members = written(banded.join(shared, "key"), "members")
     wanted = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
     sets = written(_sets(docs, wanted, shingle), "sets")
-    comps = bucket_components(members, sets, lambda pairs: _links(pairs, sets, threshold), threshold)
+    comps = bucket_components(members, sets, threshold)
     return base.select("doc_id", "node"), nodes.select("node", "doc_id", "rows").join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "doc_id", "rows")
 
 
@@ -170,9 +148,14 @@ def drop_near_copies(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.
     """
     base, of = _grouped(docs, shingle, threshold)
     first = of.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "node")).alias("s"))
-    stay = written(first.select(F.col("s.doc_id").alias("__id"), F.col("s.node").alias("__of")), "stay")
-    own = F.col("doc_id").eqNullSafe(F.col("__id"))
+    stay = written(first.select(F.col("s.doc_id").alias("doc_id"), F.col("s.node").alias("node")), "stay")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
     if base.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        return docs.join(stay, own, "left_semi")
-    rows = _with_node(docs).join(stay, own & (F.col("__node") == F.col("__of")), "left_semi")
-    return rows.dropDuplicates(["__node"]).drop("__node")
+        # One text for each id: an id is enough. The one row without an id is its own.
+        named = rows.join(stay.select("doc_id"), "doc_id", "left_semi").select("row")
+        bare = rows.where("doc_id is null").select("row")
+        return (named if stay.where("doc_id is null").isEmpty() else named.union(bare)).select("row.*")
+    keep = stay.select(F.col("doc_id").alias("id"), "node")
+    own = (F.col("r.node") == F.col("k.node")) & F.col("r.doc_id").eqNullSafe(F.col("k.id"))
+    found = _with_node(rows).alias("r").join(keep.alias("k"), own, "left_semi")
+    return found.groupBy("node").agg(F.first("row").alias("row")).select("row.*")

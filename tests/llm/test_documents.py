@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarn.llm import chat, common, cotraining, exact_dedup, license_texts, licenses, pii, probminhash, spotsigs
+from tarn.llm import chat, common, cotraining, exact_dedup, license_texts, licenses, pii, probminhash, shingles, spotsigs, verify
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sha string, node string, key long"
 BASE = "the quick brown fox jumps over the lazy dog and runs into the deep green forest where it finds a small river that flows to the sea of stones"
@@ -130,6 +130,34 @@ def test_near_groups_of_a_large_group(spark):
     assert probminhash.near_groups(docs.limit(0)).count() == 0
 
 
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    """Buckets of more members than a task compares: copies of one text, a chain in which only neighbours are alike, and texts that are near but not linked."""
+    monkeypatch.setattr(verify, "BLOCK", 8)
+    rng = np.random.default_rng(5)
+    star = [" ".join(f"s{i}" if rng.random() > 0.01 else f"x{k}y{i}" for i in range(120)) for k in range(40)]
+    chain = [" ".join(f"c{i}" for i in range(4 * k, 4 * k + 100)) for k in range(40)]
+    loose = [" ".join(f"l{i}" if rng.random() > 0.03 else f"z{k}y{i}" for i in range(150)) for k in range(40)]
+    docs = frame(spark, [*star, *chain, *loose])
+    rows = docs.collect()
+    want = truth(rows)
+    assert len({want[i] for i in range(40, 80)}) == 1 and len({want[i] for i in range(80, 120)}) > 3
+    sets = {}
+    for r in rows:
+        words, _ = shingles.word_hashes([r.text])
+        sets[r.doc_id] = np.unique(shingles.shingle_hashes(words, 5).astype(np.int32)).tolist()
+    made = spark.createDataFrame([(bytes([i]), s) for i, s in sets.items()], "node binary, items array<int>")
+    members = spark.createDataFrame([(k, bytes([i])) for i in sets for k in (i // 40, 7)], "key long, node binary")
+    got = {r.node[0]: r.comp[0] for r in verify.bucket_components(common.written(members, "m"), common.written(made, "s"), 0.8).collect()}
+    assert {i: got.get(i, i) for i in sets} == want
+
+
+def test_repeated_ids_of_different_texts(spark):
+    """One id that many different texts have, and none: every text is told apart by its words."""
+    docs = frame(spark, [(7, f"text {i} of many words that differ a {i} b {i * 3} c") for i in range(30)] + [(None, f"other {i} with more {i * 7} words than that") for i in range(30)])
+    assert probminhash.drop_near_copies(docs.select("*", F.lit(1).alias("row"), F.lit(2).alias("r"))).count() == 60
+    assert probminhash.near_groups(docs).select("node").distinct().count() == 60
+
+
 def test_one_row_of_each_class_stays_without_ids(spark):
     words = [f"w{i}" for i in range(200)]
     near = [" ".join([*words[:k], "new", *words[k + 1 :]]) for k in (3, 190)]
