@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +32,16 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def small_batches(batches, size: int = 4 << 20):
-    """Arrow batches cut so that each holds about ``size`` bytes, and one row at least."""
+    """Arrow batches cut so that each holds about ``size`` bytes, and one row at least. After the last one the worker gives back what it no longer needs, since it stays for the next task."""
     for batch in batches:
         n = max(1, batch.num_rows * size // max(1, batch.nbytes))
         for at in range(0, batch.num_rows, n):
             yield batch.slice(at, n)
+    pa.default_memory_pool().release_unused()
+    _trim()
+
+
+def _trim() -> None:
+    """Freed memory back to the system, where the C library has a call for it."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

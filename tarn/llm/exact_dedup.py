@@ -7,7 +7,7 @@ then compared by their whole texts as well. Hashes only steer rows; none decides
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.llm.common import ascii_lower, written
@@ -21,24 +21,26 @@ HOT_ROWS, MOST_PARTS = 256, 1 << 16
 _KEYS = ("head", "hash", "salt")
 
 
-def _sorted_rows(docs: DataFrame, *, carry: bool) -> DataFrame:
-    """The rows of ``docs`` in sorted ranges: ``doc_id, head, hash, salt, hot, text`` (normalised)``, nth`` (of the different texts of these keys)``, place, n, best``, and ``row`` if carried.
+def _normal() -> Column:
+    return ascii_lower(F.coalesce("text", F.lit("")))
+
+
+def _hot(docs: DataFrame) -> DataFrame:
+    """``hash, parts`` of the texts that are hot: a bounded table, see ``MOST_PARTS``."""
+    many = written(docs.groupBy(F.xxhash64(_normal()).alias("hash")).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > HOT_ROWS), "hot")
+    most = max(HOT_ROWS, docs.count() // MOST_PARTS)
+    return many.where(F.col("rows") > most).select("hash", F.ceil(F.col("rows") / most).alias("parts"))
+
+
+def _sorted_rows(keyed: DataFrame, *, carry: bool) -> DataFrame:
+    """Rows (``doc_id, hash, salt, row`` or ``text``, ``head``) in sorted ranges, with ``text`` (normalised)``, nth`` (of the different texts of these keys)``, place, n, best``.
 
     A splitter is (first characters, 64-bit hash, salt) of the normalised text, so samples on the driver are small and long common
-    beginnings don't meet. The salt is 0 but for hot texts. ``place`` 1 is the largest document id among equal neighbours,
-    ``n`` their number and ``best`` that id. Salts follow the place of a row in its input partition, so that rows
-    that agree in everything are dealt out too; a scan makes them anew in the same way if it is repeated.
+    beginnings don't meet. ``place`` 1 is the largest document id among equal neighbours, ``n`` their number and ``best`` that id.
     """
-    norm = ascii_lower(F.coalesce("text", F.lit("")))
-    many = written(docs.groupBy(F.xxhash64(norm).alias("hash")).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > HOT_ROWS), "hot")
-    most = max(HOT_ROWS, docs.count() // MOST_PARTS)
-    hot = many.where(F.col("rows") > most).select("hash", F.ceil(F.col("rows") / most).alias("parts"))
-    # Where the row is carried its normalised text is made anew behind the exchange, not sent as well.
-    sent = F.struct(*docs.columns).alias("row") if carry else norm.alias("text")
-    keyed = docs.select("doc_id", sent, F.substring(norm, 1, SPLITTER_CHARS).alias("head"), F.xxhash64(norm).alias("hash"), F.monotonically_increasing_id().alias("at"))
-    salted = keyed.join(F.broadcast(hot), "hash", "left").withColumn("hot", F.col("parts").isNotNull()).withColumn("salt", F.coalesce(F.pmod("at", "parts"), F.lit(0))).drop("at", "parts")
-    dealt = salted.repartitionByRange(*_KEYS)
+    dealt = keyed.repartitionByRange(*_KEYS)
     if carry:
+        # The normalised text is made anew behind the exchange, not sent as well.
         dealt = dealt.withColumn("text", ascii_lower(F.coalesce("row.text", F.lit(""))))
     equal = Window.partitionBy(*_KEYS, "text").orderBy(F.desc("doc_id"))
     whole = equal.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -46,6 +48,26 @@ def _sorted_rows(docs: DataFrame, *, carry: bool) -> DataFrame:
     return placed.withColumn("nth", F.dense_rank().over(Window.partitionBy(*_KEYS).orderBy("text")))
 
 
+def _split(docs: DataFrame, *, carry: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Sorted rows of all texts but the hot ones, and of the hot ones, dealt out by a salt; None if there are none.
+
+    The salt of a row follows its place in its input partition, so that rows that agree in everything are dealt out too; a scan makes
+    the same ones if it is repeated.
+    """
+    norm = _normal()
+    sent = F.struct(*docs.columns).alias("row") if carry else norm.alias("text")
+    keyed = docs.select("doc_id", sent, F.substring(norm, 1, SPLITTER_CHARS).alias("head"), F.xxhash64(norm).alias("hash"), F.monotonically_increasing_id().alias("at"))
+    hot = _hot(docs)
+    plain = F.lit(0).cast("long").alias("salt")
+    names = ["doc_id", "row" if carry else "text", "head", "hash"]
+    if hot.isEmpty():
+        return _sorted_rows(keyed.select(*names, plain), carry=carry), None
+    few = F.broadcast(hot)
+    cold = keyed.join(few, "hash", "left_anti").select(*names, plain)
+    warm = keyed.join(few, "hash").select(*names, F.pmod("at", "parts").cast("long").alias("salt"))
+    return _sorted_rows(cold, carry=carry), _sorted_rows(warm, carry=carry)
+
+
 def _merged(firsts: DataFrame) -> DataFrame:
     """For each part of a hot text (``hash, salt, nth``): ``keep_id`` and ``won`` (whether its first row is the one that stays) and the text's rows, ``size``.
 
@@ -66,21 +88,27 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     ``doc_id`` stays. A row without ``doc_id`` loses to any other; where all lack one, ``keep_id`` is null and one stays.
     Of rows that repeat one ``doc_id`` with one text, one stays. Other columns are not used. An empty table gives none.
     """
-    rows = _sorted_rows(docs.select("doc_id", "text"), carry=False).withColumn("sha", F.sha2("text", 256))
-    # Texts are kept for the first rows of hot parts alone.
-    slim = rows.withColumn("text", F.when(F.col("hot") & (F.col("place") == 1), F.col("text"))).drop("head")
+    cold, warm = _split(docs.select("doc_id", "text"), carry=False)
+    out = cold.select("doc_id", F.col("best").alias("keep_id"), F.col("n").alias("group_size"), (F.col("place") == 1).alias("kept"), F.sha2("text", 256).alias("text_sha256"))
+    if warm is None:
+        return out
+    # Texts are kept for the first rows of parts alone.
+    slim = warm.select("doc_id", "hash", "salt", "nth", "place", "n", "best", F.sha2("text", 256).alias("sha"), F.when(F.col("place") == 1, F.col("text")).alias("text"))
     groups = written(slim, "exact-groups")
-    cold = groups.where("not hot").select("doc_id", F.col("best").alias("keep_id"), F.col("n").alias("group_size"), (F.col("place") == 1).alias("kept"), F.col("sha").alias("text_sha256"))
-    merged = F.broadcast(_merged(groups.where("hot and place = 1")))
-    warm = groups.where("hot").join(merged, ["hash", "salt", "nth"])
-    return cold.union(warm.select("doc_id", "keep_id", F.col("size").alias("group_size"), ((F.col("place") == 1) & F.col("won")).alias("kept"), F.col("sha").alias("text_sha256")))
+    merged = F.broadcast(_merged(groups.where("place = 1")))
+    rows = groups.join(merged, ["hash", "salt", "nth"])
+    return out.union(rows.select("doc_id", "keep_id", F.col("size").alias("group_size"), ((F.col("place") == 1) & F.col("won")).alias("kept"), F.col("sha").alias("text_sha256")))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``exact_groups`` keeps, with all their columns, whatever their names.
 
-    Only a hot text can have first rows in several parts; those that lose are a bounded list, which an anti-join takes away.
+    Of hot texts only the first rows of their parts are written, a bounded number, and the parts that lose are taken away.
     """
-    firsts = written(_sorted_rows(docs, carry=True).where("place = 1").select("row", "hash", "salt", "nth", "hot", F.when(F.col("hot"), F.col("text")).alias("text"), "best", "n"), "exact-rows")
-    lost = _merged(firsts.where("hot")).where("not won").select("hash", "salt", "nth")
-    return firsts.join(F.broadcast(lost), ["hash", "salt", "nth"], "left_anti").select("row.*")
+    cold, warm = _split(docs, carry=True)
+    out = cold.where("place = 1").select("row.*")
+    if warm is None:
+        return out
+    firsts = written(warm.where("place = 1").select("row", "hash", "salt", "nth", "text", "best", "n"), "exact-rows")
+    won = F.broadcast(_merged(firsts).where("won").select("hash", "salt", "nth"))
+    return out.union(firsts.join(won, ["hash", "salt", "nth"], "left_semi").select("row.*"))

@@ -57,7 +57,7 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
     """``doc_id, node`` (128-bit hash of the words) and ``keys``, a hash for each band; none for a text without words."""
 
     def run(batches):
-        for batch in small_batches(batches, 1 << 20):
+        for batch in small_batches(batches, shingles.TOGETHER):
             words, edges = shingles.word_hashes(batch.column(1).to_pylist())
             nodes, keys = [], []
             for a, b in zip(edges, edges[1:], strict=False):
@@ -86,7 +86,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """
 
     def run(batches):
-        for batch in small_batches(batches, 1 << 20):
+        for batch in small_batches(batches, shingles.TOGETHER):
             words, edges = shingles.word_hashes(batch.column(0).to_pylist())
             nodes, items = [], []
             for a, b in zip(edges, edges[1:], strict=False):
@@ -105,7 +105,7 @@ def _with_node(rows: DataFrame) -> DataFrame:
     """``rows`` (``row, doc_id, text``) with ``node``, the hash of a row's words, and without the text."""
 
     def run(batches):
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, shingles.TOGETHER):
             words, edges = shingles.word_hashes([t or "" for t in batch.column(2).to_pylist()])
             nodes = [hashlib.blake2b(words[a:b], digest_size=16).digest() for a, b in zip(edges, edges[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary())], ["row", "doc_id", "node"])
@@ -147,14 +147,18 @@ def drop_near_copies(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.
     texts are told apart by their words.
     """
     base, of = _grouped(docs, shingle, threshold)
-    first = of.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "node")).alias("s"))
-    stay = written(first.select(F.col("s.doc_id").alias("doc_id"), F.col("s.node").alias("node")), "stay")
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    place = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "node")
     if base.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        # One text for each id: an id is enough. The one row without an id is its own.
-        named = rows.join(stay.select("doc_id"), "doc_id", "left_semi").select("row")
-        bare = rows.where("doc_id is null").select("row")
-        return (named if stay.where("doc_id is null").isEmpty() else named.union(bare)).select("row.*")
+        # One row for each id, so an id is enough. Those that go are fewer than those that stay: only they are sent to the rows.
+        first = of.groupBy("comp").agg(F.min(place).alias("s"), F.count(F.lit(1)).alias("nodes"), F.sum("rows").alias("rows")).where("rows > 1")
+        lose = base.join(of.select("node", "comp"), "node").join(first, "comp").where(~F.col("doc_id").eqNullSafe(F.col("s.doc_id")))
+        lost = written(lose.select("doc_id"), "lost")
+        bare = not lost.where("doc_id is null").isEmpty()
+        kept = rows.join(lost.where("doc_id is not null"), "doc_id", "left_anti")
+        return (kept.where("doc_id is not null") if bare else kept).select("row.*")
+    first = of.groupBy("comp").agg(F.min(place).alias("s"))
+    stay = written(first.select(F.col("s.doc_id").alias("doc_id"), F.col("s.node").alias("node")), "stay")
     keep = stay.select(F.col("doc_id").alias("id"), "node")
     own = (F.col("r.node") == F.col("k.node")) & F.col("r.doc_id").eqNullSafe(F.col("k.id"))
     found = _with_node(rows).alias("r").join(keep.alias("k"), own, "left_semi")

@@ -9,6 +9,9 @@ BASE = 0x100000001B3
 INVERSE = pow(BASE, -1, 1 << 64)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes of text that are hashed together, as a rule, and the powers that are kept for it.
+TOGETHER = 1 << 18
+KEPT_POWERS = 1 << 19
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -20,13 +23,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((BASE, INVERSE)):
-            steps = np.full(size, np.uint64(base))
-            steps[0] = 1
-            _POWERS[k] = np.multiply.accumulate(steps)
-    return _POWERS
+    """Powers of the base and of its inverse; up to ``KEPT_POWERS`` of them are kept for the next call."""
+    if len(_POWERS[0]) >= n:
+        return _POWERS
+    size = max(n, KEPT_POWERS)
+    made = []
+    for base in (BASE, INVERSE):
+        steps = np.full(size, np.uint64(base))
+        steps[0] = 1
+        made.append(np.multiply.accumulate(steps))
+    if size <= KEPT_POWERS:
+        _POWERS[:] = made
+    return made
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -17,7 +17,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 #: Words and other pieces met since the last turn that a worker keeps, beside as many of the turn before; and the longest kept, in
 #: characters. At most 2 * (MAX_WORDS + MAX_PARTS) of some two hundred bytes each are in memory. Results don't depend on them.
-MAX_WORDS, MAX_PARTS, MAX_WORD_CHARS = 300_000, 30_000, 32
+MAX_WORDS, MAX_PARTS, MAX_WORD_CHARS = 200_000, 30_000, 32
 
 
 def byte_chars() -> list[str]:
