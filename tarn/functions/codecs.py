@@ -28,6 +28,11 @@ def unpack_height(code: Column, low: Column, high: Column) -> Column:
     return low + code / F.lit(65535.0) * (high - low)
 
 
+def height_to_code(metres: Column, low: Column, high: Column) -> Column:
+    """The fractional code of a height, as it stands before rounding."""
+    return (metres.cast("double") - low) / F.greatest(high - low, F.lit(1e-6)) * 65535
+
+
 def pack_surface(value: Column, low: Column, high: Column) -> Column:
     """16-bit code of a water surface, ``NO_SURFACE`` for none."""
     return F.coalesce(_scaled(value, low, high, 65534), F.lit(NO_SURFACE))
@@ -64,6 +69,11 @@ def world_to_grid(x: Column, y: Column, plan) -> tuple[Column, Column]:
     return (plan.samples_y - 1) - (y - plan.origin_y) / plan.spacing_m, (x - plan.origin_x) / plan.spacing_m
 
 
+def cell_xy(row: Column, col: Column, samples_y: int, origin_x: float, origin_y: float, spacing_m: float) -> tuple[Column, Column]:
+    """Where a sample lies; row 0 is the northern edge."""
+    return F.lit(origin_x) + col * spacing_m, F.lit(origin_y) + (F.lit(samples_y - 1) - row) * spacing_m
+
+
 def nearest_index(at: Column, samples: int) -> Column:
     """The sample nearest to a fractional index: half-even, clamped to the lattice."""
     return F.least(F.greatest(F.rint(at), F.lit(0)), F.lit(samples - 1)).cast("int")

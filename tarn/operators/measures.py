@@ -53,7 +53,7 @@ def overlap_groups(intervals: DataFrame, key: str = "reach") -> DataFrame:
 
 
 def curve_values(points: DataFrame, curves: DataFrame, key: str = "label") -> DataFrame:
-    """``id, value`` of points (``id, label, z``) on piecewise linear curves (``label, j, at, value``), the ends held; of several samples at one ``at`` the last counts.
+    """``id, value`` of points (``id, label, z``) on piecewise linear curves (``label, j, at, value``), the ends held. Of several samples at one ``at`` the last counts there and behind, the first is what a line from before ends in.
 
     Points and samples are ordered together, so no curve is joined with each of its points.
     """

@@ -54,6 +54,30 @@ def ocean_mask(cells: DataFrame, sy: int, sx: int, level: float) -> DataFrame:
     return comp.join(shore, "comp", "left_semi").select("row", "col")
 
 
+def reached(cells: DataFrame, samples_x: int) -> DataFrame:
+    """``row, col`` of the cells (``row, col, seed``) that are 8-connected to one that is a ``seed``."""
+    comp = grid_components(cells.select("row", "col"), samples_x, diagonal=True)
+    wet = comp.join(cells.where("seed").select("row", "col"), ["row", "col"]).select("comp").distinct()
+    return comp.join(wet, "comp", "left_semi").select("row", "col")
+
+
+def escapes(cells: DataFrame, samples_y: int, samples_x: int) -> DataFrame:
+    """``id, how`` for floods, each in a window of its own: ``map_edge`` where the cells connected to its seeds touch the map's edge, else ``unbounded`` where they touch the window's.
+
+    Cells: ``id, row, col, seed, rim`` (on the window's edge): those of each window that lie below the level and aren't the lake's own. Floods that stay enclosed have no row.
+    """
+    tagged = cells.withColumn("k", F.col("id"))
+    named = tagged.select("id", "row", "col", "seed", "rim", F.struct("id", "row", "col").alias("node"))
+    way = F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in ((0, 1), (1, 0), (1, 1), (1, -1)))))
+    sent = named.withColumn("w", way).select("id", (F.col("row") + F.col("w.r")).alias("row"), (F.col("col") + F.col("w.c")).alias("col"), F.col("node").alias("a"))
+    edges = sent.join(named.select("id", "row", "col", F.col("node").alias("b")), ["id", "row", "col"]).select("a", "b")
+    comp = named.join(components(edges), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    wet = comp.where("seed").select("comp").distinct()
+    edge = (F.col("row").isin(0, samples_y - 1)) | (F.col("col").isin(0, samples_x - 1))
+    found = comp.join(wet, "comp", "left_semi").where("rim").groupBy("id").agg(F.max(edge.cast("int")).alias("e"))
+    return found.select("id", F.when(F.col("e") == 1, "map_edge").otherwise("unbounded").alias("how"))
+
+
 def touching(cells: DataFrame, key: str) -> DataFrame:
     """Distinct unordered pairs ``a < b`` of different keys of 8-adjacent cells."""
     way = F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in ((0, 1), (1, -1), (1, 0), (1, 1)))))

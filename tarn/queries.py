@@ -659,15 +659,15 @@ def overlap_groups(spark, sf_dir):
 
 
 @query(
-    """WITH c AS (SELECT c_nationkey AS label, c_custkey AS j, floor(c_acctbal)::BIGINT AS aa, (c_custkey % 100)::DOUBLE AS value FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey, floor(c_acctbal) ORDER BY c_custkey DESC) = 1),
+    """WITH c AS (SELECT c_nationkey AS label, floor(c_acctbal)::BIGINT AS aa, arg_min((c_custkey % 100)::DOUBLE, c_custkey) AS first, arg_max((c_custkey % 100)::DOUBLE, c_custkey) AS last FROM customer GROUP BY 1, 2),
     p AS (SELECT s_suppkey AS id, s_nationkey AS label, floor(s_acctbal)::BIGINT AS z FROM supplier),
-    a AS (SELECT id, arg_max(value, aa) AS v, max(aa) AS aa FROM p JOIN c ON c.label = p.label AND aa <= z GROUP BY id), b AS (SELECT id, arg_min(value, aa) AS v, min(aa) AS aa FROM p JOIN c ON c.label = p.label AND aa >= z GROUP BY id)
-    SELECT p.id, round(CASE WHEN a.aa = z THEN a.v ELSE coalesce(a.v + (b.v - a.v) * ((z - a.aa) / (b.aa - a.aa)), a.v, b.v) END, 6) AS value FROM p LEFT JOIN a USING (id) LEFT JOIN b USING (id) WHERE coalesce(a.v, b.v) IS NOT NULL"""
+    a AS (SELECT id, arg_max(last, aa) AS v, max(aa) AS aa FROM p JOIN c ON c.label = p.label AND aa <= z GROUP BY id), b AS (SELECT id, arg_min(first, aa) AS v, min(aa) AS aa FROM p JOIN c ON c.label = p.label AND aa > z GROUP BY id)
+    SELECT p.id, CASE WHEN a.aa = z THEN a.v ELSE coalesce(a.v + (b.v - a.v) * ((z - a.aa) / (b.aa - a.aa)), a.v, b.v) END AS value FROM p LEFT JOIN a USING (id) LEFT JOIN b USING (id) WHERE coalesce(a.v, b.v) IS NOT NULL"""
 )
 def curve_lookup(spark, sf_dir):
     curves = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("label"), F.col("c_custkey").alias("j"), F.floor("c_acctbal").alias("at"), (F.col("c_custkey") % 100).alias("value"))
     points = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("label"), F.floor("s_acctbal").alias("z"))
-    return measures.curve_values(points, curves).where("value is not null").select("id", F.round("value", 6).alias("value"))
+    return measures.curve_values(points, curves).where("value is not null").select("id", "value")
 
 
 @query(
