@@ -3,7 +3,7 @@
 A document's whole text, each of its lines and windows of a template's number of words are units. Units and templates are lower-cased, and their words are runs of letters and
 digits; a unit of n distinct bigrams can only reach the threshold t with templates of between n t / (2 - t) and n (2 - t) / t, so
 others aren't compared. Of a template of m bigrams a window must hold m t / (2 - t), so only documents with as many of them have windows,
-and only those windows are compared that may hold as many. All work is in SQL expressions over one pass; the templates are in the plan.
+and only those windows are compared that may hold as many. Texts without any of the words that a match must have aren't split at all. All work is in SQL expressions over one pass; the templates are in the plan.
 """
 
 from __future__ import annotations
@@ -70,6 +70,61 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({" ".join(p) for p in pairwise(template_words(text))})
 
 
+#: From so many deciding bigrams on, words that cover them are looked for in place of the bigrams themselves.
+FEW = 12
+
+
+def deciding(text: str, threshold: float) -> list[tuple[str, ...]]:
+    """Alternatives, each a list of words, of which a text must hold one whole to match a template anywhere.
+
+    A match holds at least c of the template's m bigrams, whatever the unit, so it lacks m - c at most: of any m - c + 1 bigrams it holds
+    one. These are chosen by their longest words, which are seldom in other texts; where they are many, the fewest long words that
+    cover as many bigrams take their place.
+    """
+    grams = [tuple(g.split(" ")) for g in template_bigrams(text)]
+    m = len(grams)
+    many = m - math.ceil(m * threshold / (2 - threshold) - 1e-9) + 1
+    best = sorted(grams, key=lambda g: (-max(map(len, g)), -min(map(len, g)), g))[:many]
+    if many <= FEW:
+        return best
+    left, chosen, covered = set(grams), [], 0
+    while covered < many:
+        counts: dict[str, int] = {}
+        for g in left:
+            for w in set(g):
+                counts[w] = counts.get(w, 0) + 1
+        # Long words first; a word of under six letters only where no other is left.
+        word = max(counts, key=lambda w: (len(w) > 5, counts[w], len(w), w))
+        hit = {g for g in left if word in g}
+        left -= hit
+        covered += len(hit)
+        chosen.append((word,))
+    return chosen
+
+
+def least_chars(text: str, threshold: float) -> int:
+    """Characters that a text must have to match a template: those of the first words of as few and as short bigrams as a match holds, and what parts them."""
+    firsts = sorted(len(g.split(" ")[0]) + 1 for g in template_bigrams(text))
+    return sum(firsts[: math.ceil(len(firsts) * threshold / (2 - threshold) - 1e-9)])
+
+
+def may_match(text: Column, templates, threshold: float) -> Column:
+    """Whether a lower-cased text is long enough for any template and holds what its match must hold. It only saves work: what it passes over matches nothing."""
+    every = F.lit(False)
+    for _, t in templates:
+        wanted = deciding(t, threshold)
+        single = sorted({w[0] for w in wanted if len(set(w)) == 1})
+        # A pair with a word that is looked for alone says no more than that word.
+        pairs = sorted(sorted(w, key=lambda x: (-len(x), x)) for w in wanted if len(set(w)) > 1 and not set(single) & set(w))
+        has = F.lit(False)
+        for w in single:
+            has = has | F.contains(text, F.lit(w))
+        for long_, short in pairs:
+            has = has | (F.contains(text, F.lit(long_)) & F.contains(text, F.lit(short)))
+        every = every | ((F.length(text) >= least_chars(t, threshold)) & has)
+    return every
+
+
 def _listed(grams: list[str]) -> Column:
     """Bigrams as one value of the plan."""
     return F.split(F.lit("\n".join(grams)), "\n")
@@ -119,7 +174,8 @@ def scan_licenses(docs: DataFrame, *, templates=ALL_TEMPLATES, threshold: float
     sizes = [len(b) for _, b, _ in made]
     need = [math.ceil(m * threshold / (2 - threshold) - 1e-9) for m in sizes]
     low, high = min(sizes) * threshold / (2 - threshold), max(sizes) * (2 - threshold) / threshold
-    units = F.concat(F.array(F.col("text")), F.split(F.col("text"), "\n"))
+    may = may_match(F.col("__lower"), templates, threshold)
+    units = F.when(may, F.concat(F.array(F.col("text")), F.split(F.col("text"), "\n"))).otherwise(F.expr("cast(array() as array<string>)"))
     words = F.transform(units, lambda u, i: F.struct(i.alias("unit"), F.filter(F.split(F.lower(u), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("words")))
     # n distinct bigrams take n + 1 words at least.
     grams = F.transform(F.filter("__words", lambda u: F.size(u["words"]) - 1 >= low), lambda u: F.struct(u["unit"], _bigrams(u["words"]).alias("grams")))
@@ -139,16 +195,17 @@ def scan_licenses(docs: DataFrame, *, templates=ALL_TEMPLATES, threshold: float
     every = sorted({g for _, b, _ in made for g in b})
     short = sorted({g for _, b, _ in made if len(b) < LONG for g in b}) or every
     least = min((c for c, m in zip(need, sizes, strict=True) if m >= LONG), default=0)
-    pairs = _pairs(F.get("__words", F.lit(0))["words"])
+    pairs = _pairs(F.coalesce(F.get("__words", F.lit(0))["words"], F.expr("cast(array() as array<string>)")))
 
     def in_windows(pairs: Column) -> Column:
         shared = F.array_intersect(pairs, F.when(F.size(pairs) >= least, _listed(every)).otherwise(_listed(short)))
         near = _let(shared, lambda s: F.filter(table, lambda t: (F.size(s) >= t["need"]) & (F.size(F.array_intersect(s, t["grams"])) >= t["need"])))
         return F.flatten(F.transform(near, lambda t: _window_hits(pairs, t, F.size("__words") - 1)))
 
-    hits = F.filter(F.concat(F.flatten(F.transform("__kept", against)), _let(pairs, in_windows)), lambda h: -h["minus"] >= threshold)
-    out = texts(docs).withColumn("__words", words).withColumn("__kept", kept).withColumn("__hits", hits).withColumn("__best", F.array_min("__hits"))
-    found = F.array_join(F.array_sort(F.array_distinct(F.transform("__hits", lambda h: h["license"]))), ",")
+    every_hit = F.concat(F.flatten(F.transform("__kept", against)), _let(pairs, in_windows))
+    hits = F.when(F.size("__words") > 0, F.filter(every_hit, lambda h: -h["minus"] >= threshold))
+    out = texts(docs).withColumn("__lower", F.lower("text")).withColumn("__words", words).withColumn("__kept", kept).withColumn("__hits", hits).withColumn("__best", F.array_min("__hits"))
+    found = F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform("__hits", lambda h: h["license"]))), ","), F.lit(""))
     best = lambda name, none: F.coalesce(F.col(f"__best.{name}"), F.lit(none)).alias(name)
     return out.select("doc_id", best("license", ""), best("template", -1), F.coalesce(-F.col("__best.minus"), F.lit(0.0)).alias("dice"), best("unit", -1), found.alias("found"))
 
