@@ -40,17 +40,18 @@ def piece_lengths(n: int, capacity: int) -> list[int]:
     return [short] * bool(short) + [capacity] * (n // capacity)
 
 
-def token_pieces(docs: DataFrame, *, vocabulary: str, capacity: int = 2048, end_id: int | None = 0) -> DataFrame:
+def token_pieces(docs: DataFrame, *, vocabulary: str, capacity: int = 2048, end_id: int | None = 0, words: int | None = None) -> DataFrame:
     """Encode every whole text (null: empty), append ``end_id``, and cut only what is longer than ``capacity``.
 
     ``doc_id, piece, start, length, ids`` (u16 little-endian)``, ids_crc32`` (of the ids as u32). Without an ``end_id`` an
-    empty text gives no piece. Repeated rows are packed as often as they occur. Other columns of ``docs`` are not used.
+    empty text gives no piece. Repeated rows are packed as often as they occur. Other columns of ``docs`` are not used. ``words`` bounds the
+    words that a worker remembers, and so its memory; see ``tokens``.
     """
     tail = b"" if end_id is None else end_id.to_bytes(2, "little")
     names, kinds = ["doc_id", "piece", "start", "length", "ids", "ids_crc32"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
 
     def cut(batches):
-        encoder = tokens.library_encoder(vocabulary)
+        encoder = tokens.library_encoder(vocabulary, words)
         for batch in small_batches(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -236,6 +237,6 @@ def slot_bins(made: Plan, histogram: np.ndarray) -> tuple[np.ndarray, list[tuple
     return wide, rows
 
 
-def packed_documents(docs: DataFrame, *, vocabulary: str, capacity: int = 2048, end_id: int | None = 0) -> DataFrame:
+def packed_documents(docs: DataFrame, *, vocabulary: str, capacity: int = 2048, end_id: int | None = 0, words: int | None = None) -> DataFrame:
     """``token_pieces`` of ``docs``, written once, with their places: ``doc_id, piece, start, length, ids, ids_crc32, sequence_id, offset``."""
-    return pack(written(token_pieces(docs, vocabulary=vocabulary, capacity=capacity, end_id=end_id), "pieces"), capacity=capacity)
+    return pack(written(token_pieces(docs, vocabulary=vocabulary, capacity=capacity, end_id=end_id, words=words), "pieces"), capacity=capacity)

@@ -17,7 +17,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 #: Words and other pieces met since the last turn that a worker keeps, beside as many of the turn before; and the longest kept, in
 #: characters. At most 2 * (MAX_WORDS + MAX_PARTS) of some two hundred bytes each are in memory. Results don't depend on them.
-MAX_WORDS, MAX_PARTS, MAX_WORD_CHARS = 200_000, 30_000, 32
+MAX_WORDS, MAX_PARTS, MAX_WORD_CHARS = 500_000, 30_000, 32
+
+#: Signs that the pattern takes together, and never apart from each other or with anything else, when they stand behind letters.
+STOPS = ".,;:!?*&%$#)]}\"-"
 
 
 def byte_chars() -> list[str]:
@@ -49,10 +52,10 @@ class _Turns(dict):
 class WordEncoder:
     """``encode(text)``: the ids as little-endian unsigned 16-bit integers. Subclasses say how a piece and a whole text are encoded."""
 
-    def __init__(self) -> None:
+    def __init__(self, words: int | None = None) -> None:
         self.pieces = regex.compile(PATTERN).findall
         self.mapped = str.maketrans({chr(b): c for b, c in enumerate(byte_chars())})
-        self.words = _Turns(self.word_ids, MAX_WORDS)
+        self.words = _Turns(self.word_ids, words or MAX_WORDS)
         #: Pieces that aren't a word by themselves, such as stops and what follows a line's end.
         self.parts = _Turns(self.part_ids, MAX_PARTS)
 
@@ -85,6 +88,11 @@ class WordEncoder:
 
     def word_ids(self, word: str) -> bytes | None:
         """Ids of a word and the space before it; None if the cut at that space may be wrong."""
+        if word.isalpha():  # one piece: letters are what the pattern takes together
+            return self.part_ids(" " + word) if word.isascii() or max(word) <= "ɏ" else self.chunk_ids(" " + word)
+        core = word.rstrip(STOPS)
+        if core.isalpha() and (core.isascii() or max(core) <= "ɏ"):  # two: the letters, and all stops behind them
+            return self.words[core] + self.parts[word[len(core) :]]
         if not word or word[0].isspace() or word[-1].isspace():
             return None
         return self.chunk_ids(" " + word)
@@ -104,10 +112,10 @@ class WordEncoder:
 class LibraryEncoder(WordEncoder):
     """A vocabulary file of the tokenizers library, encoding as it does by default: a text with the string of an added token is encoded whole."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, words: int | None = None) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(words)
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
             raise ValueError("ids over 65535 don't fit two bytes")
@@ -127,9 +135,9 @@ class LibraryEncoder(WordEncoder):
 
 
 @lru_cache(maxsize=4)
-def library_encoder(path: str) -> LibraryEncoder:
+def library_encoder(path: str, words: int | None = None) -> LibraryEncoder:
     """One for each worker process, so that its words last from task to task."""
-    return LibraryEncoder(path)
+    return LibraryEncoder(path, words)
 
 
 def vocabulary(name: str) -> str:

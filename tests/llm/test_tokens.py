@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 from tarn.llm import packing, records, sp_bpe, tokens
 
-TEXTS = ["", " ", "  ", "a  b", " a", "a ", "a\n b", "a \n b", "x\n\n\ny  z", "it's we'll 'S  don't", "日本 語 テスト", "é ü x y", "1 22 3a4 $% ^", "tab\t x", "a <|endoftext|> b", "\x00 \x01 z", "😀 😀x", "a\u0085 b", "word, " * 3000, "q" * 5000]
+TEXTS = ["", " ", "  ", "a  b", " a", "a ", "a\n b", "a \n b", "x\n\n\ny  z", "it's we'll 'S  don't", "日本 語 テスト", "é ü x y", "1 22 3a4 $% ^", "tab\t x", "a <|endoftext|> b", "\x00 \x01 z", "😀 😀x", "a\u0085 b", "word, " * 3000, "q" * 5000, "ab. cd?! ef,\"gh\" it's, x-- y'll... é!! ñ** don't. ªb. ǅ, ⅷ. a١. ʰ. ok.\n(a) [b]. %x 5. 5a. a5, #!", "word.' word.'s a-b a- -b a.b. e.g., ...", "ɐ. aɐ, ɐa! \u0301. a\u0301. _a_ a_."]
 SCHEMA = "doc_id long, text string, key string, offset int"
 
 
@@ -24,6 +24,19 @@ def test_words_encode_as_the_library_does():
         assert list(array("H", e.encode(t))) == e.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_random_texts_encode_as_the_libraries_do():
+    tiktoken = pytest.importorskip("tiktoken")
+    e = tokens.library_encoder(tokens.vocabulary("byte_bpe_50k.json"))
+    r = sp_bpe.rank_encoder(tokens.vocabulary("byte_bpe_multi_50k.tiktoken"))
+    own = tiktoken.Encoding("own", pat_str=tokens.PATTERN, mergeable_ranks=r.ranks, special_tokens={})
+    rng = np.random.default_rng(11)
+    signs = list("abcXYé ñß  \n\t.,;:!?*&%$#)]}\"'-_(1٣ɐ日\u0301😀") + ["the", "'s", "'ll", " of", "...", "!!"]
+    for _ in range(3000):
+        t = "".join(rng.choice(signs, rng.integers(1, 25)))
+        assert list(array("H", e.encode(t))) == e.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+        assert list(array("H", r.encode(t))) == own.encode_ordinary(t), repr(t)
+
+
 def test_added_tokens_encode_as_the_library_does_by_default():
     path = tokens.vocabulary("byte_bpe_50k.json")
     encoder, plain = tokens.LibraryEncoder(path), Tokenizer.from_file(path)
