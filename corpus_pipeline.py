@@ -32,7 +32,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed_documents(docs, vocabulary=vocabulary("byte_bpe_50k.json"))
+    # The workers have served the stages before and keep what those needed, so that they remember fewer words than by default.
+    return packing.packed_documents(docs, vocabulary=vocabulary("byte_bpe_50k.json"), words=150_000)
 
 
 STAGES = [
