@@ -102,14 +102,23 @@ def _octave(x: np.ndarray, y: np.ndarray, size: float, salt: int) -> np.ndarray:
     return top * (1 - t) + low * t
 
 
-def noise(x: Column, y: Column, *, wavelength_m: float, octaves: int, seed: int = 0) -> Column:
+#: How far the bending octaves reach, as a share of the wavelength, their salts, the salt of the first octave, that of a seed, and what brings the sum to about [-1, 1]; fixed values.
+BEND, BEND_SALTS, FIRST_SALT, SEED_SALT, SPREAD = 0.35, (7, 11), 17, 131, 1.6
+
+
+def world_noise(x: np.ndarray, y: np.ndarray, *, wavelength_m: float, octaves: int, seed: int = 0) -> np.ndarray:
     """Fractal noise in [-1, 1] that depends on world coordinates alone, bent by two slower octaves so that no grain of the lattice shows."""
+    salt = seed * SEED_SALT
+    dx, dy = (BEND * wavelength_m * _octave(x, y, wavelength_m, salt + k) for k in BEND_SALTS)
+    weights = 0.5 ** np.arange(max(1, octaves))
+    layers = [w * _octave(x + dx, y + dy, wavelength_m * w, salt + FIRST_SALT + k) for k, w in enumerate(weights)]
+    return np.clip(SPREAD * np.sum(layers, 0) / weights.sum(), -1, 1).astype(np.float32)
+
+
+def noise(x: Column, y: Column, *, wavelength_m: float, octaves: int, seed: int = 0) -> Column:
+    """``world_noise`` of two columns."""
 
     def run(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        a, b = xs.to_numpy(float), ys.to_numpy(float)
-        bend = [0.35 * wavelength_m * _octave(a, b, wavelength_m, seed * 131 + k) for k in (7, 11)]
-        weights = 0.5 ** np.arange(max(1, octaves))
-        total = sum(w * _octave(a + bend[0], b + bend[1], wavelength_m * w, seed * 131 + 17 + k) for k, w in enumerate(weights))
-        return pd.Series(np.clip(1.6 * total / weights.sum(), -1, 1).astype("f4").astype(float))
+        return pd.Series(world_noise(xs.to_numpy(float), ys.to_numpy(float), wavelength_m=wavelength_m, octaves=octaves, seed=seed).astype(float))
 
     return F.pandas_udf(run, DoubleType())(x, y)
