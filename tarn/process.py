@@ -5,11 +5,12 @@ from __future__ import annotations
 import datetime
 import os
 import time
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn import manifests
 from tarn.functions import codecs
 from tarn.operators import audit, beds, flow, hierarchy, lakes, spatial, stencil
 from tarn.plans.lattice import GridPlan
@@ -70,10 +71,11 @@ def process(spark: SparkSession, plan: GridPlan, cells: DataFrame, lake_table: D
     surface = base.join(levels, "lake_id").where("lake_id > 0 and level is not null").select("row", "col", F.col("level").alias("surface"))
     sea = spatial.ocean_mask(base.withColumn("water", F.col("kind") != 0), sy, sx, options.ocean_level_m).withColumn("sea", F.lit(True))
     code = base.join(sea, ["row", "col"], "left").select("row", "col", codecs.water_code(F.col("kind"), F.col("lake_id"), F.coalesce("sea", F.lit(False))).alias("code"))
-    codes, tops, ny, nx = [code], [surface], sy, sx
+    # Each level is written once, so that a coarser one doesn't make all finer ones anew.
+    codes, tops, ny, nx = [written(code, "water-id")], [written(surface, "surface")], sy, sx
     for _ in range(1, plan.num_levels):
-        codes.append(stencil.downsample_water(codes[-1], ny, nx))
-        tops.append(stencil.downsample_min(tops[-1], ny, nx))
+        codes.append(written(stencil.downsample_water(codes[-1], ny, nx), "water-id"))
+        tops.append(written(stencil.downsample_min(tops[-1], ny, nx), "surface"))
         ny, nx = stencil.half(ny), stencil.half(nx)
     leveled = lambda parts, value: _stacked([p.select(F.lit(k).alias("level"), "row", "col", value.alias("value")) for k, p in enumerate(parts)])
     binary.write_atlas(binary.tiles(leveled(codes, F.col("code")), plan, "<u2"), plan, 2, f"{out}/water_id.atlas")
@@ -81,15 +83,26 @@ def process(spark: SparkSession, plan: GridPlan, cells: DataFrame, lake_table: D
     binary.write_lake_runs(f"{out}/lake_cells.bin", lakes.lake_runs(base, sx))
     done("water")
     stats: dict = {}
+    blocks: dict = {}
     if options.hierarchy:
         packed = bed.select(F.lit(0).alias("grid"), "row", "col", codecs.pack_height(F.col("h"), *bounds).alias("code"))
         tree = written(hierarchy.nodes(packed), "nodes")
         write_nodes(tree, f"{out}/hierarchy.bin", low, high)
         way = written(flow.directions(packed, sy, sx), "flow")
         ends = flow.catchments(way, sx, plan.spacing_m**2)
+        named = written(hierarchy.labels(packed), "labels")
+        write_labels(named, plan, sy, sx, f"{out}/labels.atlas")
+        write_flow(way, plan, f"{out}/flowdir.atlas")
+        counts = lakes.lake_label_counts(base.where("lake_id > 0").join(named.where("label > 0").select("row", "col", "label"), ["row", "col"]), levels.where("level > 0").select("lake_id"))
+        binary.write_lake_samples(f"{out}/lake_samples.bin", counts)
+        step = (high - low) / 65535
+        blocks = {"hierarchy": manifests.tree_block(tree, step, cell_area=plan.spacing_m**2)}
         stats = {"nodes": tree.count(), "leaves": tree.where("leaf").count(), "outlets": ends.count(), "tree_errors": audit.check_tree(tree).count()}
         done("hierarchy")
-    manifest = {"format": FORMAT, "plan": asdict(plan), "options": asdict(options), "height_min": low, "height_max": high, "created_utc": datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), "seconds": seconds, "statistics": stats}
+    manifest = {"format": FORMAT, "plan": asdict(plan), "options": asdict(options), "height_min": low, "height_max": high, "created_utc": datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), "seconds": seconds, "statistics": stats, **blocks}
+    manifest["atlas"] = {"bytes": plan.total_bytes(2), "tile_bytes": plan.tile_bytes(2)}
+    manifest["generator"] = manifests.generator(plan, asdict(options))
+    manifest["water_source"] = manifests.water_block()
     manifest["level_sources"] = {r["source"]: r["count"] for r in levels.groupBy("source").count().collect()}
     catalog.write_manifest(out, "manifest.json", manifest)
     return manifest
@@ -102,6 +115,32 @@ def _stacked(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def label_levels(named: DataFrame, plan: GridPlan, sy: int, sx: int) -> DataFrame:
+    """``level, row, col, label``: each level from the labels and codes of the one below: the label of the lowest child, the lower label among equals."""
+    parts, now, ny, nx = [], named.select("row", "col", "code", "label"), sy, sx
+    for k in range(plan.num_levels):
+        now = written(now, "labels")
+        parts.append(now.select(F.lit(k).alias("level"), "row", "col", "label"))
+        if k + 1 < plan.num_levels:
+            coarse = stencil.decimate(now.withColumn("h", F.col("code").cast("double")), ny, nx).select("row", "col", F.rint("h").cast("int").alias("code"))
+            now = stencil.downsample_label(now, ny, nx).join(coarse, ["row", "col"]).select("row", "col", "code", "label")
+            ny, nx = stencil.half(ny), stencil.half(nx)
+    return _stacked(parts)
+
+
+def write_labels(named: DataFrame, plan: GridPlan, sy: int, sx: int, path: str) -> int:
+    """The labels of all levels as an atlas of u32."""
+    levels = label_levels(named, plan, sy, sx).withColumnRenamed("label", "value")
+    return binary.write_atlas(binary.tiles(levels, plan, "<u4"), plan, 4, path)
+
+
+def write_flow(way: DataFrame, plan: GridPlan, path: str) -> int:
+    """Flow directions of the finest level as an atlas of bytes."""
+    finest = replace(plan, num_levels=1)
+    levels = way.select(F.lit(0).alias("level"), "row", "col", F.coalesce("flow", F.lit(0)).alias("value"))
+    return binary.write_atlas(binary.tiles(levels, finest, "u1"), finest, 1, path)
+
+
 def write_nodes(tree: DataFrame, path: str, low: float, high: float) -> int:
     """The tree as a record file, in order of its nodes."""
     metres = lambda c: low + c / 65535 * (high - low) if c is not None else 0.0
