@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.operators.spatial import distance, grid_components
+from tarn.operators.spatial import edge_of, grid_components
 from tarn.operators.stencil import neighbours
 from tarn.runtime import written
 
@@ -29,12 +29,23 @@ def _around(cells: DataFrame, radius: int, *values: str) -> DataFrame:
     return cells.withColumn("w", way).select((F.col("row") - F.col("w.r")).alias("row"), (F.col("col") - F.col("w.c")).alias("col"), *values)
 
 
+def _beside_others(cells: DataFrame, wet: DataFrame, radius: float) -> DataFrame:
+    """``row, col`` of the lake samples within ``radius`` cells of a sample that isn't of their lake. Only samples along borders send, since the nearest one is among them."""
+    border = edge_of(cells.select("row", "col", "lake_id"), "lake_id")
+    n = int(radius)
+    steps = [(r, c) for r in range(-n, n + 1) for c in range(-n, n + 1) if r * r + c * c <= radius * radius]
+    way = F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in steps)))
+    sent = border.withColumn("w", way).select((F.col("row") + F.col("w.r")).alias("row"), (F.col("col") + F.col("w.c")).alias("col"), F.col("lake_id").alias("other")).distinct()
+    return wet.select("row", "col", "lake_id").join(sent, ["row", "col"]).where("other != lake_id").select("row", "col").distinct()
+
+
 def split_shores(cells: DataFrame, levels: DataFrame, sy: int, sx: int, spacing_m: float, rules: ShoreRules = ShoreRules()) -> DataFrame:
     """``row, col, lake_id, part, anchor`` of lake samples whose lake has a level: ``part`` is plane, ground, land or island.
 
     Plane is what lies at the water's height as scanned (the median of samples ``inset`` inside), flat, beside flat at the same height, or
     farther in than the strip. Of the rest, what is under the level is ground; what is over it is land if it is joined to the outside through
-    land, an island if it rises ``island_m`` over the level anywhere, else plane. Scraps of plane below the level are ground. ``anchor`` is where the
+    land, an island if it rises ``island_m`` over the level anywhere, else plane. Scraps of plane below the level, beside a larger piece, are ground. The strip is counted from
+    whatever isn't the same lake, another lake too. ``anchor`` is where the
     bed may begin. Cells: ``row, col, h, lake_id`` (0: none).
     """
     wet = written(cells.where("lake_id > 0 and h is not null").join(levels.where("level is not null"), "lake_id").select("row", "col", "lake_id", F.col("h").cast("double").alias("h"), "level"), "wet")
@@ -45,13 +56,16 @@ def split_shores(cells: DataFrame, levels: DataFrame, sy: int, sx: int, spacing_
     heights = cells.where("h is not null").select("row", "col", F.col("h").cast("double").alias("h"))
     flat = _around(heights, 1, F.col("h").alias("o")).groupBy("row", "col").agg((F.max("o") - F.min("o")).alias("range")).where(F.col("range") <= rules.flat_m).join(heights, ["row", "col"]).select("row", "col", "h")
     beside = neighbours(flat, F.col("h").alias("o")).join(heights, ["row", "col"]).where(F.abs(F.col("h") - F.col("o")) <= rules.plane_m).select("row", "col").union(flat.select("row", "col")).distinct().withColumn("calm", F.lit(True))
-    away = distance(cells.select("row", "col", (F.col("lake_id") == 0).alias("source")), sx)
-    far = F.coalesce(F.sqrt(F.col("d2").cast("double")) * spacing_m > rules.band_m, F.lit(True))
-    rows = wet.join(plane_at, "lake_id").join(beside, ["row", "col"], "left").join(away, ["row", "col"], "left")
+    near = _beside_others(cells, wet, rules.band_m / spacing_m).withColumn("near", F.lit(True))
+    far = F.col("near").isNull()
+    rows = wet.join(plane_at, "lake_id").join(beside, ["row", "col"], "left").join(near, ["row", "col"], "left")
     calm = (F.abs(F.col("h") - F.col("pz")) <= rules.plane_m) | F.coalesce("calm", F.lit(False))
     rows = written(rows.select("row", "col", "lake_id", "h", "level", "pz", calm.alias("calm"), far.alias("far")), "strip")
-    scraps = grid_components(rows.where("calm"), sx, "lake_id", diagonal=True).join(rows.where("calm and pz < level").select("row", "col"), ["row", "col"])
-    small = scraps.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < rules.scraps)
+    scraps = written(grid_components(rows.where("calm"), sx, "lake_id", diagonal=True).join(rows.where("calm and pz < level").select("row", "col", "lake_id"), ["row", "col"]), "scraps")
+    sizes = scraps.groupBy("lake_id", "comp").agg(F.count(F.lit(1)).alias("n"))
+    # A lake's only piece of plane is its water, however small.
+    several = sizes.groupBy("lake_id").agg(F.count(F.lit(1)).alias("pieces")).where("pieces > 1")
+    small = sizes.where(F.col("n") < rules.scraps).join(several, "lake_id", "left_semi")
     lone = scraps.join(small, "comp", "left_semi").select("row", "col", F.lit(True).alias("scrap"))
     rows = rows.join(lone, ["row", "col"], "left")
     first = F.when(F.col("far") | (F.col("calm") & ~F.coalesce("scrap", F.lit(False))), "plane").when(F.col("h") < F.col("level"), "ground").otherwise("land")

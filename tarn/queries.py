@@ -450,10 +450,22 @@ def profile_shape(spark, sf_dir):
     return _shaped(spark, sf_dir).select("seg_id", "ord", F.col("cap").cast("long").alias("cap"), F.round(F.col("shaped") * 1000).cast("long").alias("shaped"))
 
 
-@query()
+@query(
+    sql(
+        _SHAPE
+        + """, b AS (SELECT s.seg_id, s.ord, cap, lake_id = 0 AND cap - shaped > 300 AS deep, lake_id = 0 AND cap - shaped > 100 AS flank FROM shaped s JOIN lines l ON l.seg_id = s.seg_id AND l.ord = s.ord),
+        g AS (SELECT *, coalesce(max(CASE WHEN NOT flank THEN ord END) OVER w + 1, 0) AS beg, CASE WHEN deep AND NOT coalesce(lag(deep) OVER w, false) THEN 1 ELSE 0 END AS fresh FROM b WINDOW w AS (PARTITION BY seg_id ORDER BY ord)),
+        h AS (SELECT *, sum(fresh) OVER (PARTITION BY seg_id ORDER BY ord) AS run FROM g),
+        br AS (SELECT seg_id, run, arg_min(beg, ord) AS beg, arg_max(ord, cap * 100000 - ord) AS crest FROM h WHERE deep GROUP BY seg_id, run HAVING count(*) * 3.0 > 5),
+        f AS (SELECT seg_id, greatest(beg, coalesce(lag(crest) OVER (PARTITION BY seg_id ORDER BY run) + 1, 0)) AS first, crest FROM br)
+    SELECT seg_id, first::INTEGER AS first, crest::INTEGER AS crest FROM f WHERE first < crest""",
+        "lines",
+    )
+)
 def barrier_runs(spark, sf_dir):
     wet = lines(spark, sf_dir).select("seg_id", "ord", (F.col("lake_id") > 0).alias("wet"), F.lit(3.0).alias("step"))
-    return profiles.barriers(_shaped(spark, sf_dir).join(wet, ["seg_id", "ord"]), cut_m=300, length_m=5, flank_m=100)
+    got = profiles.barriers(_shaped(spark, sf_dir).join(wet, ["seg_id", "ord"]), cut_m=300, length_m=5, flank_m=100)
+    return got.select("seg_id", F.col("first").cast("int").alias("first"), F.col("crest").cast("int").alias("crest"))
 
 
 @query(sql(", p AS (SELECT row AS seg_id, col AS ord, lake_id > 0 AS wet, h FROM cells), s AS (SELECT h - lag(h) OVER w AS rise, NOT wet AND NOT lag(wet) OVER w AS open FROM p WINDOW w AS (PARTITION BY seg_id ORDER BY ord)) SELECT count(*) AS steps, count(*) FILTER (rise > 100000) AS rises FROM s WHERE rise IS NOT NULL AND open", "cells"))
@@ -482,7 +494,17 @@ def node_catchments(spark, sf_dir):
     return flow.catchments(flow.directions(cells, sy, sx), sx)
 
 
-@query()
+@query(
+    sql(
+        _ADJ
+        + """, pr AS (SELECT a.cell AS a, b.cell AS b FROM cells a, s8 JOIN cells b ON b.row = a.row + r AND b.col = a.col + c AND b.code = a.code),
+        cl(a, b) AS (SELECT cell, cell FROM cells UNION SELECT cl.a, pr.b FROM cl JOIN pr ON pr.a = cl.b), cp AS (SELECT a AS cell, min(b) AS comp FROM cl GROUP BY a),
+        bad AS (SELECT DISTINCT comp FROM cp JOIN cells x USING (cell) CROSS JOIN dim WHERE x.row IN (0, sy - 1) OR x.col IN (0, sx - 1) OR EXISTS (SELECT 1 FROM cells y, s8 WHERE y.row = x.row + s8.r AND y.col = x.col + s8.c AND y.code < x.code))
+    SELECT row_number() OVER (ORDER BY comp)::INTEGER AS pit, any_value(code) AS code, count(*) AS cells, comp AS first_cell FROM cp JOIN cells USING (cell) WHERE comp NOT IN (SELECT comp FROM bad) GROUP BY comp""",
+        "dim",
+        "cells",
+    )
+)
 def pit_sets(spark, sf_dir):
     return flow.pits(*lattice(spark, sf_dir))
 
@@ -588,10 +610,21 @@ def unexplained_top500(spark, sf_dir):
     return hierarchy.unexplained(tree.withColumns({"parent": none.cast("long"), "overflow_to": none.cast("long"), "level": none.cast("double")}), F.lit(25))[0]
 
 
-@query()
+@query(
+    sql(
+        _NEAR_STEPS
+        + """, w AS (SELECT row, col, cell FROM cells WHERE kind = 2), pr AS (SELECT a.cell AS a, b.cell AS b FROM w a JOIN w b ON abs(a.row - b.row) + abs(a.col - b.col) = 1 AND b.cell IN (a.cell - 65, a.cell - 1, a.cell + 1, a.cell + 65)),
+        cl(a, b) AS (SELECT cell, cell FROM w UNION SELECT cl.a, pr.b FROM cl JOIN pr ON pr.a = cl.b), cp AS (SELECT a AS cell, min(b) AS comp FROM cl GROUP BY a),
+        body AS (SELECT row, col, comp FROM w JOIN cp USING (cell)),
+        ring AS (SELECT d.row, d.col, d.h, arg_min(l.comp, (r * r + c * c) * 100000000000::BIGINT + l.row::BIGINT * 1000 + l.col) AS comp FROM cells d, st JOIN body l ON l.row = d.row + r AND l.col = d.col + c WHERE d.kind <> 2 GROUP BY d.row, d.col, d.h),
+        top AS (SELECT comp, quantile_cont(h::DOUBLE, 0.75) AS top FROM ring GROUP BY comp), sh AS (SELECT comp, quantile_cont(h::DOUBLE, 0.2) AS shore FROM ring JOIN top USING (comp) WHERE h >= top - 20000000 GROUP BY comp)
+    SELECT cells.row, cells.col, round(CASE WHEN shore IS NOT NULL AND h < shore - 20000000 THEN shore ELSE h END, 3) AS h FROM cells LEFT JOIN (body JOIN sh USING (comp)) x ON x.row = cells.row AND x.col = cells.col""",
+        "cells",
+    )
+)
 def void_repair(spark, sf_dir):
     cells, _, sx = lattice(spark, sf_dir)
-    return lakes.fill_voids(cells, sx, void_below=20000000)
+    return lakes.fill_voids(cells, sx, void_below=20000000).select("row", "col", F.round(F.col("h").cast("double"), 3).alias("h"))
 
 
 @query(
@@ -698,10 +731,17 @@ def referential_checks(spark, sf_dir):
     return audit.check_links(seg, seg.select("seg_id", F.col("unit").alias("lake_id")), known)
 
 
-@query()
+@query(
+    """WITH s AS (SELECT l_suppkey AS lake, l_quantity / 50 AS q, l_discount * 100 + 1 AS depth FROM lineitem WHERE l_quantity > 0),
+    g AS (SELECT * FROM (SELECT unnest([0.7, 0.9, 1.1])::DOUBLE AS k), (SELECT unnest([0.4, 0.6, 0.8])::DOUBLE AS b), (SELECT unnest([0.8, 1.0, 1.2])::DOUBLE AS scale)),
+    e AS (SELECT k, b, scale, lake, depth, (1 - exp(-q * k / b)) * b * 12 * scale AS model FROM s, g),
+    l AS (SELECT k, b, scale, lake, abs(ln(max(model) / max(depth))) AS m1, abs(ln(avg(model) / avg(depth))) AS m2, median(abs(ln(model / depth))) AS m3 FROM e GROUP BY ALL)
+    SELECT k, b, scale, round(median(m1), 6) AS max_error, round(median(m2), 6) AS mean_error, round(median(m3), 6) AS point_error FROM l GROUP BY k, b, scale"""
+)
 def calibration_sweep(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("lake_id"), (F.col("l_quantity") / 50).alias("q"), (F.col("l_discount") * 100 + 1).alias("depth"), F.lit(12.0).alias("reach"))
-    return measures.calibration(rows)
+    got = measures.calibration(rows)
+    return got.select("k", "b", "scale", *(F.round(c, 6).alias(c) for c in ("max_error", "mean_error", "point_error")))
 
 
 @query()
@@ -716,19 +756,38 @@ def lake_bed_ramp(spark, sf_dir):
     return beds.lake_ramp(cells, sx, 5.0)
 
 
-@query()
+@query(
+    sql(
+        """, ds AS (SELECT r, c FROM (SELECT unnest([-2, -1, 0, 1, 2]) AS r), (SELECT unnest([-2, -1, 0, 1, 2]) AS c) WHERE r * r + c * c <= 4), sr AS (SELECT row, col, h FROM cells WHERE kind = 1 AND code < 8),
+        nr AS (SELECT v.row, v.col, min((r * r + c * c) * 100000000::BIGINT + s.row * 1000 + s.col) AS k FROM cells v, ds JOIN sr s ON s.row = v.row + r AND s.col = v.col + c WHERE v.kind = 1 GROUP BY v.row, v.col),
+        t AS (SELECT v.row, v.col, v.h::DOUBLE AS h, s.h::DOUBLE AS level, greatest(1 - sqrt(k // 100000000) * 5 / 10.0::DOUBLE, 0) AS u, greatest(least(1 - greatest(v.h - s.h, 0) / 1e6, 1), 0) AS w FROM nr JOIN cells v ON v.row = nr.row AND v.col = nr.col JOIN sr s ON s.row = (k % 100000000) // 1000 AND s.col = k % 1000)
+    SELECT cells.row, cells.col, round(coalesce(least(t.h, least(t.h, level) - 50000 * (u * u * (3 - 2 * u)) * (w * w * (3 - 2 * w)) + greatest(t.h - level, 0)), cells.h), 3) AS h FROM cells LEFT JOIN t ON t.row = cells.row AND t.col = cells.col""",
+        "cells",
+    )
+)
 def river_trench(spark, sf_dir):
+    """Centres are the river samples of the lower codes; the others take the nearest of them."""
     cells, _, _ = lattice(spark, sf_dir)
-    centre = cells.where("kind = 1").select("row", "col", F.col("h").cast("double").alias("level"), F.lit(50000.0).alias("depth"), F.lit(10.0).alias("half_width"))
-    return beds.carve_rivers(cells, centre, 2, 5.0, tolerance_m=1e6)
+    centre = cells.where("kind = 1 and code < 8").select("row", "col", F.col("h").cast("double").alias("level"), F.lit(50000.0).alias("depth"), F.lit(10.0).alias("half_width"))
+    return beds.carve_rivers(cells, centre, 2, 5.0, tolerance_m=1e6).select("row", "col", F.round("h", 3).alias("h"))
 
 
-@query()
+@query(
+    sql(
+        _SPANS
+        + """, n AS (SELECT row AS seg_id, max(col) + 1 AS n FROM cells GROUP BY row), lv AS (SELECT s.seg_id, s.a, s.b, s.lake_id, median(h::DOUBLE) AS level FROM spans s JOIN cells ON row = s.seg_id AND col BETWEEN s.a AND s.b AND cells.lake_id > 0 GROUP BY ALL),
+        e AS (SELECT lv.*, 'inflow' AS kind, a AS ord, 1 AS step FROM lv WHERE a > 0 UNION ALL SELECT lv.*, 'outflow', b, -1 FROM lv JOIN n USING (seg_id) WHERE b < n - 1),
+        o AS (SELECT e.*, k, level - h AS d FROM e, (SELECT unnest([1, 2, 3]) AS k) JOIN cells ON row = e.seg_id AND col = e.ord - e.step * k),
+        s AS (SELECT seg_id, lake_id, kind, ord, level, median(d) AS mid, greatest(min(d), 0) AS low, max(CASE WHEN k = 1 THEN 6.0 END) AS width FROM o GROUP BY ALL)
+    SELECT seg_id, lake_id, kind, ord, round(level, 1) AS level, round(CASE WHEN kind = 'inflow' THEN least(mid, 5e6) ELSE least(low, 1e7) END, 1) AS depth, (width / 2)::DOUBLE AS half_width, kind = 'outflow' AND low > 1e7 AS capped FROM s""",
+        "cells",
+    )
+)
 def river_mouths(spark, sf_dir):
     spans, _ = _spans(spark, sf_dir)
     cells, _, _ = lattice(spark, sf_dir)
     vertices = cells.select(F.col("row").alias("seg_id"), F.col("col").alias("ord"), F.col("h").alias("bed"), F.when(F.col("lake_id") > 0, F.col("h")).alias("surface"), F.lit(6.0).alias("width"), F.lit(5e6).alias("order_depth"))
-    return beds.mouths(vertices, spans)
+    return beds.mouths(vertices, spans).select("seg_id", "lake_id", "kind", "ord", F.round("level", 1).alias("level"), F.round("depth", 1).alias("depth"), "half_width", "capped")
 
 
 @query()
@@ -737,10 +796,19 @@ def world_noise(spark, sf_dir):
     return cells.select("row", "col", beds.noise(F.col("col") * 5.0, F.col("row") * 5.0, wavelength_m=400, octaves=5).alias("noise"))
 
 
-@query()
+@query(
+    sql(
+        _SHAPE
+        + """, n AS (SELECT seg_id, ord, shaped AS z, 100 + 0.3::DOUBLE * ((count(*) OVER (PARTITION BY seg_id) - 1 - ord) * 3.0) AS bound FROM shaped),
+        st AS (SELECT *, max(CASE WHEN z - bound > 300 + 1e-9 THEN ord END) OVER (PARTITION BY seg_id) AS stop FROM n),
+        al AS (SELECT *, CASE WHEN stop IS NULL THEN NULL WHEN stop = 0 THEN 300 ELSE least(greatest((ord - greatest(stop - 4, 0))::DOUBLE / (stop - greatest(stop - 4, 0)), 0), 1) * 300 END AS allowed FROM st)
+    SELECT seg_id, ord, round(least(z, CASE WHEN allowed IS NULL THEN bound ELSE greatest(bound, z - allowed) END) * 1000)::BIGINT AS surface FROM al""",
+        "lines",
+    )
+)
 def graded_tails(spark, sf_dir):
     rows = _shaped(spark, sf_dir).select(F.col("seg_id").cast("long").alias("seg_id"), "ord", F.col("shaped").alias("surface"), F.lit(3.0).alias("along"), F.lit(100.0).alias("junction"), F.lit(300.0).alias("most"))
-    return paths.grade_tails(rows)
+    return paths.grade_tails(rows).select("seg_id", "ord", F.round(F.col("surface") * 1000).cast("long").alias("surface"))
 
 
 @query()
@@ -758,6 +826,6 @@ def lake_matches(spark, sf_dir):
     return audit.match_lakes(named, tree, levels)
 
 
-@query()
+@query(sql(""" SELECT seg_id, '{"type":"Feature","geometry":{"type":"LineString","coordinates":[' || string_agg('[' || x::VARCHAR || ',' || y::VARCHAR || ']', ',' ORDER BY ord) || ']},"properties":{"seg_id":' || seg_id || '}}' AS json FROM lines GROUP BY seg_id""", "lines"))
 def feature_geojson(spark, sf_dir):
     return features.to_geojson(lines(spark, sf_dir))

@@ -139,3 +139,16 @@ def test_catalog(spark, tmp_path):
         catalog.append_run(spark, log, {"at": f"2025-0{k + 1}", "k": k})
     spark.createDataFrame([("garbage",)], "value string").write.mode("append").text(log)
     assert [r["at"] for r in catalog.read_runs(spark, log, 2).collect()] == ["2025-03", "2025-02"]
+
+
+def test_small_and_touching_lakes_keep_their_planes(spark):
+    flat = [(r, c, 10.0, 1 if 3 <= r <= 4 and 3 <= c <= 5 else 0) for r in range(9) for c in range(9)]
+    cells = spark.createDataFrame([(r, c, 10.0 if k else 12.0, k) for r, c, _, k in flat], "row int, col int, h double, lake_id int")
+    levels = spark.createDataFrame([(1, 10.5), (2, 10.5)], "lake_id int, level double")
+    got = shores.split_shores(cells, levels, 9, 9, 5.0).collect()
+    assert len(got) == 6 and {r.part for r in got} == {"plane"}
+    # Two lakes side by side: what is within 15 m of the other lake is strip, though no land is near.
+    rows = [(r, c, 9.0 if c in (9, 12) and r % 2 else 10.0, 1 if c < 10 else 2) for r in range(21) for c in range(21)]
+    pair = spark.createDataFrame(rows, "row int, col int, h double, lake_id int")
+    parts = {(r.row, r.col): r.part for r in shores.split_shores(pair, levels, 21, 21, 5.0).collect()}
+    assert parts[9, 9] == "ground" and parts[9, 12] == "ground" and parts[9, 5] == "plane" and parts[10, 10] == "plane"
