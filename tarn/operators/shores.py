@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarn.operators.graph import components
 from tarn.operators.spatial import edge_of, grid_components
 from tarn.operators.stencil import neighbours
 from tarn.runtime import written
@@ -79,3 +81,28 @@ def split_shores(cells: DataFrame, levels: DataFrame, sy: int, sx: int, spacing_
     kinds = comp.select("row", "col", "comp").join(peak, "comp").join(outer, "comp", "left")
     final = kinds.select("row", "col", F.when(F.col("outer"), "land").when(F.col("peak") >= rules.island_m, "island").otherwise("plane").alias("as"))
     return rows.join(final, ["row", "col"], "left").select("row", "col", "lake_id", F.coalesce("as", "part").alias("part"), F.least(F.col("pz"), F.col("level") - rules.edge_drop_m).alias("anchor"))
+
+
+def low_ground(cells: DataFrame, levels: DataFrame, sy: int, sx: int, spacing_m: float, *, most_m: float = 50.0) -> DataFrame:
+    """``row, col, lake_id``: land outside a lake's outline that lies below its level and belongs to it: patches that touch the lake, are enclosed within ``most_m`` of it, don't reach the map's edge, and aren't larger than the lake.
+
+    Every lake looks at the land around its border; a patch that goes on farther has members in the outermost ring of what is looked at, and so is open. A sample that
+    several lakes claim goes to the first. Cells: ``row, col, h, kind, lake_id`` and perhaps ``island``.
+    """
+    if "island" not in cells.columns:
+        cells = cells.withColumn("island", F.lit(False))
+    wet = cells.where("kind = 2").join(levels.where("level is not null"), "lake_id").select("row", "col", "lake_id", "level")
+    border = edge_of(cells.select("row", "col", F.when(F.col("kind") == 2, F.col("lake_id")).otherwise(0).alias("lake_id")), "lake_id").where("lake_id > 0").join(levels.where("level is not null").select("lake_id", "level"), "lake_id")
+    n = math.ceil(most_m / spacing_m) + 2
+    steps = [(r, c) for r in range(-n, n + 1) for c in range(-n, n + 1) if r * r + c * c <= n * n]
+    way = F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(math.hypot(r, c)).alias("d")) for r, c in steps)))
+    sent = border.withColumn("w", way).select((F.col("row") - F.col("w.r")).alias("row"), (F.col("col") - F.col("w.c")).alias("col"), F.col("lake_id").alias("lake"), "level", "w.d").groupBy("row", "col", "lake").agg(F.min("d").alias("d"), F.max("level").alias("level"))
+    low = written(cells.where("kind = 0 and not island and h is not null").select("row", "col", "h").join(sent, ["row", "col"]).where("h < level").select("row", "col", "lake", "d", F.struct("lake", "row", "col").alias("node")), "low")
+    ahead = F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in ((0, 1), (1, 0), (1, 1), (1, -1)))))
+    pairs = low.withColumn("w", ahead).select("lake", (F.col("row") + F.col("w.r")).alias("row"), (F.col("col") + F.col("w.c")).alias("col"), F.col("node").alias("a")).join(low.select("lake", "row", "col", F.col("node").alias("b")), ["lake", "row", "col"]).select("a", "b")
+    patch = written(low.join(components(pairs), "node", "left").select("row", "col", "lake", "d", F.coalesce("comp", "node").alias("comp")), "patches")
+    edge = F.col("row").isin(0, sy - 1) | F.col("col").isin(0, sx - 1)
+    sizes = wet.groupBy(F.col("lake_id").alias("lake")).agg(F.count(F.lit(1)).alias("own"))
+    facts = patch.groupBy("lake", "comp").agg(F.min("d").alias("near"), F.max("d").alias("far"), F.max(edge.cast("int")).alias("edge"), F.count(F.lit(1)).alias("n")).join(sizes, "lake")
+    good = facts.where((F.col("near") < 1.5) & (F.col("far") * spacing_m <= most_m) & (F.col("edge") == 0) & (F.col("n") <= F.col("own")))
+    return patch.join(good.select("lake", "comp"), ["lake", "comp"], "left_semi").groupBy("row", "col").agg(F.min("lake").alias("lake_id"))
