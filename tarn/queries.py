@@ -758,7 +758,7 @@ def lake_bed_ramp(spark, sf_dir):
 
 @query(
     sql(
-        """, ds AS (SELECT r, c FROM (SELECT unnest([-2, -1, 0, 1, 2]) AS r), (SELECT unnest([-2, -1, 0, 1, 2]) AS c) WHERE r * r + c * c <= 4), sr AS (SELECT row, col, h FROM cells WHERE kind = 1 AND code < 8),
+        """, ds AS (SELECT r, c FROM (SELECT unnest([-2, -1, 0, 1, 2]) AS r), (SELECT unnest([-2, -1, 0, 1, 2]) AS c) WHERE r * r + c * c <= 4), sr AS (SELECT row, col, h FROM cells WHERE kind = 1),
         nr AS (SELECT v.row, v.col, min((r * r + c * c) * 100000000::BIGINT + s.row * 1000 + s.col) AS k FROM cells v, ds JOIN sr s ON s.row = v.row + r AND s.col = v.col + c WHERE v.kind = 1 GROUP BY v.row, v.col),
         t AS (SELECT v.row, v.col, v.h::DOUBLE AS h, s.h::DOUBLE AS level, greatest(1 - sqrt(k // 100000000) * 5 / 10.0::DOUBLE, 0) AS u, greatest(least(1 - greatest(v.h - s.h, 0) / 1e6, 1), 0) AS w FROM nr JOIN cells v ON v.row = nr.row AND v.col = nr.col JOIN sr s ON s.row = (k % 100000000) // 1000 AND s.col = k % 1000)
     SELECT cells.row, cells.col, round(coalesce(least(t.h, least(t.h, level) - 50000 * (u * u * (3 - 2 * u)) * (w * w * (3 - 2 * w)) + greatest(t.h - level, 0)), cells.h), 3) AS h FROM cells LEFT JOIN t ON t.row = cells.row AND t.col = cells.col""",
@@ -766,9 +766,8 @@ def lake_bed_ramp(spark, sf_dir):
     )
 )
 def river_trench(spark, sf_dir):
-    """Centres are the river samples of the lower codes; the others take the nearest of them."""
     cells, _, _ = lattice(spark, sf_dir)
-    centre = cells.where("kind = 1 and code < 8").select("row", "col", F.col("h").cast("double").alias("level"), F.lit(50000.0).alias("depth"), F.lit(10.0).alias("half_width"))
+    centre = cells.where("kind = 1").select("row", "col", F.col("h").cast("double").alias("level"), F.lit(50000.0).alias("depth"), F.lit(10.0).alias("half_width"))
     return beds.carve_rivers(cells, centre, 2, 5.0, tolerance_m=1e6).select("row", "col", F.round("h", 3).alias("h"))
 
 
