@@ -18,7 +18,8 @@ SPLITTER_CHARS = 64
 #: ``MOST_PARTS`` hot texts, and fewer than twice as many parts, whatever the size of the table: few enough to be broadcast.
 HOT_ROWS, MOST_PARTS = 256, 1 << 16
 
-_KEYS = ("head", "hash", "salt")
+#: What rows are dealt out by: the text's own keys, and for hot texts a salt behind them.
+_KEYS, _SALTED = ("head", "hash"), ("head", "hash", "salt")
 
 
 def _normal() -> Column:
@@ -32,20 +33,20 @@ def _hot(docs: DataFrame) -> DataFrame:
     return many.where(F.col("rows") > most).select("hash", F.ceil(F.col("rows") / most).alias("parts"))
 
 
-def _sorted_rows(keyed: DataFrame, *, carry: bool) -> DataFrame:
-    """Rows (``doc_id, hash, salt, row`` or ``text``, ``head``) in sorted ranges, with ``text`` (normalised)``, nth`` (of the different texts of these keys)``, place, n, best``.
+def _sorted_rows(keyed: DataFrame, keys: tuple[str, ...], *, carry: bool) -> DataFrame:
+    """Rows (``doc_id, row`` or ``text``, and the keys) in ranges sorted by ``keys``, with ``text`` (normalised)``, nth`` (of the different texts of these keys)``, place, n, best``.
 
-    A splitter is (first characters, 64-bit hash, salt) of the normalised text, so samples on the driver are small and long common
+    A splitter is (first characters, 64-bit hash) of the normalised text, and a salt where there is one, so samples on the driver are small and long common
     beginnings don't meet. ``place`` 1 is the largest document id among equal neighbours, ``n`` their number and ``best`` that id.
     """
-    dealt = keyed.repartitionByRange(*_KEYS)
+    dealt = keyed.repartitionByRange(*keys)
     if carry:
         # The normalised text is made anew behind the exchange, not sent as well.
         dealt = dealt.withColumn("text", ascii_lower(F.coalesce("row.text", F.lit(""))))
-    equal = Window.partitionBy(*_KEYS, "text").orderBy(F.desc("doc_id"))
+    equal = Window.partitionBy(*keys, "text").orderBy(F.desc("doc_id"))
     whole = equal.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     placed = dealt.withColumn("place", F.row_number().over(equal)).withColumn("n", F.count(F.lit(1)).over(whole)).withColumn("best", F.first("doc_id").over(whole))
-    return placed.withColumn("nth", F.dense_rank().over(Window.partitionBy(*_KEYS).orderBy("text")))
+    return placed.withColumn("nth", F.dense_rank().over(Window.partitionBy(*keys).orderBy("text")))
 
 
 def _split(docs: DataFrame, *, carry: bool) -> tuple[DataFrame, DataFrame | None]:
@@ -58,14 +59,13 @@ def _split(docs: DataFrame, *, carry: bool) -> tuple[DataFrame, DataFrame | None
     sent = F.struct(*docs.columns).alias("row") if carry else norm.alias("text")
     keyed = docs.select("doc_id", sent, F.substring(norm, 1, SPLITTER_CHARS).alias("head"), F.xxhash64(norm).alias("hash"), F.monotonically_increasing_id().alias("at"))
     hot = _hot(docs)
-    plain = F.lit(0).cast("long").alias("salt")
     names = ["doc_id", "row" if carry else "text", "head", "hash"]
     if hot.isEmpty():
-        return _sorted_rows(keyed.select(*names, plain), carry=carry), None
+        return _sorted_rows(keyed.select(*names), _KEYS, carry=carry), None
     few = F.broadcast(hot)
-    cold = keyed.join(few, "hash", "left_anti").select(*names, plain)
+    cold = keyed.join(few, "hash", "left_anti").select(*names)
     warm = keyed.join(few, "hash").select(*names, F.pmod("at", "parts").cast("long").alias("salt"))
-    return _sorted_rows(cold, carry=carry), _sorted_rows(warm, carry=carry)
+    return _sorted_rows(cold, _KEYS, carry=carry), _sorted_rows(warm, _SALTED, carry=carry)
 
 
 def _merged(firsts: DataFrame) -> DataFrame:

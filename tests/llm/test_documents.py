@@ -64,6 +64,13 @@ def test_equal_texts_meet_in_the_sort(spark, monkeypatch):
         assert sorted(r.doc_id for r in exact_dedup.drop_copies(docs).collect()) == [7, 8, 11]
 
 
+def test_one_exchange_by_range_and_none_by_hash(spark, sample):
+    """The window that decides works on the ranges as they are: no exchange by hash stands between the sort and the comparison."""
+    for made in (exact_dedup.drop_copies(sample), exact_dedup.exact_groups(sample)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("rangepartitioning") == 1 and "hashpartitioning" not in plan
+
+
 def test_columns_of_any_name(spark):
     docs = frame(spark, ["a", "A", "b"]).select("*", *(F.lit(i).alias(c) for i, c in enumerate(("row", "hash", "salt", "head", "hot", "place", "n", "best", "nth", "at", "parts", "rows", "size"))))
     got = exact_dedup.drop_copies(docs)
