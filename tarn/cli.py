@@ -36,6 +36,8 @@ def _switches(p: argparse.ArgumentParser) -> None:
     p.add_argument("--no-estimate-levels", action="store_true")
     p.add_argument("--no-carve-lakes", action="store_true")
     p.add_argument("--no-hierarchy", action="store_true")
+    p.add_argument("--no-network", action="store_true")
+    p.add_argument("--lake-bed", choices=("ramp", "terrain"), default="ramp")
     p.add_argument("--ocean-level", type=float, default=0.0)
     p.add_argument("--nodata-fill", type=float, default=0.0)
     p.add_argument("--height-min", type=float)
@@ -47,7 +49,7 @@ def options_of(a: argparse.Namespace):
     """The switches as a job takes them."""
     from tarn.process import Options
 
-    return Options(not a.no_estimate_levels, not a.no_carve_lakes, not a.no_hierarchy, a.ocean_level, a.nodata_fill, a.height_min, a.height_max)
+    return Options(not a.no_estimate_levels, not a.no_carve_lakes, not a.no_hierarchy, a.ocean_level, a.nodata_fill, a.height_min, a.height_max, a.lake_bed, not a.no_network)
 
 
 def _layers(path: str | None) -> list[fetch.Layer]:
@@ -75,14 +77,15 @@ def _processed(a: argparse.Namespace, folder: str) -> dict:
     began = time.perf_counter()
     if os.path.exists(os.path.join(folder, "cells.parquet")):  # cells that were prepared elsewhere
         plan = datasets.GridPlan(**catalog.read_manifest(folder, datasets.MANIFEST)["plan"])
-        cells, lakes = spark.read.parquet(f"{folder}/cells.parquet"), spark.read.parquet(f"{folder}/lakes.parquet")
+        cells, lakes, raw = spark.read.parquet(f"{folder}/cells.parquet"), spark.read.parquet(f"{folder}/lakes.parquet"), None
     else:
+        raw = spark.read.parquet(f"{folder}/features.parquet")
         plan, cells, lakes = datasets.prepared(spark, folder, tuple(w * a.river_width_scale for w in hydraulics.WIDTH_BY_ORDER))
     if getattr(a, "new_tile_cells", None):
         plan = fetch.with_tiles(plan, a.new_tile_cells)
     if a.no_water:
-        cells = cells.withColumn("kind", F.lit(0)).withColumn("lake_id", F.lit(0))
-    made = process.process(spark, plan, cells, lakes, a.out, options_of(a))
+        cells, raw = cells.withColumn("kind", F.lit(0)).withColumn("lake_id", F.lit(0)), None
+    made = process.process(spark, plan, cells, lakes, a.out, options_of(a), raw)
     catalog.append_run(spark, run_log(folder), manifests.run_record(made, out=a.out, seconds=time.perf_counter() - began, water=not a.no_water))
     report(a.out, made)
     return made

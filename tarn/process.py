@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn import manifests
-from tarn.functions import codecs
-from tarn.operators import audit, beds, flow, hierarchy, lakes, spatial, stencil
+from tarn.functions import codecs, hydraulics
+from tarn.operators import audit, beds, flow, hierarchy, lakebeds, lakes, spatial, stencil, tracing
 from tarn.plans.lattice import GridPlan
 from tarn.runtime import ship, written
-from tarn.sources import binary, catalog
+from tarn.sources import binary, catalog, datasets, features, network
 
 FORMAT = "terrain-export-1"
 
@@ -31,12 +31,52 @@ class Options:
     nodata_fill_m: float = 0.0
     height_min: float | None = None
     height_max: float | None = None
+    lake_bed: str = "ramp"
+    network: bool = True
 
 
-def process(spark: SparkSession, plan: GridPlan, cells: DataFrame, lake_table: DataFrame, out: str, options: Options = Options()) -> dict:
+#: Parts of one mapped line, at most: lines are numbered by feature and part.
+PARTS = 4096
+
+
+def _carved(base: DataFrame, levels: DataFrame, plan: GridPlan, options: Options) -> DataFrame:
+    """The lattice with its lake beds, by the model that is asked for: ``ramp``, or ``terrain``, which goes on with the land's slope."""
+    if options.lake_bed == "terrain":
+        made = lakebeds.lake_beds(base, levels, (plan.samples_y, plan.samples_x), plan.spacing_m, origin=(plan.origin_x, plan.origin_y))
+        return base.join(made.select("row", "col", F.col("h").alias("bed")), ["row", "col"], "left").select("row", "col", F.coalesce("bed", F.col("h").cast("double")).alias("h"))
+    return beds.carve_lakes(base, levels, plan.samples_x, plan.spacing_m)
+
+
+def write_network(spark: SparkSession, raw: DataFrame, plan: GridPlan, base: DataFrame, bed: DataFrame, levels: DataFrame, labels: DataFrame | None, out: str) -> dict:
+    """Trace the rivers of raw features, shape them downhill, and write their products; what the manifest says of them.
+
+    Base: ``row, col, h, kind, lake_id`` as repaired; bed: ``row, col, h`` as carved.
+    """
+    lines = datasets.river_lines(raw)
+    number = (F.col("pos") * PARTS).cast("long")
+    each = features.line_vertices(lines)
+    vertices = each.select((number + F.col("part")).alias("line"), "ord", "x", "y")
+    parts = each.select("pos", "part").distinct().join(lines, "pos")
+    attributes = parts.select((number + F.col("part")).alias("line"), "order", F.col("river_no").alias("unit"), F.lit(None).cast("double").alias("area_km2"), "feature_id")
+    orders = written(datasets.river_cells(raw, plan, hydraulics.WIDTH_BY_ORDER), "orders")
+    traced = tracing.trace(vertices, attributes.drop("feature_id"), base.join(orders, ["row", "col"], "left"), plan)
+    hydro = written(tracing.with_hydraulics(traced), "hydraulics")
+    profile = written(tracing.shaped(traced, hydro, base, levels, plan), "profiles")
+    segments, shaped, joints = tracing.network(traced, hydro, bed, levels, plan, profile=profile, labels=labels)
+    named = segments.join(attributes.select("line", "feature_id"), "line")
+    none = F.lit(None)
+    whole = named.select("seg_id", F.col("feature_id").alias("strekn_lnr"), none.cast("long").alias("vatn_lnr"), "order", "downstream", F.coalesce("discharge", F.lit(0.0)).alias("discharge"), "width", "node_id", none.cast("string").alias("elvid"), F.col("unit").alias("vassdragsnr"), "geom_hash")
+    records = lakes.lake_records(base).join(levels.select("lake_id", F.col("level").alias("authored_level_m"), F.col("source").alias("level_source")), "lake_id", "left").withColumn("level_source", F.coalesce("level_source", F.lit("none")))
+    junctions = joints.join(whole.select("seg_id", "strekn_lnr", "vatn_lnr"), "seg_id")
+    made = network.export_network(network.nested(whole, shaped, traced.spans), records, junctions, plan, out, stride_m=plan.spacing_m)
+    return made | {"validation": tracing.reports(traced, shaped)}
+
+
+def process(spark: SparkSession, plan: GridPlan, cells: DataFrame, lake_table: DataFrame, out: str, options: Options = Options(), raw: DataFrame | None = None) -> dict:
     """Write an export to the folder ``out`` and return its manifest.
 
-    Cells: ``row, col, h`` (null: none)``, kind, lake_id``; lakes: ``lake_id, published, regulated``. A stage's table is written before it is read twice.
+    Cells: ``row, col, h`` (null: none)``, kind, lake_id``; lakes: ``lake_id, published, regulated``; raw: unparsed
+    features of a dataset, whose rivers become a network. A stage's table is written before it is read twice.
     """
     ship(spark)
     os.makedirs(out, exist_ok=True)
@@ -57,7 +97,7 @@ def process(spark: SparkSession, plan: GridPlan, cells: DataFrame, lake_table: D
         interior = interior.limit(0)
     levels = written(lakes.level_cascade(lake_table, rings, interior, lakes.touching_lakes(base)), "levels")
     done("levels")
-    carved = beds.carve_lakes(base, levels, sx, plan.spacing_m) if options.carve_lakes else base.select("row", "col", F.col("h").cast("double").alias("h"))
+    carved = _carved(base, levels, plan, options) if options.carve_lakes else base.select("row", "col", F.col("h").cast("double").alias("h"))
     bed = written(carved.join(base.select("row", "col", "kind", "lake_id"), ["row", "col"]).select("row", "col", F.coalesce("h", F.lit(options.nodata_fill_m)).alias("h"), "kind", "lake_id"), "bed")
     done("beds")
     low, high = bed.agg(F.min("h"), F.max("h")).first()
@@ -84,6 +124,7 @@ def process(spark: SparkSession, plan: GridPlan, cells: DataFrame, lake_table: D
     done("water")
     stats: dict = {}
     blocks: dict = {}
+    named = None
     if options.hierarchy:
         packed = bed.select(F.lit(0).alias("grid"), "row", "col", codecs.pack_height(F.col("h"), *bounds).alias("code"))
         tree = written(hierarchy.nodes(packed), "nodes")
@@ -99,6 +140,9 @@ def process(spark: SparkSession, plan: GridPlan, cells: DataFrame, lake_table: D
         blocks = {"hierarchy": manifests.tree_block(tree, step, cell_area=plan.spacing_m**2)}
         stats = {"nodes": tree.count(), "leaves": tree.where("leaf").count(), "outlets": ends.count(), "tree_errors": audit.check_tree(tree).count()}
         done("hierarchy")
+    if raw is not None and options.network and not raw.where(F.col("layer") == datasets.RIVERS).isEmpty():
+        blocks["network"] = write_network(spark, raw, plan, base, bed, levels, named, out)
+        done("network")
     manifest = {"format": FORMAT, "plan": asdict(plan), "options": asdict(options), "height_min": low, "height_max": high, "created_utc": datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), "seconds": seconds, "statistics": stats, **blocks}
     manifest["atlas"] = {"bytes": plan.total_bytes(2), "tile_bytes": plan.tile_bytes(2)}
     manifest["generator"] = manifests.generator(plan, asdict(options))

@@ -86,8 +86,12 @@ def test_a_network_is_traced(spark, region, tmp_path):
 def test_the_command_line_goes_all_the_way(spark, region, tmp_path, capsys):
     root, folder = region
     out = str(tmp_path / "out")
-    assert cli.main(["process", "prove", out, "--root", root]) == 0
+    assert cli.main(["process", "prove", out, "--root", root, "--lake-bed", "terrain"]) == 0
     export = exports.Export.load(out)
+    assert export.manifest["network"]["rivers"]["segments"] == 6 and export.manifest["network"]["junctions"]["count"] >= 2
+    head, rivers = network.read_rivers(f"{out}/rivers.bin")
+    assert head["vertices"] == export.manifest["network"]["rivers"]["vertices"] and {r["downstream"] for r in rivers} >= {-1, 1}
+    assert exports.check_water(out)["errors"] == []
     assert {"heights", "surface", "water_id", "labels", "flowdir"} == {k for k in exports.ATLASES if export.has(k)}
     for command in ("validate", "validate-atlas", "validate-water", "validate-hierarchy"):
         assert cli.main([command, out]) == 0, command
