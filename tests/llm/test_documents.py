@@ -114,9 +114,44 @@ def truth(rows, threshold=0.8):
     return {d: top(d) for d in sets}
 
 
-def test_near_groups_match_all_pairs(spark, sample):
-    got = {r.doc_id: r.class_id for r in probminhash.near_groups(sample).collect()}
-    assert got == truth(sample.collect())
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_near_groups_match_all_pairs(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    got = {r.doc_id: r.class_id for r in probminhash.near_groups(docs).collect()}
+    assert got == truth(docs.collect())
+
+
+def test_near_groups_of_repeated_lines(spark):
+    """Pages of repeated lines, alike but for a few words: each is found, whatever their lines' repeats."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for i in range(30):
+        lines = [" ".join(f"t{i}l{k}w{w}" for w in range(25)) for k in range(8)]
+        page = "\n".join(lines[k] for k in rng.integers(0, 8, 8 * (i % 5 + 1))) + "\n" + "\n".join(lines)
+        texts += [page, page.replace(f"t{i}l3w12", "other"), page + " and a new end"]
+    docs = frame(spark, texts)
+    got = {r.doc_id: r.class_id for r in probminhash.near_groups(docs).collect()}
+    assert got == truth(docs.collect()) and all(got[3 * i] == got[3 * i + 2] for i in range(30))
+
+
+def test_alike_groups_match_all_pairs(spark, sample):
+    """The search by lengths and rare signatures against all pairs of fingerprints."""
+    signs = {r.doc_id: frozenset(r.signs) for r in spotsigs.with_signatures(common.texts(sample), "text", "signs").collect()}
+    up = {d: d for d in signs}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(d for d in signs if signs[d])
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            if len(signs[a] & signs[b]) >= 0.8 * len(signs[a] | signs[b]):
+                x, y = top(a), top(b)
+                up[max(x, y)] = min(x, y)
+    got = {r.doc_id: r.class_id for r in spotsigs.alike_groups(sample).collect()}
+    assert got == {d: top(d) for d in signs}
 
 
 def test_near_groups_of_a_large_group(spark):
