@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,10 +107,27 @@ def _row_distance(g: np.ndarray) -> np.ndarray:
     return (np.arange(n) - own) ** 2 + g[own]
 
 
+#: Cells that all rows of a batch are shifted by together; rows with farther sources take the envelope one by one.
+SHIFTS = 256
+
+
+def _row_distances(g: np.ndarray) -> np.ndarray:
+    """``_row_distance`` of many rows: shifted by more and more cells together, as long as that can still come nearer."""
+    out, wide = g.copy(), g.shape[1]
+    for s in range(1, min(wide, SHIFTS + 1)):
+        if not (out > s * s).any():
+            return out
+        np.minimum(out[:, s:], g[:, :-s] + s * s, out=out[:, s:])
+        np.minimum(out[:, :-s], g[:, s:] + s * s, out=out[:, :-s])
+    for r in np.flatnonzero((out > SHIFTS * SHIFTS).any(1)) if wide > SHIFTS + 1 else ():
+        out[r] = _row_distance(g[r])
+    return out
+
+
 def distance(cells: DataFrame, sx: int, source: str = "source") -> DataFrame:
     """``row, col, d2``: exact squared distance in cells to the nearest cell where ``source`` is true; null if there is none.
 
-    Distances along columns come from two windows, then each row is one lower envelope. A task holds single rows and columns only.
+    Distances along columns come from two windows, those along rows from a batch of rows at once. A task holds single rows and columns only.
     """
     down = Window.partitionBy("col").orderBy("row")
     at = F.when(F.col(source), F.col("row"))
@@ -118,13 +135,21 @@ def distance(cells: DataFrame, sx: int, source: str = "source") -> DataFrame:
     low = F.first(at, ignorenulls=True).over(down.rowsBetween(0, Window.unboundedFollowing)) - F.col("row")
     columns = cells.withColumn("g", F.least(up, low).cast("double")).select("row", "col", (F.col("g") * F.col("g")).alias("g"))
 
-    def envelope(pdf: pd.DataFrame) -> pd.DataFrame:
-        line = np.full(sx, np.inf)
-        line[pdf["col"]] = pdf["g"].fillna(np.inf)
-        d = _row_distance(line)[pdf["col"]]
-        return pd.DataFrame({"row": pdf["row"], "col": pdf["col"], "d2": pd.Series(np.where(np.isfinite(d), d, np.nan), index=pdf.index).astype("Int64")})
-
-    return columns.groupBy("row").applyInPandas(envelope, "row int, col int, d2 long")
+    def run(batches):
+        for batch in batches:
+            row, col, g = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
+            edges = col.offsets.to_numpy()
+            places, values = col.flatten().to_numpy(), g.flatten().to_numpy(zero_copy_only=False).astype(float)
+            which = np.repeat(np.arange(len(row)), np.diff(edges))
+            lines = np.full((len(row), sx), np.inf)
+            lines[which, places] = np.where(np.isnan(values), np.inf, values)
+            d = _row_distances(lines)[which, places]
+            far = ~np.isfinite(d)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(row, np.diff(edges)).astype(np.int32)), pa.array(places.astype(np.int32)), pa.array(np.where(far, 0, d).astype(np.int64), mask=far)], ["row", "col", "d2"])
+
+    # A row's samples are one value each, so that a batch holds many rows; sx bounds them.
+    rows = columns.groupBy("row").agg(F.collect_list(F.struct("col", "g")).alias("v")).select("row", F.col("v.col").alias("col"), F.col("v.g").alias("g"))
+    return rows.mapInArrow(run, "row int, col int, d2 long")
 
 
 def raster_polygons(edges: DataFrame, sy: int, sx: int) -> DataFrame:
