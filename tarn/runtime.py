@@ -39,9 +39,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` as the session names it; one of this machine only where it names none."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` as the session names it. Where it names none, one of this machine if all runs on it, as in tests; on a cluster it raises."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + os.path.join(tempfile.gettempdir(), "tarn-checkpoints")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
