@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tarn.bindings import lattice, lines, rivers, sql, table
 from tarn.functions import codecs
-from tarn.operators import downhill, geometry, spatial, stencil, trees, walks
+from tarn.operators import branches, downhill, geometry, spatial, stencil, trees, walks
 from tarn.queries import _ADJ, _PARENTS, _levels, query
-from tarn.sources import previews
+from tarn.sources import fetch, network, previews
 
 
 @query(
@@ -372,3 +372,131 @@ def flooded_from(spark, sf_dir):
     cells, _, sx = lattice(spark, sf_dir)
     return spatial.reached(cells.where("kind = 0 and code < 6").select("row", "col", (F.col("code") == 0).alias("seed")), sx)
 
+
+
+@query(
+    """WITH s AS (SELECT l_partkey AS vatnlnr, l_quantity - 25 AS maksdyp_m, l_orderkey * 10 + l_linenumber AS pos FROM lineitem),
+    d AS (SELECT p_partkey AS vatnlnr FROM part WHERE p_size > 40 UNION SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)
+    SELECT vatnlnr, maksdyp_m, pos FROM s WHERE maksdyp_m > 0 AND vatnlnr IN (SELECT vatnlnr FROM d) QUALIFY row_number() OVER (PARTITION BY vatnlnr ORDER BY pos) = 1"""
+)
+def candidate_lakes(spark, sf_dir):
+    surveys = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("vatnlnr"), (F.col("l_quantity") - 25).alias("maksdyp_m"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
+    contours = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("vatnlnr"), (F.col("p_size") - 40.0).alias("dybde_m"))
+    points = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("vatnlnr"), (F.col("s_acctbal") - 5000).alias("dybde_m"))
+    return fetch.candidate_lakes(surveys, contours, points).select("vatnlnr", "maksdyp_m", "pos")
+
+
+@query("SELECT user_id AS id, min(event_id) AS pos, arg_min(event_type, event_id) AS kind FROM events GROUP BY user_id")
+def first_features(spark, sf_dir):
+    return fetch.first_of_each(table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("pos"), F.col("event_type").alias("kind")))
+
+
+@query(
+    sql(
+        _ARCS
+        + """, e AS (SELECT seg_id, arg_min(z, ord) + 100.0 AS fl, CASE WHEN seg_id % 3 > 0 THEN 500.0 END AS ll, CASE WHEN seg_id % 2 = 0 THEN 5 ELSE max(ord) END AS up FROM lines WHERE seg_id % 5 > 0 GROUP BY seg_id),
+        t AS (SELECT ar.*, greatest(up, 1) AS upto, fl, ll, max(CASE WHEN ord <= greatest(up, 1) THEN arc END) OVER (PARTITION BY seg_id) AS tot, first_value(z) OVER w AS z0, last_value(z) OVER w AS z1 FROM ar JOIN e USING (seg_id) WINDOW w AS (PARTITION BY seg_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+        u AS (SELECT *, CASE WHEN tot > 0 THEN arc / tot ELSE ord / upto END AS t FROM t)
+    SELECT seg_id, ord, round(CASE WHEN ord <= upto THEN z + (fl - z0) * (1 - t) + coalesce(ll - z1, 0) * t ELSE z END, 4) AS level FROM u UNION ALL SELECT seg_id, ord, z FROM lines WHERE seg_id NOT IN (SELECT seg_id FROM e)""",
+        "lines",
+    )
+)
+def retied_levels(spark, sf_dir):
+    rows = lines(spark, sf_dir).select("seg_id", "ord", "x", "y", F.lit(0.0).alias("z"), F.col("z").cast("double").alias("level"))
+    own = rows.where("seg_id % 5 > 0").groupBy("seg_id").agg((F.min_by("level", "ord") + 100).alias("first_level"))
+    ends = own.select("seg_id", "first_level", F.when(F.col("seg_id") % 3 > 0, 500.0).alias("last_level"), F.when(F.col("seg_id") % 2 == 0, 5).alias("upto"))
+    return network.retied(rows, ends).select("seg_id", "ord", F.round("level", 4).alias("level"))
+
+
+@query(
+    sql(
+        f""", {_LOW}, c AS (SELECT head - greatest(low - spill_m, 0) AS cut FROM tree JOIN low USING (node) WHERE NOT authored AND low IS NOT NULL AND head > greatest(low - spill_m, 0))
+    SELECT count(*) AS heads_capped_below_a_lake, round(coalesce(median(cut), 0), 3) AS cap_median_m, round(coalesce(max(cut), 0), 3) AS cap_max_m FROM c""",
+        "cells",
+    )
+)
+def cap_report(spark, sf_dir):
+    own = _own(spark, sf_dir).select(F.col("node").cast("long").alias("node"), "own")
+    tree = _tree(spark, sf_dir)
+    return trees.cap_report(tree.select("node", "head"), trees.capped_heads(tree, own))
+
+
+@query(
+    sql(
+        """, ln AS (SELECT seg_id, x0, y0, x1, y1, sqrt(((x1 - x0) ^ 2 + (y1 - y0) ^ 2)::DOUBLE) AS len FROM rivers), nm AS (SELECT seg_id, x0, y0, x1, y1, CASE WHEN len > 0 THEN -(y1 - y0) / len ELSE 0 END AS nx, CASE WHEN len > 0 THEN (x1 - x0) / len ELSE 1 END AS ny FROM ln),
+        vt AS (SELECT seg_id, 0 AS ord, x0 AS x, y0 AS y, nx, ny FROM nm UNION ALL SELECT seg_id, 1, x1, y1, nx, ny FROM nm),
+        pt AS (SELECT *, row_number() OVER () AS id, x + nx * side * (0.6 + 0.70711 + more) AS ac, y + ny * side * (0.6 + 0.70711 + more) AS ar FROM vt, (SELECT unnest([-1, 1]) AS side), (SELECT unnest([0, 0.5, 1.0])::DOUBLE AS more)),
+        i AS (SELECT pt.* FROM pt, dim WHERE ar >= 0 AND ac >= 0 AND floor(ar) < sy - 1 AND floor(ac) < sx - 1), d AS (SELECT i.* FROM i JOIN cells n ON n.row = round_even(ar, 0) AND n.col = round_even(ac, 0) WHERE n.kind = 0),
+        b AS (SELECT id, any_value(seg_id) AS seg_id, any_value(ord) AS ord, sum(h * (1 - abs(ar - cells.row)) * (1 - abs(ac - cells.col))) AS h FROM d JOIN cells ON cells.row IN (floor(ar), floor(ar) + 1) AND cells.col IN (floor(ac), floor(ac) + 1) GROUP BY id HAVING count(*) = 4)
+    SELECT seg_id, ord, round(min(h), 2) AS ceiling FROM b GROUP BY seg_id, ord""",
+        "dim",
+        "cells",
+        "rivers",
+    )
+)
+def bank_ceilings(spark, sf_dir):
+    cells, sy, sx = lattice(spark, sf_dir)
+    r = rivers(spark, sf_dir)
+    ends = r.select("seg_id", F.lit(0).alias("ord"), F.col("x0").cast("double").alias("x"), F.col("y0").cast("double").alias("y")).union(r.select("seg_id", F.lit(1), F.col("x1").cast("double"), F.col("y1").cast("double")))
+    got = downhill.bank_ceilings(ends.withColumn("half_width", F.lit(3.0)), cells, sy, sx, 5.0)
+    return got.where("ceiling is not null").select("seg_id", "ord", F.round("ceiling", 2).alias("ceiling"))
+
+
+@query(
+    sql(
+        """, ds AS (SELECT r, c FROM (SELECT unnest([-2, -1, 0, 1, 2]) AS r), (SELECT unnest([-2, -1, 0, 1, 2]) AS c) WHERE r * r + c * c <= 4), wd AS (SELECT r, c FROM (SELECT unnest([-2, -1, 0, 1, 2]) AS r), (SELECT unnest([-2, -1, 0, 1, 2]) AS c)),
+        sr AS (SELECT row, col, h FROM cells WHERE kind = 1 AND code < 8), nr AS (SELECT v.row, v.col, min((r * r + c * c) * 100000000::BIGINT + s.row * 1000 + s.col) AS k FROM cells v, ds JOIN sr s ON s.row = v.row + r AND s.col = v.col + c WHERE v.kind = 1 GROUP BY v.row, v.col),
+        hi AS (SELECT v.row, v.col, max(o.h) AS high FROM cells v, wd JOIN cells o ON o.row = v.row + r AND o.col = v.col + c WHERE v.kind = 1 GROUP BY v.row, v.col)
+    SELECT nr.row, nr.col, (s.h - 1000)::DOUBLE AS level, CASE WHEN v.h - 50000 > greatest(s.h - 600000, high - 5000000) THEN greatest(s.h - 600000, high - 5000000)::DOUBLE END AS target
+    FROM nr JOIN cells v ON v.row = nr.row AND v.col = nr.col JOIN hi ON hi.row = nr.row AND hi.col = nr.col JOIN sr s ON s.row = (k % 100000000) // 1000 AND s.col = k % 1000 WHERE sqrt(k // 100000000) * 5 <= 8""",
+        "cells",
+    )
+)
+def river_bed(spark, sf_dir):
+    """The river samples of the lower codes stand for vertices of shaped lines."""
+    cells, _, _ = lattice(spark, sf_dir)
+    rows = cells.select("row", "col", F.col("h").cast("double").alias("h"), "kind", F.lit(3.0).alias("half_width"), F.lit(50000.0).alias("depth"), F.col("h").cast("double").alias("level"))
+    vertices = cells.where("kind = 1 and code < 8").select("row", "col", (F.col("h") - 1000).cast("double").alias("surface"), (F.col("h") - 600000).cast("double").alias("bed"))
+    return downhill.river_bed(rows, vertices, 5.0, 2, most_m=5e6)
+
+
+@query(
+    sql(
+        _WAYS
+        + """, st AS (SELECT seg_id, a.cell, b.cell AS fin FROM rivers JOIN cells a ON a.row = y0 AND a.col = x0 JOIN cells b ON b.row = y1 AND b.col = x1),
+        wk(seg_id, cell, fin, steps, status) AS (SELECT seg_id, cell, fin, 0, NULL::INTEGER FROM st
+        UNION ALL SELECT wk.seg_id, CASE WHEN s IS NULL THEN n.nxt ELSE wk.cell END, fin, steps + CASE WHEN s IS NULL THEN 1 ELSE 0 END, s FROM wk LEFT JOIN nx n ON n.cell = wk.cell JOIN cells ON cells.cell = wk.cell CROSS JOIN dim,
+            LATERAL (SELECT CASE WHEN (abs(cells.row - fin // 65) <= 1 AND abs(cells.col - fin % 65) <= 1) OR cells.row IN (0, sy - 1) OR cells.col IN (0, sx - 1) OR steps >= 40 THEN 0 WHEN kind = 0 THEN 1 WHEN n.nxt IS NULL THEN CASE WHEN code < 4 THEN 2 ELSE 3 END END AS s) WHERE status IS NULL)
+    SELECT seg_id, status, cell, steps::INTEGER AS steps FROM wk WHERE status IS NOT NULL""",
+        "dim",
+        "cells",
+        "rivers",
+    )
+)
+def river_walks(spark, sf_dir):
+    """Made-up flow codes; land is outside the corridor."""
+    cells, sy, sx = lattice(spark, sf_dir)
+    edge = F.col("row").isin(0, sy - 1) | F.col("col").isin(0, sx - 1)
+    grid = cells.select("cell", "row", "col", (F.floor(F.col("h") / 1000) % 9).cast("int").alias("flow"), edge.alias("stop"), (F.col("kind") > 0).alias("corridor"), (F.col("code") < 4).alias("pit"))
+    # A cell that flows to where there is no sample goes nowhere.
+    there = grid.select(F.col("cell").alias("to"))
+    r, c = walks._next_cell(F.col("flow"))
+    lead = grid.select("cell", F.when((F.col("flow") > 0) & c.between(0, sx - 1), r.cast("long") * sx + c).alias("to")).join(there, "to", "left_semi").select("cell", F.lit(True).alias("on"))
+    grid = grid.join(lead, "cell", "left").withColumn("flow", F.when(F.col("on"), F.col("flow")).otherwise(0)).drop("on")
+    at = lambda y, x, name: cells.select(F.col("row").alias(y), F.col("col").alias(x), F.col("cell").alias(name))
+    starts = rivers(spark, sf_dir).join(at("y0", "x0", "cell"), ["y0", "x0"]).join(at("y1", "x1", "end_cell"), ["y1", "x1"]).select("seg_id", "cell", "end_cell", F.lit(40).alias("most"))
+    return walks.river_walks(starts, grid, sx).select("seg_id", "status", "cell", "steps")
+
+
+@query(
+    sql(
+        _ADJ
+        + """, ar AS (SELECT row, col, cell FROM cells WHERE code < 5 AND kind <> 2 AND code > 0), pr AS (SELECT a.cell AS a, b.cell AS b FROM ar a, s8 JOIN ar b ON b.row = a.row + r AND b.col = a.col + c),
+        cl(a, b) AS (SELECT cell, cell FROM ar UNION SELECT cl.a, pr.b FROM cl JOIN pr ON pr.a = cl.b), cp AS (SELECT a AS cell, min(b) AS piece FROM cl GROUP BY a), big AS (SELECT piece FROM cp GROUP BY piece HAVING count(*) * 400 >= 1500)
+    SELECT row, col, piece FROM cp JOIN big USING (piece) JOIN ar USING (cell)""",
+        "cells",
+    )
+)
+def undrawn_pieces(spark, sf_dir):
+    cells, _, sx = lattice(spark, sf_dir)
+    return branches.undrawn_pieces(cells.where("code < 5"), cells.where("code = 0"), cells.where("kind = 2"), sx, 20.0)
