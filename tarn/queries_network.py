@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarn.bindings import lattice, lines, rivers, sql, table
 from tarn.functions import codecs
-from tarn.operators import branches, downhill, geometry, spatial, stencil, trees, walks
+from tarn.operators import branches, downhill, geometry, shores, spatial, stencil, trees, walks
 from tarn.queries import _ADJ, _PARENTS, _levels, query
 from tarn.sources import fetch, network, previews
 
@@ -500,3 +500,53 @@ def river_walks(spark, sf_dir):
 def undrawn_pieces(spark, sf_dir):
     cells, _, sx = lattice(spark, sf_dir)
     return branches.undrawn_pieces(cells.where("code < 5"), cells.where("code = 0"), cells.where("kind = 2"), sx, 20.0)
+
+
+@query(
+    sql(
+        """, lv AS (SELECT lake_id, (sum(h) // count(*))::DOUBLE AS level, count(*) AS own FROM cells WHERE kind = 2 GROUP BY lake_id),
+        ds AS (SELECT r, c FROM (SELECT unnest([-4, -3, -2, -1, 0, 1, 2, 3, 4]) AS r), (SELECT unnest([-4, -3, -2, -1, 0, 1, 2, 3, 4]) AS c) WHERE r * r + c * c <= 16),
+        lo AS (SELECT a.row, a.col, a.cell, l.lake_id AS lake, min(r * r + c * c) AS d2 FROM cells a, ds JOIN cells l ON l.row = a.row + r AND l.col = a.col + c JOIN lv ON lv.lake_id = l.lake_id WHERE a.kind = 0 AND l.kind = 2 AND a.h < level GROUP BY ALL),
+        s8 AS (SELECT r, c FROM (SELECT unnest([-1, 0, 1]) AS r), (SELECT unnest([-1, 0, 1]) AS c) WHERE r <> 0 OR c <> 0),
+        pr AS (SELECT a.lake, a.cell AS a, b.cell AS b FROM lo a, s8 JOIN lo b ON b.lake = a.lake AND b.row = a.row + r AND b.col = a.col + c),
+        cl(lake, a, b) AS (SELECT lake, cell, cell FROM lo UNION SELECT cl.lake, cl.a, pr.b FROM cl JOIN pr ON pr.lake = cl.lake AND pr.a = cl.b), cp AS (SELECT lake, a AS cell, min(b) AS comp FROM cl GROUP BY lake, a),
+        ok AS (SELECT cp.lake, comp FROM cp JOIN lo ON lo.lake = cp.lake AND lo.cell = cp.cell JOIN lv ON lv.lake_id = cp.lake CROSS JOIN dim GROUP BY cp.lake, comp
+               HAVING min(d2) < 2.25 AND max(sqrt(d2)) * 5 <= 12 AND NOT bool_or(row IN (0, sy - 1) OR col IN (0, sx - 1)) AND count(*) <= any_value(own))
+    SELECT row, col, min(cp.lake)::INTEGER AS lake_id FROM cp JOIN ok ON ok.lake = cp.lake AND ok.comp = cp.comp JOIN lo ON lo.lake = cp.lake AND lo.cell = cp.cell GROUP BY row, col""",
+        "dim",
+        "cells",
+    )
+)
+def low_ground(spark, sf_dir):
+    cells, sy, sx = lattice(spark, sf_dir)
+    levels = _levels(cells).withColumn("level", F.col("level").cast("double"))
+    return shores.low_ground(cells, levels, sy, sx, 5.0, most_m=12.0 - 1e-9).select("row", "col", F.col("lake_id").cast("int").alias("lake_id"))
+
+
+@query(
+    sql(
+        """, ed AS (SELECT seg_id AS area, unnest([x0 * 10, x1 * 10 + 10, (x0 + x1) // 2 * 10])::DOUBLE AS ax, unnest([y0 * 10 + 5, y1 * 10 + 2.5, (y0 + y1) // 2 * 10 + 97.5])::DOUBLE AS ay, unnest([x1 * 10 + 10, (x0 + x1) // 2 * 10, x0 * 10])::DOUBLE AS bx, unnest([y1 * 10 + 2.5, (y0 + y1) // 2 * 10 + 97.5, y0 * 10 + 5])::DOUBLE AS bb FROM rivers),
+        ry AS (SELECT seg_id AS ray, (x0 * 10 + x1 * 10 + 10 + (x0 + x1) // 2 * 10) / 3.0::DOUBLE AS x, (y0 * 10 + 5 + y1 * 10 + 2.5 + (y0 + y1) // 2 * 10 + 97.5) / 3.0::DOUBLE AS y FROM rivers),
+        dr AS (SELECT ray, x, y, d, CASE d WHEN 0 THEN 0.6 ELSE 0.8 END::DOUBLE AS ux, CASE d WHEN 0 THEN 0.8 ELSE -0.6 END::DOUBLE AS uy FROM ry, (SELECT unnest([0, 1]) AS d)),
+        sd AS (SELECT dr.*, ed.*, ux * (ay - y) - uy * (ax - x) AS s0, ux * (bb - y) - uy * (bx - x) AS s1 FROM dr, ed),
+        ct AS (SELECT DISTINCT ray, d, area, (ax + (bx - ax) * (s0 / (s0 - s1)) - x) * ux + (ay + (bb - ay) * (s0 / (s0 - s1)) - y) * uy AS t FROM sd WHERE (s0 <= 0) <> (s1 <= 0)),
+        cr AS (SELECT * FROM ct WHERE abs(t) <= 600), ins AS (SELECT ray, area FROM cr WHERE d = 0 AND t > 0 GROUP BY ray, area HAVING count(*) % 2 = 1),
+        ch AS (SELECT i.ray, i.area, dd.d, coalesce(max(CASE WHEN t <= 0 THEN t END), -600) AS lo, coalesce(min(CASE WHEN t > 0 THEN t END), 600) AS hi FROM ins i CROSS JOIN (SELECT unnest([0, 1]) AS d) dd LEFT JOIN cr ON cr.ray = i.ray AND cr.area = i.area AND cr.d = dd.d GROUP BY ALL),
+        w AS (SELECT a.ray, a.area, a.hi - a.lo AS wide, (a.lo + a.hi) / 2 AS mid FROM ch a JOIN ch b ON a.ray = b.ray AND a.area = b.area AND a.d = 0 AND b.d = 1 WHERE b.hi - b.lo >= 0.75 * (a.hi - a.lo)),
+        tt AS (SELECT w.*, ry.x, ry.y, ax, ay, bx, bb, greatest(0, least(1, ((ry.x - ax) * (bx - ax) + (ry.y - ay) * (bb - ay)) / greatest((bx - ax) ^ 2 + (bb - ay) ^ 2, 1e-12))) AS u FROM w JOIN ry USING (ray) JOIN ed USING (area)),
+        bk AS (SELECT ray, area, wide, mid, greatest(sqrt(min((ax + (bx - ax) * u - x) ^ 2 + (ay + (bb - ay) * u - y) ^ 2)) * 4, 1) AS cap FROM tt GROUP BY ray, area, wide, mid)
+    SELECT ray, round(least(wide, cap), 3) AS width, CASE WHEN wide <= cap THEN round(mid, 3) END AS middle FROM bk QUALIFY row_number() OVER (PARTITION BY ray ORDER BY wide, area) = 1""",
+        "rivers",
+    )
+)
+def measured_widths(spark, sf_dir):
+    """Triangles stand for mapped areas, their centres for vertices."""
+    r = rivers(spark, sf_dir)
+    mid = F.floor((F.col("x0") + F.col("x1")) / 2) * 10, F.floor((F.col("y0") + F.col("y1")) / 2) * 10 + 97.5
+    corners = [(F.col("x0") * 10, F.col("y0") * 10 + 5), (F.col("x1") * 10 + 10, F.col("y1") * 10 + 2.5), mid]
+    sides = [F.struct(*(v.cast("double").alias(n) for v, n in zip((*a, *b), ("x0", "y0", "x1", "y1"), strict=True))) for a, b in zip(corners, corners[1:] + corners[:1], strict=True)]
+    edges = r.select(F.col("seg_id").alias("area"), F.explode(F.array(*sides)).alias("e")).select("area", "e.*")
+    centre = [sum((c[k] for c in corners[1:]), corners[0][k]) / 3 for k in (0, 1)]
+    rays = r.select(F.col("seg_id").alias("ray"), centre[0].cast("double").alias("x"), centre[1].cast("double").alias("y"), F.lit(0.6).alias("ux"), F.lit(0.8).alias("uy"))
+    got = geometry.measured_widths(rays, edges, geometry.WidthRules(half_width_m=600.0))
+    return got.select("ray", F.round("width", 3).alias("width"), F.round("middle", 3).alias("middle"))
