@@ -66,8 +66,7 @@ def escapes(cells: DataFrame, samples_y: int, samples_x: int) -> DataFrame:
 
     Cells: ``id, row, col, seed, rim`` (on the window's edge): those of each window that lie below the level and aren't the lake's own. Floods that stay enclosed have no row.
     """
-    tagged = cells.withColumn("k", F.col("id"))
-    named = tagged.select("id", "row", "col", "seed", "rim", F.struct("id", "row", "col").alias("node"))
+    named = cells.select("id", "row", "col", "seed", "rim", F.struct("id", "row", "col").alias("node"))
     way = F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in ((0, 1), (1, 0), (1, 1), (1, -1)))))
     sent = named.withColumn("w", way).select("id", (F.col("row") + F.col("w.r")).alias("row"), (F.col("col") + F.col("w.c")).alias("col"), F.col("node").alias("a"))
     edges = sent.join(named.select("id", "row", "col", F.col("node").alias("b")), ["id", "row", "col"]).select("a", "b")
