@@ -789,7 +789,29 @@ def river_mouths(spark, sf_dir):
     return beds.mouths(vertices, spans).select("seg_id", "lake_id", "kind", "ord", F.round("level", 1).alias("level"), F.round("depth", 1).alias("depth"), "half_width", "capped")
 
 
-@query()
+def _octave_sql(name: str, source: str) -> str:
+    """Common table expressions that end in ``name(id, k, v)``: value noise at ``source(id, k, x, y, size, salt)``, a lattice corner's hash in 64-bit arithmetic by way of 128-bit products."""
+    two64 = "18446744073709551616::UHUGEINT"
+    m = [f"{k}::UHUGEINT" for k in beds.MULTIPLIERS]
+    times = lambda a, k: f"((({a})::UHUGEINT * {m[k]}) % {two64})::UBIGINT"
+    wrapped = lambda v: f"((({v})::HUGEINT + 18446744073709551616) % 18446744073709551616)::UHUGEINT"
+    return f""", {name}_c AS (SELECT id, k, x / size - floor(x / size) AS fx, y / size - floor(y / size) AS fy, a, b, floor(x / size)::BIGINT + a AS i, floor(y / size)::BIGINT + b AS j, salt FROM {source}, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b)),
+    {name}_0 AS (SELECT *, xor(xor({times(wrapped("i"), 0)}, {times(wrapped("j"), 1)}), {times("salt", 4)}) AS h FROM {name}_c),
+    {name}_1 AS (SELECT *, {times("xor(h, h >> 30)", 2)} AS h1 FROM {name}_0), {name}_2 AS (SELECT *, {times("xor(h1, h1 >> 27)", 3)} AS h2 FROM {name}_1),
+    {name}_3 AS (SELECT *, (xor(h2, h2 >> 31) >> 11)::DOUBLE / 4503599627370496 - 1 AS g, fx * fx * fx * (fx * (fx * 6 - 15) + 10) AS s, fy * fy * fy * (fy * (fy * 6 - 15) + 10) AS t FROM {name}_2),
+    {name} AS (SELECT id, k, sum(g * CASE a WHEN 1 THEN s ELSE 1 - s END * CASE b WHEN 1 THEN t ELSE 1 - t END) AS v FROM {name}_3 GROUP BY id, k)"""
+
+
+@query(
+    sql(
+        ", bi AS (SELECT cell AS id, k, col * 5.0::DOUBLE AS x, row * 5.0::DOUBLE AS y, 400.0::DOUBLE AS size, k AS salt FROM cells, (SELECT unnest([7, 11]) AS k))"
+        + _octave_sql("bend", "bi")
+        + """, oi AS (SELECT cell AS id, q.k, col * 5.0::DOUBLE + 140 * u.v AS x, row * 5.0::DOUBLE + 140 * w.v AS y, 400.0::DOUBLE / 2 ** q.k AS size, 17 + q.k AS salt FROM cells JOIN bend u ON u.id = cell AND u.k = 7 JOIN bend w ON w.id = cell AND w.k = 11, (SELECT unnest([0, 1, 2, 3, 4]) AS k) q)"""
+        + _octave_sql("oct", "oi")
+        + " SELECT row, col, greatest(-1, least(1, 1.6::DOUBLE * sum(v / 2 ** k) / 1.9375))::FLOAT::DOUBLE AS noise FROM oct JOIN cells ON cell = id GROUP BY row, col",
+        "cells",
+    )
+)
 def world_noise(spark, sf_dir):
     cells, _, _ = lattice(spark, sf_dir)
     return cells.select("row", "col", beds.noise(F.col("col") * 5.0, F.col("row") * 5.0, wavelength_m=400, octaves=5).alias("noise"))
