@@ -5,11 +5,16 @@ Directions are 1 to 8 for N, NE, E, SE, S, SW, W, NW; 0 is an end: an edge of th
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tarn.operators.graph import jump
 from tarn.operators.spatial import grid_components
+from tarn.operators.tiles import Tile, dealt
 from tarn.runtime import written
 
 #: Row and column steps of directions 1 to 8; fixed values.
@@ -22,15 +27,50 @@ def _from_neighbours(cells: DataFrame, *values: str) -> DataFrame:
     return cells.withColumn("w", way).select((F.col("row") - F.col("w.r")).alias("row"), (F.col("col") - F.col("w.c")).alias("col"), "w.d", *values)
 
 
+def _heights(tile: Tile) -> tuple[np.ndarray, np.ndarray]:
+    """Codes as whole numbers, and whether there is one."""
+    code = tile.table["code"].combine_chunks()
+    return np.asarray(pc.fill_null(code.cast(pa.int64()), 0)), np.asarray(pc.is_valid(code))
+
+
+def _ends(tile: Tile, sy: int, sx: int) -> np.ndarray:
+    return (tile.row == 0) | (tile.col == 0) | (tile.row == sy - 1) | (tile.col == sx - 1)
+
+
+def _strict(tile: Tile, sy: int, sx: int) -> np.ndarray:
+    """Flow of each row of a tile with its halo, -1 where nothing is lower; of use for own cells only."""
+    code, have = _heights(tile)
+    steepest, way = np.zeros(len(code), np.int64), np.full(len(code), -1, np.int64)
+    for d, (r, c) in enumerate(STEPS, 1):
+        at = tile.beside(r, c)
+        drop = code - code[at]
+        steep = np.where((at >= 0) & have & have[at] & (drop > 0), drop * drop * (2 if d % 2 else 1), 0)
+        better = steep > steepest
+        steepest[better], way[better] = steep[better], d
+    return np.where(_ends(tile, sy, sx), 0, way)
+
+
+def _schema(cells: DataFrame, **further) -> StructType:
+    return StructType([StructField(c, cells.schema[c].dataType) for c in ("row", "col", "code")] + [StructField(n, t) for n, t in further.items()])
+
+
+def _own(tile: Tile, **columns) -> pa.Table:
+    """The own cells of a tile with columns added; negative flow is null."""
+    out = pa.table({c: tile.table[c] for c in ("row", "col", "code")} | {n: pa.array(v.astype(np.int32), mask=v < 0) if n == "flow" else pa.array(v) for n, v in columns.items()})
+    return out.filter(pa.array(tile.own))
+
+
 def strict_directions(cells: DataFrame, sy: int, sx: int) -> DataFrame:
-    """``row, col, code, flow``: the steepest way down by squared drop over squared distance, the lower direction among equals; 0 at edges, null where nothing is lower."""
-    sent = _from_neighbours(cells, F.col("code").alias("other"))
-    lower = sent.join(cells.select("row", "col", "code"), ["row", "col"]).where("other < code")
-    drop = (F.col("code") - F.col("other")).cast("long")
-    steep = drop * drop * F.when(F.col("d") % 2 == 1, 2).otherwise(1)
-    best = lower.groupBy("row", "col").agg(F.max(F.struct(steep.alias("s"), (-F.col("d")).alias("m"))).alias("b")).select("row", "col", (-F.col("b.m")).alias("way"))
-    end = (F.col("row") == 0) | (F.col("col") == 0) | (F.col("row") == sy - 1) | (F.col("col") == sx - 1)
-    return cells.select("row", "col", "code").join(best, ["row", "col"], "left").select("row", "col", "code", F.when(end, 0).otherwise(F.col("way")).alias("flow"))
+    """``row, col, code, flow``: the steepest way down by squared drop over squared distance, the lower direction among equals; 0 at edges, null where nothing is lower.
+
+    A task holds a tile and the cells that border on it.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        tile = Tile(table)
+        return _own(tile, flow=_strict(tile, sy, sx))
+
+    return dealt(cells.select("row", "col", "code"), 1).applyInArrow(run, _schema(cells, flow=IntegerType()))
 
 
 def directions(cells: DataFrame, sy: int, sx: int) -> DataFrame:
