@@ -10,11 +10,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
-from tarn.operators.graph import jump
+from tarn.operators.graph import components, jump
 from tarn.operators.spatial import grid_components
-from tarn.operators.tiles import Tile, dealt
+from tarn.operators.tiles import Tile, dealt, links, rim
 from tarn.runtime import written
 
 #: Row and column steps of directions 1 to 8; fixed values.
@@ -73,35 +73,79 @@ def strict_directions(cells: DataFrame, sy: int, sx: int) -> DataFrame:
     return dealt(cells.select("row", "col", "code"), 1).applyInArrow(run, _schema(cells, flow=IntegerType()))
 
 
+def _levels(tile: Tile) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the first of the own cells of equal code that it is connected to, and, for those first ones, whether a cell of the halo goes on with it."""
+    code, have = _heights(tile)
+    key = np.where(have, code - code.min(), -1)
+    first, goes_on = tile.labels(key, STEPS[2:6]), np.zeros(len(key), bool)
+    for r, c in STEPS:
+        at = tile.beside(r, c)
+        goes_on[first[tile.own & (at >= 0) & ~tile.own[at] & have & (key == key[at])]] = True
+    return first, goes_on
+
+
+def _drained(tile: Tile, flow: np.ndarray, first: np.ndarray, todo: np.ndarray) -> None:
+    """Flats of a tile that are ``todo`` (by cell) get their flow: a closed one ends at its first cell, and steps lead outwards in the order of a queue."""
+    out = np.zeros(len(flow), bool)
+    out[first[todo & (flow >= 0)]] = True
+    sink = np.flatnonzero(todo & (first == np.arange(len(first))) & ~out)
+    flow[sink] = 0
+    # A cell's rank in its round stands for its outlet and the directions from there, which order the queue.
+    front = np.flatnonzero(todo & (flow >= 0))
+    while len(front):
+        cell, order, way = [], [], []
+        for d, (r, c) in enumerate(STEPS, 1):
+            # d leads from the receiver to the sender; the sender reaches it by the opposite step.
+            at = tile.beside(-r, -c)[front]
+            ok = at >= 0
+            ok[ok] = (flow[at[ok]] < 0) & (first[at[ok]] == first[front[ok]])
+            cell.append(at[ok]), order.append(np.flatnonzero(ok) * 8 + (d + 3) % 8), way.append(np.full(ok.sum(), d))
+        cell, order, way = (np.concatenate(x) for x in (cell, order, way))
+        by = np.argsort(order)
+        reached, at = np.unique(cell[by], return_index=True)
+        flow[reached] = way[by][at]
+        front = reached[np.argsort(at)]
+
+
 def directions(cells: DataFrame, sy: int, sx: int) -> DataFrame:
     """``row, col, code, flow`` without nulls: cells of a flat lead to its outlets by the fewest steps; a closed flat leads to its first cell.
 
-    One round a step outwards from the outlets, over the cells that were reached last. Among equally near outlets the one of the lowest
-    cell counts, then the directions that led from there: the text of directions grows with the round and orders the cells of a round.
+    Flats within a tile are done there. Those that go on over a tile's edge take one round a step outwards from the outlets, over the
+    cells that were reached last. Among equally near outlets the one of the lowest cell counts, then the directions that led from there:
+    the text of directions grows with the round and orders the cells of a round.
     """
-    strict = written(strict_directions(cells, sy, sx), "strict")
-    flat = strict.where("flow is null")
-    if flat.isEmpty():
-        return strict
-    comp = grid_components(strict, sx, "code", diagonal=True)
-    state = strict.join(comp, ["row", "col"])
-    open_ = state.groupBy("comp").agg(F.max(F.col("flow").isNotNull().cast("int")).alias("out")).where("out = 0").select("comp", F.lit(True).alias("closed"))
+
+    def run(table: pa.Table) -> pa.Table:
+        tile = Tile(table)
+        flow, (first, goes_on) = _strict(tile, sy, sx), _levels(tile)
+        wide = goes_on[first]
+        _drained(tile, flow, first, tile.own & ~wide)
+        return _own(tile, flow=flow, comp=tile.row[first] * sx + tile.col[first], wide=wide)
+
+    done = written(dealt(cells.select("row", "col", "code"), 1).applyInArrow(run, _schema(cells, flow=IntegerType(), comp=LongType(), wide=BooleanType())), "flats")
+    wide = done.where("wide").drop("wide")
+    done = done.where("not wide").select("row", "col", "code", "flow")
+    if wide.where("flow is null").isEmpty():
+        return done.union(wide.select("row", "col", "code", "flow"))
+    merged = components(links(wide.where(rim()).withColumn("k", F.col("code")), STEPS[2:6])).select(F.col("node").alias("comp"), F.col("comp").alias("whole"))
+    state = wide.join(merged.hint("merge"), "comp", "left").withColumn("comp", F.coalesce("whole", "comp"))
+    closed = state.groupBy("comp").agg(F.max(F.col("flow").isNotNull().cast("int")).alias("out")).where("out = 0").select("comp", F.lit(True).alias("closed"))
     cell = F.col("row").cast("long") * sx + F.col("col")
-    state = state.join(open_, "comp", "left").select("row", "col", "code", F.when(F.col("closed") & (cell == F.col("comp")), 0).otherwise(F.col("flow")).alias("flow"), cell.alias("cell"))
-    state = written(state, "flats")
-    done = state.where("flow is not null").select("row", "col", "flow")
+    state = state.join(closed.hint("merge"), "comp", "left").select("row", "col", "code", F.when(F.col("closed") & (cell == F.col("comp")), 0).otherwise(F.col("flow")).alias("flow"), cell.alias("cell"))
+    state = written(state, "wide")
+    done = done.union(state.where("flow is not null").select("row", "col", "code", "flow"))
     front = state.where("flow is not null").select("row", "col", "code", F.col("cell").alias("seed"), F.lit("").alias("path"))
     rest = state.where("flow is null").select("row", "col", "code")
     while not rest.isEmpty():
         # d is the direction from the receiver to the sender; the sender reaches it by the opposite one, which orders the queue.
-        sent = _from_neighbours(front, F.col("code").alias("other"), "seed", "path").join(rest, ["row", "col"]).where("other = code")
+        sent = _from_neighbours(front, F.col("code").alias("other"), "seed", "path").join(rest.hint("merge"), ["row", "col"]).where("other = code")
         step = F.concat("path", (((F.col("d") + 3) % 8) + 1).cast("string"))
         got = sent.groupBy("row", "col", "code").agg(F.min(F.struct("seed", step.alias("path"), F.col("d"))).alias("b"))
         reached = written(got.select("row", "col", "code", "b.seed", "b.path", F.col("b.d").alias("flow")), "front")
-        done = done.union(reached.select("row", "col", "flow"))
-        rest = written(rest.join(reached, ["row", "col"], "left_anti"), "rest")
+        done = done.union(reached.select("row", "col", "code", "flow"))
+        rest = written(rest.join(reached.hint("merge"), ["row", "col"], "left_anti"), "rest")
         front = reached.select("row", "col", "code", "seed", "path")
-    return strict.select("row", "col", "code").join(written(done, "flow"), ["row", "col"])
+    return done
 
 
 def outlets(flow: DataFrame, sx: int) -> DataFrame:

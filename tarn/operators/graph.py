@@ -1,4 +1,7 @@
-"""Graph operators in tables: components, pointer jumping, and sums down a tree, in logarithmically many rounds."""
+"""Graph operators in tables: components, pointer jumping, and sums down a tree, in logarithmically many rounds.
+
+Joins of a graph with itself are merged: rounds are small as files and large in memory, so that Spark's estimate would have the driver broadcast them.
+"""
 
 from __future__ import annotations
 
@@ -19,9 +22,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct().where("a > b")
+        large = both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct().where("a > b")
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        new = large.join(lowest, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        new = large.join(lowest.hint("merge"), "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         new = written(new, "edges")
         state = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
@@ -38,11 +41,11 @@ def jump(pointers: DataFrame) -> DataFrame:
     now = written(pointers.select("node", F.coalesce("next", "node").alias("next")), "jump")
     ends = now.where("node = next").select(F.col("node").alias("next"), F.lit(True).alias("ended"))
     steps, most = 1, now.count()
-    while steps <= most and not now.join(ends, "next", "left_anti").isEmpty():
+    while steps <= most and not now.join(ends.hint("merge"), "next", "left_anti").isEmpty():
         two = now.select(F.col("node").alias("next"), F.col("next").alias("then"))
-        now = written(now.join(two, "next").select("node", F.col("then").alias("next")), "jump")
+        now = written(now.join(two.hint("merge"), "next").select("node", F.col("then").alias("next")), "jump")
         steps *= 2
-    return now.join(ends, "next", "left").select("node", F.when(F.col("ended"), F.col("next")).alias("next"))
+    return now.join(ends.hint("merge"), "next", "left").select("node", F.when(F.col("ended"), F.col("next")).alias("next"))
 
 
 def downstream_sums(nodes: DataFrame, value: str = "value") -> DataFrame:

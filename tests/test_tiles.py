@@ -79,3 +79,9 @@ def _queued(code):
 def test_strict_directions_over_tiles(unsent):
     code, cells = _lattice(unsent, 16)
     assert {(r.row, r.col): r.flow for r in flow.strict_directions(cells, SY, SX).collect()} == _strict(code)
+
+
+@pytest.mark.parametrize("kinds", [16, 2])
+def test_flats_over_tiles(unsent, kinds):
+    code, cells = _lattice(unsent, kinds)
+    assert {(r.row, r.col): r.flow for r in flow.directions(cells, SY, SX).collect()} == _queued(code)
