@@ -85,3 +85,13 @@ def test_strict_directions_over_tiles(unsent):
 def test_flats_over_tiles(unsent, kinds):
     code, cells = _lattice(unsent, kinds)
     assert {(r.row, r.col): r.flow for r in flow.directions(cells, SY, SX).collect()} == _queued(code)
+
+
+def test_catchments_over_tiles(unsent):
+    code, cells = _lattice(unsent, 4)
+    got, want = _queued(code), {}
+    for at in got:
+        while got[at]:
+            at = at[0] + flow.STEPS[got[at] - 1][0], at[1] + flow.STEPS[got[at] - 1][1]
+        want[at[0] * SX + at[1]] = want.get(at[0] * SX + at[1], 0) + 1
+    assert {r.outlet: r.cells for r in flow.catchments(flow.directions(cells, SY, SX), SX).collect()} == want
