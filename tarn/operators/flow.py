@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 from tarn.operators.graph import components, jump
-from tarn.operators.spatial import grid_components
 from tarn.operators.tiles import Tile, dealt, links, rim
 from tarn.runtime import written
 
@@ -161,10 +160,29 @@ def catchments(flow: DataFrame, sx: int, cell_area: float = 1.0) -> DataFrame:
     return outlets(flow, sx).groupBy("outlet").agg(F.count(F.lit(1)).alias("cells"), (F.count(F.lit(1)) * cell_area).alias("area"))
 
 
+#: Lattice rows whose pits are numbered in one task.
+NUMBERED = 4096
+
+
 def pits(cells: DataFrame, sy: int, sx: int) -> DataFrame:
-    """``pit, code, cells, first_cell``: maximal 8-connected sets of equal codes with nothing lower around and no sample at an edge, numbered from 1 in raster order of their first cells."""
-    comp = written(cells.select("row", "col", "code").join(grid_components(cells, sx, "code", diagonal=True), ["row", "col"]), "level")
-    lower = _from_neighbours(cells, F.col("code").alias("other")).join(comp, ["row", "col"]).where("other < code").select("comp")
-    end = comp.where((F.col("row") == 0) | (F.col("col") == 0) | (F.col("row") == sy - 1) | (F.col("col") == sx - 1)).select("comp")
-    kept = comp.join(lower.union(end).distinct(), "comp", "left_anti").groupBy("comp").agg(F.min("code").alias("code"), F.count(F.lit(1)).alias("cells"))
-    return kept.select(F.row_number().over(Window.orderBy("comp")).alias("pit"), "code", "cells", F.col("comp").alias("first_cell"))
+    """``pit, code, cells, first_cell``: maximal 8-connected sets of equal codes with nothing lower around and no sample at an edge, numbered from 1 in raster order of their first cells.
+
+    A tile counts its own sets; those that go on over its edge are put together afterwards.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        tile = Tile(table)
+        first, goes_on = _levels(tile)
+        spilt = _ends(tile, sy, sx) | (_strict(tile, sy, sx) > 0)
+        return _own(tile, comp=tile.row[first] * sx + tile.col[first], wide=goes_on[first], spilt=spilt)
+
+    level = written(dealt(cells.select("row", "col", "code"), 1).applyInArrow(run, _schema(cells, comp=LongType(), wide=BooleanType(), spilt=BooleanType())), "level")
+    sums = level.groupBy("comp").agg(F.min("code").alias("code"), F.count(F.lit(1)).alias("cells"), F.max("spilt").alias("spilt"), F.max("wide").alias("wide"))
+    sums = written(sums.where("wide or not spilt"), "sets")
+    merged = components(links(level.where("wide").where(rim()).withColumn("k", F.col("code")), STEPS[2:6])).select(F.col("node").alias("comp"), F.col("comp").alias("whole"))
+    wide = sums.where("wide").join(merged.hint("merge"), "comp", "left").groupBy(F.coalesce("whole", "comp").alias("comp")).agg(F.min("code").alias("code"), F.sum("cells").alias("cells"), F.max("spilt").alias("spilt"))
+    kept = sums.where("not wide").select("comp", "code", "cells").union(wide.where("not spilt").select("comp", "code", "cells"))
+    kept = written(kept.withColumn("part", F.floor(F.col("comp") / (sx * NUMBERED))), "pits")
+    before = kept.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    number = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("comp"))
+    return kept.join(before.hint("merge"), "part").select(number.cast("int").alias("pit"), "code", "cells", F.col("comp").alias("first_cell"))

@@ -8,9 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tarn.operators.graph import components
 from tarn.operators.stencil import neighbours
+from tarn.operators.tiles import Tile, dealt, links, rim
+from tarn.runtime import written
 
 
 def disc(radius: int) -> list[tuple[int, int]]:
@@ -37,13 +40,23 @@ def nearest_within(targets: DataFrame, sources: DataFrame, radius: int, *values:
 
 
 def grid_components(cells: DataFrame, samples_x: int, key: str | None = None, diagonal: bool = False) -> DataFrame:
-    """``row, col, comp``: connected cells (of equal ``key``), named by their first cell in raster order."""
-    named = cells.select("row", "col", (F.col("row").cast("long") * samples_x + F.col("col")).alias("cell"), (F.col(key) if key else F.lit(0)).alias("k"))
+    """``row, col, comp``: connected cells (of equal ``key``), named by their first cell in raster order.
+
+    Tiles are labelled each by itself; only components that meet over a tile's edge take rounds.
+    """
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else [])
-    way = F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in steps)))
-    sent = named.withColumn("w", way).select((F.col("row") + F.col("w.r")).alias("row"), (F.col("col") + F.col("w.c")).alias("col"), "k", F.col("cell").alias("a"))
-    edges = sent.join(named, ["row", "col", "k"]).select("a", F.col("cell").alias("b"))
-    return named.join(components(edges), F.col("cell") == F.col("node"), "left").select("row", "col", F.coalesce("comp", "cell").alias("comp"))
+    named = cells.select("row", "col", (F.col(key) if key else F.lit(0)).alias("k"))
+
+    def label(table: pa.Table) -> pa.Table:
+        tile = Tile(table)
+        first = tile.labels(tile.codes("k"), steps)
+        return pa.table({"row": tile.table["row"], "col": tile.table["col"], "k": tile.table["k"], "comp": tile.row[first] * samples_x + tile.col[first]})
+
+    kinds = [named.schema["row"], named.schema["col"], named.schema["k"]]
+    own = written(dealt(named).applyInArrow(label, StructType([StructField(f.name, f.dataType) for f in kinds] + [StructField("comp", LongType())])), "tiles")
+    # A component of a tile has the tile's cells at most, so that no name is hot in the join.
+    merged = components(links(own.where(rim()), steps)).select("node", F.col("comp").alias("whole"))
+    return own.join(merged.hint("merge"), F.col("comp") == F.col("node"), "left").select("row", "col", F.coalesce("whole", "comp").alias("comp"))
 
 
 def ocean_mask(cells: DataFrame, sy: int, sx: int, level: float) -> DataFrame:

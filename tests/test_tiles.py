@@ -95,3 +95,20 @@ def test_catchments_over_tiles(unsent):
             at = at[0] + flow.STEPS[got[at] - 1][0], at[1] + flow.STEPS[got[at] - 1][1]
         want[at[0] * SX + at[1]] = want.get(at[0] * SX + at[1], 0) + 1
     assert {r.outlet: r.cells for r in flow.catchments(flow.directions(cells, SY, SX), SX).collect()} == want
+
+
+@pytest.mark.parametrize("kinds", [16, 3])
+def test_pits_over_tiles(unsent, kinds):
+    code, cells = _lattice(unsent, kinds)
+    want = []
+    for flat in _flats(code):
+        around = [(y + a, x + b) for y, x in flat for a, b in flow.STEPS]
+        if all(0 < y < SY - 1 and 0 < x < SX - 1 for y, x in flat) and not any(0 <= code[at] < code[flat[0]] for at in around):
+            want.append((len(want) + 1, int(code[flat[0]]), len(flat), flat[0][0] * SX + flat[0][1]))
+    assert sorted(map(tuple, flow.pits(cells, SY, SX).collect())) == want
+
+
+def test_components_over_tiles(unsent):
+    code, cells = _lattice(unsent, 2)
+    want = {at: flat[0][0] * SX + flat[0][1] for flat in _flats(code) for at in flat}
+    assert {(r.row, r.col): r.comp for r in spatial.grid_components(cells, SX, "code", diagonal=True).collect()} == want
