@@ -61,15 +61,22 @@ def link_ends(segments: DataFrame, tolerance: float) -> DataFrame:
     """``seg_id, downstream``: for each segment's end the segment that starts within ``tolerance``: the highest order, then the smallest id; none: null.
 
     ``segments``: ``seg_id, order, x0, y0, x1, y1``. Starts are hashed to squares of ``tolerance``; an end looks in its own and the eight around.
+    Segments that start at one place stand behind the best two of them (a segment doesn't follow itself), and those that end at one place look once.
     """
     square = lambda c: F.floor(F.col(c) / tolerance)
-    starts = segments.select(F.col("seg_id").alias("downstream"), F.col("order").alias("rank"), F.col("x0").alias("sx"), F.col("y0").alias("sy"), square("x0").alias("bx"), square("y0").alias("by"))
+
+    def best_two(found: DataFrame, *place: str) -> DataFrame:
+        each = found.groupBy(*place, "downstream").agg(F.max("rank").alias("rank"))
+        return each.withColumn("n", F.row_number().over(Window.partitionBy(*place).orderBy(F.desc("rank"), "downstream"))).where("n <= 2")
+
+    starts = best_two(segments.select(F.col("seg_id").alias("downstream"), F.col("order").alias("rank"), F.col("x0").alias("sx"), F.col("y0").alias("sy")), "sx", "sy").drop("n")
+    starts = starts.withColumns({"bx": square("sx"), "by": square("sy")})
     around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
-    ends = segments.withColumn("w", around).select("seg_id", "x1", "y1", (square("x1") + F.col("w.a")).alias("bx"), (square("y1") + F.col("w.b")).alias("by"))
+    ends = segments.select("x1", "y1").distinct().withColumn("w", around).select("x1", "y1", (square("x1") + F.col("w.a")).alias("bx"), (square("y1") + F.col("w.b")).alias("by"))
     dx, dy = F.col("sx") - F.col("x1"), F.col("sy") - F.col("y1")
-    near = ends.join(starts, ["bx", "by"]).where("downstream != seg_id").where(dx * dx + dy * dy <= tolerance * tolerance)
-    best = near.groupBy("seg_id").agg(F.max_by("downstream", F.struct("rank", -F.col("downstream"))).alias("downstream"))
-    return segments.select("seg_id").join(best, "seg_id", "left")
+    near = ends.join(starts.hint("merge"), ["bx", "by"]).where(dx * dx + dy * dy <= tolerance * tolerance)
+    best = best_two(near, "x1", "y1").groupBy("x1", "y1").agg(F.max(F.when(F.col("n") == 1, F.col("downstream"))).alias("one"), F.max(F.when(F.col("n") == 2, F.col("downstream"))).alias("two"))
+    return segments.select("seg_id", "x1", "y1").join(best.hint("merge"), ["x1", "y1"], "left").select("seg_id", F.when(F.col("one") != F.col("seg_id"), F.col("one")).otherwise(F.col("two")).alias("downstream"))
 
 
 def mode_order(path: DataFrame, key: str = "seg_id", order: str = "order", fallback: int = 2) -> DataFrame:

@@ -289,3 +289,18 @@ def test_measures(spark):
     q = [(lake, i / 10, 10 * 0.6 * (1 - np.exp(-0.9 * i / 10 / 0.6)), 10.0) for lake in (1, 2) for i in range(1, 10)]
     best = measures.calibration(spark.createDataFrame([(a, b, float(c), d) for a, b, c, d in q], "lake_id int, q double, depth double, reach double")).first()
     assert (best.k, best.b, best.scale) == (0.9, 0.6, 1.0) and best.objective < 1e-9
+
+
+def test_ends_and_starts_at_one_place(spark):
+    """Rows that start at one place are as many as they like; nothing is paired but places."""
+    rng = np.random.default_rng(3)
+    rows = [(i, int(rng.integers(1, 4)), *(int(v) for v in rng.integers(0, 4, 4))) for i in range(60)] + [(60, 9, 50, 50, 50, 50), (61, 9, 90, 90, 91, 90)]
+    segments = spark.createDataFrame(rows, "seg_id long, order int, x0 int, y0 int, x1 int, y1 int")
+    want = {}
+    for a in rows:
+        near = [(-b[1], b[0]) for b in rows if b[0] != a[0] and (b[2] - a[4]) ** 2 + (b[3] - a[5]) ** 2 <= 4]
+        want[a[0]] = min(near)[1] if near else None
+    assert {r.seg_id: r.downstream for r in rivers.link_ends(segments, 2.0).collect()} == want
+    many = spark.range(40_000).select(F.col("id").alias("seg_id"), F.lit(1).alias("order"), *(F.lit(0).alias(c) for c in ("x0", "y0", "x1", "y1")))
+    got = rivers.link_ends(many, 2.0)
+    assert got.where("downstream = 0").count() == 39_999 and got.where("seg_id = 0").first().downstream == 1
