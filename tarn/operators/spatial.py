@@ -141,10 +141,11 @@ def distance(cells: DataFrame, sx: int, source: str = "source") -> DataFrame:
 
     Distances along columns come from two windows, those along rows from a batch of rows at once. A task holds single rows and columns only.
     """
-    down = Window.partitionBy("col").orderBy("row")
+    # Both windows begin at an end of the column: one that reaches to the far end would be summed anew for each row.
+    down, back = (Window.partitionBy("col").orderBy(order).rowsBetween(Window.unboundedPreceding, 0) for order in (F.asc("row"), F.desc("row")))
     at = F.when(F.col(source), F.col("row"))
-    up = F.col("row") - F.last(at, ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0))
-    low = F.first(at, ignorenulls=True).over(down.rowsBetween(0, Window.unboundedFollowing)) - F.col("row")
+    up = F.col("row") - F.last(at, ignorenulls=True).over(down)
+    low = F.last(at, ignorenulls=True).over(back) - F.col("row")
     columns = cells.withColumn("g", F.least(up, low).cast("double")).select("row", "col", (F.col("g") * F.col("g")).alias("g"))
 
     def run(batches):

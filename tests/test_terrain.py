@@ -304,3 +304,11 @@ def test_ends_and_starts_at_one_place(spark):
     many = spark.range(40_000).select(F.col("id").alias("seg_id"), F.lit(1).alias("order"), *(F.lit(0).alias(c) for c in ("x0", "y0", "x1", "y1")))
     got = rivers.link_ends(many, 2.0)
     assert got.where("downstream = 0").count() == 39_999 and got.where("seg_id = 0").first().downstream == 1
+
+
+def test_distance_windows_start_at_an_end(spark):
+    """A window that ends at the far end of a column is summed anew for each of its rows."""
+    cells = spark.range(60_000).select(F.col("id").cast("int").alias("row"), F.lit(0).alias("col"), (F.col("id") % 50_000 == 7).alias("source"))
+    got = spatial.distance(cells, 1)
+    assert "unboundedfollowing" not in got._jdf.queryExecution().executedPlan().toString().lower()
+    assert got.where("d2 != least(abs(row - 7), abs(row - 50007)) * least(abs(row - 7), abs(row - 50007))").count() == 0 and got.count() == 60_000
