@@ -39,24 +39,24 @@ def nearest_within(targets: DataFrame, sources: DataFrame, radius: int, *values:
     return targets.join(best, ["row", "col"]).select(*(targets[c] for c in targets.columns), "s.d2", *(F.col(f"s.{v}").alias(f"near_{v}") for v in values))
 
 
-def grid_components(cells: DataFrame, samples_x: int, key: str | None = None, diagonal: bool = False) -> DataFrame:
-    """``row, col, comp``: connected cells (of equal ``key``), named by their first cell in raster order.
+def grid_components(cells: DataFrame, samples_x: int, key: str | None = None, diagonal: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``row, col, comp`` and the columns to ``keep``: connected cells (of equal ``key``), named by their first cell in raster order.
 
     Tiles are labelled each by itself; only components that meet over a tile's edge take rounds.
     """
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else [])
-    named = cells.select("row", "col", (F.col(key) if key else F.lit(0)).alias("k"))
+    named = cells.select("row", "col", (F.col(key) if key else F.lit(0)).alias("k"), *keep)
+    kinds = {f.name: f.dataType for f in named.schema}
 
     def label(table: pa.Table) -> pa.Table:
         tile = Tile(table)
         first = tile.labels(tile.codes("k"), steps)
-        return pa.table({"row": tile.table["row"], "col": tile.table["col"], "k": tile.table["k"], "comp": tile.row[first] * samples_x + tile.col[first]})
+        return tile.table.select(list(kinds)).append_column("comp", pa.array(tile.row[first] * samples_x + tile.col[first]))
 
-    kinds = [named.schema["row"], named.schema["col"], named.schema["k"]]
-    own = written(dealt(named).applyInArrow(label, StructType([StructField(f.name, f.dataType) for f in kinds] + [StructField("comp", LongType())])), "tiles")
+    own = written(dealt(named).applyInArrow(label, StructType([StructField(n, t) for n, t in kinds.items()] + [StructField("comp", LongType())])), "tiles")
     # A component of a tile has the tile's cells at most, so that no name is hot in the join.
     merged = components(links(own.where(rim()), steps)).select("node", F.col("comp").alias("whole"))
-    return own.join(merged.hint("merge"), F.col("comp") == F.col("node"), "left").select("row", "col", F.coalesce("whole", "comp").alias("comp"))
+    return own.join(merged.hint("merge"), F.col("comp") == F.col("node"), "left").select("row", "col", F.coalesce("whole", "comp").alias("comp"), *keep)
 
 
 def ocean_mask(cells: DataFrame, sy: int, sx: int, level: float) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from tarn.operators import flow, spatial, tiles
+from tarn.operators import beds, flow, spatial, tiles
 
 SY, SX = 2 * tiles.SIDE + 30, 9
 
@@ -112,3 +112,19 @@ def test_components_over_tiles(unsent):
     code, cells = _lattice(unsent, 2)
     want = {at: flat[0][0] * SX + flat[0][1] for flat in _flats(code) for at in flat}
     assert {(r.row, r.col): r.comp for r in spatial.grid_components(cells, SX, "code", diagonal=True).collect()} == want
+
+
+def test_ramps_of_bodies_over_tiles(unsent):
+    """A body over two tiles is scaled as one, by its deepest sample."""
+    kind = np.zeros((SY, SX), int)
+    kind[200:300, 2:7] = kind[400:520, 4] = 2
+    kind[500:505, 3:6] = 2
+    cells = unsent.createDataFrame([(r, c, int(kind[r, c])) for r in range(SY) for c in range(SX)], "row int, col int, kind int")
+    got = {(r.row, r.col): r.depth for r in beds.lake_ramp(cells, SX, 1.0, depth_m=20.0, ramp_m=40.0, least_m=2.0).collect()}
+    dry = np.argwhere(kind == 0)
+    ramp = {(int(y), int(x)): 20 * min(max((np.sqrt(((dry - (y, x)) ** 2).sum(1).min()) - 1) / 40, 0), 1) for y, x in np.argwhere(kind == 2)}
+    want = {}
+    for body in ({at for at in ramp if at[0] < 300}, {at for at in ramp if at[0] >= 400}):
+        peak = max(ramp[at] for at in body)
+        want |= {at: ramp[at] * max(1, 2 / peak) if peak > 1e-6 else 2.0 for at in body}
+    assert got.keys() == want.keys() and all(got[at] == pytest.approx(want[at]) for at in want)
