@@ -5,12 +5,16 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tarn.operators.graph import components
 from tarn.operators.spatial import edge_of, grid_components
-from tarn.operators.stencil import neighbours
+from tarn.operators.tiles import Tile, dealt
 from tarn.runtime import written
 
 
@@ -25,20 +29,49 @@ class ShoreRules:
     island_m: float = 1.0
 
 
-def _around(cells: DataFrame, radius: int, *values: str) -> DataFrame:
-    """Each cell's values at every cell within ``radius`` rows and columns, itself too."""
-    way = F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in range(-radius, radius + 1) for c in range(-radius, radius + 1))))
-    return cells.withColumn("w", way).select((F.col("row") - F.col("w.r")).alias("row"), (F.col("col") - F.col("w.c")).alias("col"), *values)
+def _scan(cells: DataFrame, spacing_m: float, rules: ShoreRules) -> DataFrame:
+    """``row, col, lake_id, h, inner, calm, near, outer`` of lake samples with a height, by what lies around each, in tiles.
 
-
-def _beside_others(cells: DataFrame, wet: DataFrame, radius: float) -> DataFrame:
-    """``row, col`` of the lake samples within ``radius`` cells of a sample that isn't of their lake. Only samples along borders send, since the nearest one is among them."""
-    border = edge_of(cells.select("row", "col", "lake_id"), "lake_id")
-    n = int(radius)
-    steps = [(r, c) for r in range(-n, n + 1) for c in range(-n, n + 1) if r * r + c * c <= radius * radius]
-    way = F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in steps)))
-    sent = border.withColumn("w", way).select((F.col("row") + F.col("w.r")).alias("row"), (F.col("col") + F.col("w.c")).alias("col"), F.col("lake_id").alias("other")).distinct()
-    return wet.select("row", "col", "lake_id").join(sent, ["row", "col"]).where("other != lake_id").select("row", "col").distinct()
+    ``inner``: all within ``inset`` rows and columns are samples of the lake; ``calm``: it is flat there, or as high as a flat neighbour; ``near``: within ``band_m`` of
+    a sample that isn't of the lake; ``outer``: not all neighbours are samples of the lake.
+    """
+    radius = rules.band_m / spacing_m
+    halo = max(rules.inset, int(radius), 2)
+    square = lambda n: [(r, c) for r in range(-n, n + 1) for c in range(-n, n + 1)]
+    given = cells.select("row", "col", "lake_id", F.col("h").cast("double").alias("h"))
+    kinds = {c: given.schema[c].dataType for c in given.columns} | dict.fromkeys(("inner", "calm", "near", "outer"), BooleanType())
+
+    def run(table: pa.Table) -> pa.Table:
+        tile = Tile(table, halo)
+        high = tile.table["h"].combine_chunks()
+        have, h = np.asarray(pc.is_valid(high)), high.to_numpy(zero_copy_only=False)
+        lake = tile.codes("lake_id")
+        known = np.asarray(pc.fill_null(pc.greater(tile.table["lake_id"].combine_chunks(), 0), False))
+        wet = have & known
+        inner, outer, near, rise, fall = wet.copy(), ~wet, np.zeros(len(h), bool), h.copy(), h.copy()
+        for r, c in square(rules.inset):
+            at = tile.beside(r, c)
+            inner &= (at >= 0) & wet[at] & (lake[at] == lake)
+        for r, c in square(1):
+            at = tile.beside(r, c)
+            outer |= ~((at >= 0) & wet[at] & (lake[at] == lake))
+            there = (at >= 0) & have[at] & have
+            rise[there], fall[there] = np.maximum(rise[there], h[at[there]]), np.minimum(fall[there], h[at[there]])
+        flat = have & (rise - fall <= rules.flat_m)
+        calm = flat.copy()
+        for r, c in square(1):
+            at = tile.beside(r, c)
+            calm |= have & (at >= 0) & flat[at] & (np.abs(h - h[at]) <= rules.plane_m)
+        for r, c in square(int(radius)):
+            if r * r + c * c <= radius * radius:
+                at = tile.beside(r, c)
+                near |= (at >= 0) & (lake[at] >= 0) & (lake[at] != lake)
+        out = tile.table.select(["row", "col", "lake_id", "h"])
+        for name, flags in (("inner", inner), ("calm", calm), ("near", near), ("outer", outer)):
+            out = out.append_column(name, pa.array(flags))
+        return out.filter(pa.array(tile.own & wet))
+
+    return dealt(given, halo).applyInArrow(run, StructType([StructField(n, t) for n, t in kinds.items()]))
 
 
 def split_shores(cells: DataFrame, levels: DataFrame, sy: int, sx: int, spacing_m: float, rules: ShoreRules = ShoreRules()) -> DataFrame:
@@ -50,37 +83,29 @@ def split_shores(cells: DataFrame, levels: DataFrame, sy: int, sx: int, spacing_
     whatever isn't the same lake, another lake too. ``anchor`` is where the
     bed may begin. Cells: ``row, col, h, lake_id`` (0: none).
     """
-    wet = written(cells.where("lake_id > 0 and h is not null").join(levels.where("level is not null"), "lake_id").select("row", "col", "lake_id", F.col("h").cast("double").alias("h"), "level"), "wet")
-    side = 2 * rules.inset + 1
-    inner = _around(wet, rules.inset, F.col("lake_id").alias("other")).join(wet, ["row", "col"]).where("other = lake_id").groupBy("row", "col", "lake_id", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == side * side)
-    deep = inner.groupBy("lake_id").agg(F.count(F.lit(1)).alias("n"), F.median("h").alias("mid")).where("n >= 10").select("lake_id", "mid")
+    # Left joins, as of an inner one either side may be broadcast, and the lattice is small as a file.
+    wet = written(_scan(cells, spacing_m, rules).join(levels.where("level is not null").select("lake_id", "level"), "lake_id", "left"), "wet").where("level is not null")
+    deep = wet.where("inner").groupBy("lake_id").agg(F.count(F.lit(1)).alias("n"), F.median("h").alias("mid")).where("n >= 10").select("lake_id", "mid")
     plane_at = wet.groupBy("lake_id").agg(F.median("h").alias("all")).join(deep, "lake_id", "left").select("lake_id", F.coalesce("mid", "all").alias("pz"))
-    heights = cells.where("h is not null").select("row", "col", F.col("h").cast("double").alias("h"))
-    flat = _around(heights, 1, F.col("h").alias("o")).groupBy("row", "col").agg((F.max("o") - F.min("o")).alias("range")).where(F.col("range") <= rules.flat_m).join(heights, ["row", "col"]).select("row", "col", "h")
-    beside = neighbours(flat, F.col("h").alias("o")).join(heights, ["row", "col"]).where(F.abs(F.col("h") - F.col("o")) <= rules.plane_m).select("row", "col").union(flat.select("row", "col")).distinct().withColumn("calm", F.lit(True))
-    near = _beside_others(cells, wet, rules.band_m / spacing_m).withColumn("near", F.lit(True))
-    far = F.col("near").isNull()
-    rows = wet.join(plane_at, "lake_id").join(beside, ["row", "col"], "left").join(near, ["row", "col"], "left")
-    calm = (F.abs(F.col("h") - F.col("pz")) <= rules.plane_m) | F.coalesce("calm", F.lit(False))
-    rows = written(rows.select("row", "col", "lake_id", "h", "level", "pz", calm.alias("calm"), far.alias("far")), "strip")
-    scraps = written(grid_components(rows.where("calm"), sx, "lake_id", diagonal=True).join(rows.where("calm and pz < level").select("row", "col", "lake_id"), ["row", "col"]), "scraps")
-    sizes = scraps.groupBy("lake_id", "comp").agg(F.count(F.lit(1)).alias("n"))
+    calm = (F.abs(F.col("h") - F.col("pz")) <= rules.plane_m) | F.col("calm")
+    rows = written(wet.join(plane_at, "lake_id", "left").select("row", "col", "lake_id", "h", "level", "pz", calm.alias("calm"), "near", "outer"), "strip")
+    held = ("lake_id", "h", "level", "pz", "near", "outer")
+    pieces = written(grid_components(rows.where("calm"), sx, "lake_id", diagonal=True, keep=held), "pieces")
+    sizes = pieces.where("pz < level").groupBy("lake_id", "comp").agg(F.count(F.lit(1)).alias("n"))
     # A lake's only piece of plane is its water, however small.
-    several = sizes.groupBy("lake_id").agg(F.count(F.lit(1)).alias("pieces")).where("pieces > 1")
-    small = sizes.where(F.col("n") < rules.scraps).join(several, "lake_id", "left_semi")
-    lone = scraps.join(small, "comp", "left_semi").select("row", "col", F.lit(True).alias("scrap"))
-    rows = rows.join(lone, ["row", "col"], "left")
-    first = F.when(F.col("far") | (F.col("calm") & ~F.coalesce("scrap", F.lit(False))), "plane").when(F.col("h") < F.col("level"), "ground").otherwise("land")
-    rows = written(rows.withColumn("part", first), "parts")
-    land = rows.where("part = 'land'").select("row", "col", "lake_id", "h", "level")
-    comp = written(land.join(grid_components(land, sx, "lake_id", diagonal=True), ["row", "col"]), "land")
+    several = sizes.groupBy("lake_id").agg(F.count(F.lit(1)).alias("pieces")).where("pieces > 1").select("lake_id")
+    small = sizes.where(F.col("n") < rules.scraps).join(several, "lake_id", "left_semi").select("comp", F.lit(True).alias("scrap"))
+    plane = pieces.join(small.hint("merge"), "comp", "left").select("row", "col", *held, F.coalesce("scrap", F.lit(False)).alias("scrap"), F.lit(True).alias("calm"))
+    rows = plane.unionByName(rows.where("not calm").select("row", "col", *held, F.lit(False).alias("scrap"), F.lit(False).alias("calm")))
+    first = F.when(~F.col("near") | (F.col("calm") & ~F.col("scrap")), "plane").when(F.col("h") < F.col("level"), "ground").otherwise("land")
+    rows = written(rows.withColumn("part", first).withColumn("anchor", F.least(F.col("pz"), F.col("level") - rules.edge_drop_m)), "parts")
+    land = rows.where("part = 'land'").select("row", "col", "lake_id", "anchor", "outer", (F.col("h") - F.col("level")).alias("over"))
+    land = written(grid_components(land, sx, "lake_id", diagonal=True, keep=("lake_id", "anchor", "outer", "over")), "land")
     # Joined to the outside: next to a cell of another lake or none, or at the edge of the map.
-    same = neighbours(rows, F.col("lake_id").alias("other")).join(comp, ["row", "col"]).where("other = lake_id").groupBy("row", "col", "comp").agg(F.count(F.lit(1)).alias("n"))
-    outer = comp.join(same.select("row", "col", "n"), ["row", "col"], "left").where(F.coalesce("n", F.lit(0)) < 8).select("comp").distinct().withColumn("outer", F.lit(True))
-    peak = comp.groupBy("comp").agg(F.max(F.col("h") - F.col("level")).alias("peak"))
-    kinds = comp.select("row", "col", "comp").join(peak, "comp").join(outer, "comp", "left")
-    final = kinds.select("row", "col", F.when(F.col("outer"), "land").when(F.col("peak") >= rules.island_m, "island").otherwise("plane").alias("as"))
-    return rows.join(final, ["row", "col"], "left").select("row", "col", "lake_id", F.coalesce("as", "part").alias("part"), F.least(F.col("pz"), F.col("level") - rules.edge_drop_m).alias("anchor"))
+    kinds = land.groupBy("comp").agg(F.max("outer").alias("outside"), F.max("over").alias("peak"))
+    kind = F.when(F.col("outside"), "land").when(F.col("peak") >= rules.island_m, "island").otherwise("plane")
+    final = land.join(kinds.hint("merge"), "comp").select("row", "col", "lake_id", kind.alias("part"), "anchor")
+    return rows.where("part != 'land'").select("row", "col", "lake_id", "part", "anchor").union(final)
 
 
 def low_ground(cells: DataFrame, levels: DataFrame, sy: int, sx: int, spacing_m: float, *, most_m: float = 50.0) -> DataFrame:

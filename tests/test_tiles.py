@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tarn.operators import beds, flow, spatial, tiles
+from tarn.operators import beds, flow, shores, spatial, tiles
 
 SY, SX = 2 * tiles.SIDE + 30, 9
 
@@ -128,3 +129,34 @@ def test_ramps_of_bodies_over_tiles(unsent):
         peak = max(ramp[at] for at in body)
         want |= {at: ramp[at] * max(1, 2 / peak) if peak > 1e-6 else 2.0 for at in body}
     assert got.keys() == want.keys() and all(got[at] == pytest.approx(want[at]) for at in want)
+
+
+def test_scan_around_lake_samples(unsent):
+    rng = np.random.default_rng(2)
+    lake, h = np.repeat(np.repeat(rng.integers(0, 3, (SY // 8 + 1, 2)), 8, 0)[:SY], 5, 1)[:, :SX], rng.integers(0, 4, (SY, SX)).astype(float)
+    h[100:110, 3] = np.nan
+    rules = shores.ShoreRules(plane_m=1.0, flat_m=2.0, inset=2, band_m=15.0)
+    cells = unsent.createDataFrame([(r, c, None if np.isnan(h[r, c]) else float(h[r, c]), int(lake[r, c])) for r in range(SY) for c in range(SX)], "row int, col int, h double, lake_id int")
+    got = {(r.row, r.col): (r.inner, r.calm, r.near, r.outer) for r in shores._scan(cells, 5.0, rules).collect()}
+    around = lambda r, c, n: [(r + a, c + b) for a in range(-n, n + 1) for b in range(-n, n + 1) if 0 <= r + a < SY and 0 <= c + b < SX]
+    flat = {(r, c) for r, c in np.ndindex(SY, SX) if not np.isnan(h[r, c]) and np.ptp([h[x] for x in around(r, c, 1) if not np.isnan(h[x])]) <= 2}
+    want = {}
+    for r, c in np.ndindex(SY, SX):
+        if lake[r, c] and not np.isnan(h[r, c]):
+            same = lambda n: sum(lake[x] == lake[r, c] and not np.isnan(h[x]) for x in around(r, c, n))  # noqa: B023, E731
+            calm = any(x in flat and abs(h[x] - h[r, c]) <= 1 for x in around(r, c, 1))
+            near = any(lake[x] != lake[r, c] and (x[0] - r) ** 2 + (x[1] - c) ** 2 <= 9 for x in around(r, c, 3))
+            want[r, c] = (same(2) == 25, calm, near, same(1) < 9)
+    assert got == want
+
+
+def test_shores_send_no_lattice(spark):
+    """Tables of lakes may be broadcast, the lattice may not, however well its files are packed."""
+    cells = spark.range(2600 * 65).select((F.col("id") / 65).cast("int").alias("row"), (F.col("id") % 65).cast("int").alias("col"), (F.col("id") % 7).alias("h"), (F.floor(F.col("id") / 6500) % 3).cast("int").alias("lake_id"))
+    levels = spark.createDataFrame([(1, 4.5), (2, 2.5)], "lake_id int, level double")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "6000000")
+    try:
+        got = shores.split_shores(cells, levels, 2601, 65, 5.0)
+        assert got.select("row", "col").distinct().count() == got.count() == cells.where("lake_id > 0").count()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
