@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
-from tarn.operators.graph import components, jump
-from tarn.operators.tiles import Tile, dealt, links, rim
+from tarn.operators.graph import AT_ONCE, components, jump
+from tarn.operators.tiles import SIDE, Places, Tile, dealt, links, rim
 from tarn.runtime import written
 
 #: Row and column steps of directions 1 to 8; fixed values.
@@ -83,19 +83,20 @@ def _levels(tile: Tile) -> tuple[np.ndarray, np.ndarray]:
     return first, goes_on
 
 
-def _drained(tile: Tile, flow: np.ndarray, first: np.ndarray, todo: np.ndarray) -> None:
-    """Flats of a tile that are ``todo`` (by cell) get their flow: a closed one ends at its first cell, and steps lead outwards in the order of a queue."""
+def _drained(cells: Tile | Places, flow: np.ndarray, first: np.ndarray, todo: np.ndarray) -> None:
+    """Flats that are ``todo`` (by cell) get their flow: a closed one ends at its first cell, and steps lead outwards in the order of a queue."""
     out = np.zeros(len(flow), bool)
     out[first[todo & (flow >= 0)]] = True
     sink = np.flatnonzero(todo & (first == np.arange(len(first))) & ~out)
     flow[sink] = 0
+    # d leads from the receiver to the sender; the sender reaches it by the opposite step.
+    around = [cells.beside(-r, -c).astype(np.int32) for r, c in STEPS]
     # A cell's rank in its round stands for its outlet and the directions from there, which order the queue.
     front = np.flatnonzero(todo & (flow >= 0))
     while len(front):
         cell, order, way = [], [], []
-        for d, (r, c) in enumerate(STEPS, 1):
-            # d leads from the receiver to the sender; the sender reaches it by the opposite step.
-            at = tile.beside(-r, -c)[front]
+        for d, beside in enumerate(around, 1):
+            at = beside[front]
             ok = at >= 0
             ok[ok] = (flow[at[ok]] < 0) & (first[at[ok]] == first[front[ok]])
             cell.append(at[ok]), order.append(np.flatnonzero(ok) * 8 + (d + 3) % 8), way.append(np.full(ok.sum(), d))
@@ -106,12 +107,25 @@ def _drained(tile: Tile, flow: np.ndarray, first: np.ndarray, todo: np.ndarray)
         front = reached[np.argsort(at)]
 
 
+#: Cells of a flat over a tile's edge that is drained in one task, and of the flats that are dealt to one; larger flats take rounds.
+WHOLE, TASK = 1 << 20, 1 << 18
+
+
+def _whole(table: pa.Table) -> pa.Table:
+    """``row, col, code, flow`` of whole flats, named ``comp``."""
+    cells = Places(table)
+    flow = np.asarray(pc.fill_null(cells.table.column("flow").combine_chunks(), -1)).astype(np.int64)
+    _, at, of = np.unique(cells.table.column("comp").to_numpy(), return_index=True, return_inverse=True)
+    _drained(cells, flow, at[of], np.ones(len(flow), bool))
+    return cells.table.select(["row", "col", "code"]).append_column("flow", pa.array(flow.astype(np.int32)))
+
+
 def directions(cells: DataFrame, sy: int, sx: int) -> DataFrame:
     """``row, col, code, flow`` without nulls: cells of a flat lead to its outlets by the fewest steps; a closed flat leads to its first cell.
 
-    Flats within a tile are done there. Those that go on over a tile's edge take one round a step outwards from the outlets, over the
-    cells that were reached last. Among equally near outlets the one of the lowest cell counts, then the directions that led from there:
-    the text of directions grows with the round and orders the cells of a round.
+    Flats within a tile are done there, and those that go on over a tile's edge in a task that holds all of it. Flats of more than ``WHOLE`` cells take one
+    round a step outwards from the outlets, over the cells that were reached last. Among equally near outlets the one of the lowest cell counts, then the
+    directions that led from there: the text of directions grows with the round and orders the cells of a round.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -126,13 +140,23 @@ def directions(cells: DataFrame, sy: int, sx: int) -> DataFrame:
     done = done.where("not wide").select("row", "col", "code", "flow")
     if wide.where("flow is null").isEmpty():
         return done.union(wide.select("row", "col", "code", "flow"))
-    merged = components(links(wide.where(rim()).withColumn("k", F.col("code")), STEPS[2:6])).select(F.col("node").alias("comp"), F.col("comp").alias("whole"))
-    state = wide.join(merged.hint("merge"), "comp", "left").withColumn("comp", F.coalesce("whole", "comp"))
-    closed = state.groupBy("comp").agg(F.max(F.col("flow").isNotNull().cast("int")).alias("out")).where("out = 0").select("comp", F.lit(True).alias("closed"))
+    merged = components(links(wide.where(rim()).withColumn("k", F.col("code")), STEPS[2:6]), AT_ONCE).select(F.col("node").alias("comp"), F.col("comp").alias("whole"))
+    state = written(wide.join(merged.hint("merge"), "comp", "left").withColumn("comp", F.coalesce("whole", "comp")).drop("whole"), "wide")
+    sizes = state.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("flow").isNotNull().cast("int")).alias("out"))
+    large = written(sizes.where(F.col("n") > WHOLE).select("comp", (F.col("out") == 0).alias("closed")), "large")
+    some = not large.isEmpty()
+    whole = state.join(large.hint("merge"), "comp", "left_anti") if some else state
+    part = F.pmod(F.xxhash64("comp"), F.lit(state.count() // TASK + 1))
+    done = done.union(whole.withColumn("part", part).groupBy("part").applyInArrow(_whole, _schema(cells, flow=IntegerType())))
+    return done.union(_by_rounds(state.join(large.hint("merge"), "comp"), sx)) if some else done
+
+
+def _by_rounds(flats: DataFrame, sx: int) -> DataFrame:
+    """``row, col, code, flow`` of flats (``row, col, code, flow, comp, closed``) of any size, a round a step."""
     cell = F.col("row").cast("long") * sx + F.col("col")
-    state = state.join(closed.hint("merge"), "comp", "left").select("row", "col", "code", F.when(F.col("closed") & (cell == F.col("comp")), 0).otherwise(F.col("flow")).alias("flow"), cell.alias("cell"))
-    state = written(state, "wide")
-    done = done.union(state.where("flow is not null").select("row", "col", "code", "flow"))
+    state = flats.select("row", "col", "code", F.when(F.col("closed") & (cell == F.col("comp")), 0).otherwise(F.col("flow")).alias("flow"), cell.alias("cell"))
+    state = written(state, "rounds")
+    done = state.where("flow is not null").select("row", "col", "code", "flow")
     front = state.where("flow is not null").select("row", "col", "code", F.col("cell").alias("seed"), F.lit("").alias("path"))
     rest = state.where("flow is null").select("row", "col", "code")
     while not rest.isEmpty():
@@ -147,17 +171,42 @@ def directions(cells: DataFrame, sy: int, sx: int) -> DataFrame:
     return done
 
 
-def outlets(flow: DataFrame, sx: int) -> DataFrame:
-    """``cell, outlet``: where each cell's way ends."""
-    cell = F.col("row").cast("long") * sx + F.col("col")
-    way = F.array(*(F.lit(r * sx + c) for r, c in STEPS))
-    step = F.when(F.col("flow") > 0, cell + F.get(way, F.col("flow") - 1))
-    return jump(flow.select(cell.alias("node"), step.alias("next"))).select(F.col("node").alias("cell"), F.col("next").alias("outlet"))
+def _ways(tile: Tile, sx: int) -> pa.Table:
+    """Where the ways of a tile's cells end or leave it (``next, ended, cells``; null: a way without end), and the same of each cell along its edge and of the ends of those (``node, next``)."""
+    flow, cell = np.asarray(pc.fill_null(tile.table.column("flow").combine_chunks(), 0)), tile.row * sx + tile.col
+    here = np.arange(len(cell))
+    to, goal, leaves = here.copy(), cell.copy(), np.zeros(len(cell), bool)
+    for d, (r, c) in enumerate(STEPS, 1):
+        at = tile.beside(r, c)
+        k, out = flow == d, (flow == d) & (at < 0)
+        to[k & ~out] = at[k & ~out]
+        goal[out], leaves[out] = goal[out] + (r * sx + c), True
+    last = to == here
+    for _ in range(len(cell).bit_length()):
+        if last[to].all():
+            break
+        to = to[to]
+    lost, n = ~last[to], np.bincount(to, minlength=len(cell))
+    at = np.flatnonzero(n)
+    edge = (tile.row % SIDE == 0) | (tile.row % SIDE == SIDE - 1) | (tile.col % SIDE == 0) | (tile.col % SIDE == SIDE - 1)
+    edge[to[edge & ~lost & ~leaves[to]]] = True
+    edge = np.flatnonzero(edge & ~lost)
+    sums = pa.table({"node": pa.nulls(len(at), pa.int64()), "next": pa.array(goal[at], mask=~last[at]), "ended": ~(last & leaves)[at], "cells": n[at]})
+    return pa.concat_tables([sums, pa.table({"node": cell[edge], "next": goal[to[edge]], "ended": ~leaves[to[edge]], "cells": np.zeros(len(edge), np.int64)})])
 
 
 def catchments(flow: DataFrame, sx: int, cell_area: float = 1.0) -> DataFrame:
-    """``outlet, cells, area`` of each end of the flow."""
-    return outlets(flow, sx).groupBy("outlet").agg(F.count(F.lit(1)).alias("cells"), (F.count(F.lit(1)) * cell_area).alias("area"))
+    """``outlet, cells, area`` of each end of the flow; ways without end have the outlet null.
+
+    A tile follows its own ways; only the cells along tiles' edges are linked to each other.
+    """
+    ways = dealt(flow.select("row", "col", "flow")).applyInArrow(lambda table: _ways(Tile(table), sx), "node long, next long, ended boolean, cells long")
+    ways = written(ways, "ways")
+    ends = jump(ways.where("node is not null").select("node", "next"), AT_ONCE).select(F.col("node").alias("next"), F.col("next").alias("outlet"))
+    sums = ways.where("node is null")
+    beyond = sums.where("not ended").join(ends.hint("merge"), "next", "left").select("outlet", "cells")
+    both = sums.where("ended").select(F.col("next").alias("outlet"), "cells").union(beyond)
+    return both.groupBy("outlet").agg(F.sum("cells").alias("cells")).select("outlet", "cells", (F.col("cells") * cell_area).alias("area"))
 
 
 #: Lattice rows whose pits are numbered in one task.

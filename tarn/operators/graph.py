@@ -5,19 +5,62 @@ Joins of a graph with itself are merged: rounds are small as files and large in
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.runtime import written
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Edges or pointers, of whole numbers, that one task holds well (some 100 MB); more take rounds.
+AT_ONCE = 1 << 20
+
+
+def _joined(table: pa.Table) -> pa.Table:
+    """``node, comp`` of edges ``a, b``: the larger of two roots is hung below the smaller until no edge leads from one to another."""
+    ends = [table.column(c).to_numpy() for c in ("a", "b")]
+    node, at = np.unique(np.concatenate(ends), return_inverse=True)
+    a, b = at[: len(ends[0])], at[len(ends[0]) :]
+    root = np.arange(len(node))
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    return pa.table({"node": node, "comp": node[root]})
+
+
+def _followed(table: pa.Table) -> pa.Table:
+    """``node, next`` of pointers: the ends of all ways, null on cycles; nodes whose way leads out of the table are left out."""
+    node, to = (table.column(c).to_numpy() for c in ("node", "next"))
+    order = np.argsort(node)
+    node, to = node[order], to[order]
+    n = len(node)
+    at = np.minimum(np.searchsorted(node, to), n - 1)
+    at = np.append(np.where(node[at] == to, at, n), n)  # the last stands for what isn't there
+    end = at == np.arange(n + 1)
+    for _ in range(n.bit_length()):
+        if end[at].all():
+            break
+        at = at[at]
+    at = at[:n]
+    there = at < n
+    return pa.table({"node": node[there], "next": pa.array(node[at[there]], mask=~end[at[there]])})
+
+
+def components(edges: DataFrame, at_once: int = 0) -> DataFrame:
     """``node, comp`` of every node of ``edges`` (``a, b``), comp being the smallest node that it is joined to; by star contraction.
 
     A round links the larger neighbours of a node, then the smaller ones, to the smallest of them, and the rounds end when
-    nothing changes. Only a count and a checksum of the edges come to the driver.
+    nothing changes. Only a count and a checksum of the edges come to the driver. Up to ``at_once`` edges (of nodes that are long)
+    are put together in one task instead.
     """
     now = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    if at_once and now.count() <= at_once:
+        return now.groupBy().applyInArrow(_joined, "node long, comp long")
     before = None
     while True:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -33,14 +76,16 @@ def components(edges: DataFrame) -> DataFrame:
     return new.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(new.select(F.col("b"), F.col("b")).distinct())
 
 
-def jump(pointers: DataFrame) -> DataFrame:
+def jump(pointers: DataFrame, at_once: int = 0) -> DataFrame:
     """Follow ``node -> next`` (null or itself: an end) to the end: ``node, next`` with the last node, each round doubling the steps.
 
-    Nodes that run into a cycle have no end and come back with ``next`` null.
+    Nodes that run into a cycle have no end and come back with ``next`` null. Up to ``at_once`` pointers (of nodes that are long) are followed in one task.
     """
     now = written(pointers.select("node", F.coalesce("next", "node").alias("next")), "jump")
     ends = now.where("node = next").select(F.col("node").alias("next"), F.lit(True).alias("ended"))
     steps, most = 1, now.count()
+    if most <= at_once:
+        return now.groupBy().applyInArrow(_followed, "node long, next long")
     while steps <= most and not now.join(ends.hint("merge"), "next", "left_anti").isEmpty():
         two = now.select(F.col("node").alias("next"), F.col("next").alias("then"))
         now = written(now.join(two.hint("merge"), "next").select("node", F.col("then").alias("next")), "jump")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarn.operators import beds, flow, shores, spatial, tiles
+from tarn.operators import beds, flow, graph, shores, spatial, tiles
 
 SY, SX = 2 * tiles.SIDE + 30, 9
 
@@ -160,3 +160,54 @@ def test_shores_send_no_lattice(spark):
         assert got.select("row", "col").distinct().count() == got.count() == cells.where("lake_id > 0").count()
     finally:
         spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+@pytest.mark.parametrize("at_once", [0, 1 << 20])
+def test_catchments_link_only_cells_along_edges(unsent, monkeypatch, at_once):
+    """Ways over three tiles and ways without end: what is followed from tile to tile are cells along edges, not the lattice."""
+    code, followed = np.add.outer(SY - np.arange(SY), np.array([0, 5, 0, 5, 0, 5, 0, 5, 0])), []
+    way = _strict(code)
+    way |= {(255, 4): 5, (256, 4): 1, (100, 4): 5, (101, 4): 1}
+    monkeypatch.setattr(flow, "jump", lambda pointers, *a: followed.append(pointers.count()) or graph.jump(pointers, at_once))
+    rows = unsent.createDataFrame([(r, c, d) for (r, c), d in way.items()], "row int, col int, flow int")
+    want = {}
+    for at in way:
+        seen = 0
+        while at and way[at]:
+            at, seen = (at[0] + flow.STEPS[way[at] - 1][0], at[1] + flow.STEPS[way[at] - 1][1]), seen + 1
+            at = at if seen <= SY else None
+        end = at and at[0] * SX + at[1]
+        want[end] = want.get(end, 0) + 1
+    assert want[None] > 200 and {r.outlet: (r.cells, r.area) for r in flow.catchments(rows, SX, 2.0).collect()} == {k: (n, 2.0 * n) for k, n in want.items()}
+    assert len(followed) == 1 and 0 < followed[0] < SY * SX / 3
+
+
+def test_catchments_take_few_jobs(unsent):
+    """The driver keeps something of each job: flats and ways over tiles' edges take no rounds of the lattice."""
+    _, cells = _lattice(unsent, 4)
+    unsent.sparkContext.setJobGroup("few", "few")
+    try:
+        flow.catchments(flow.directions(cells, SY, SX), SX).collect()
+        assert len(unsent.sparkContext.statusTracker().getJobIdsForGroup("few")) <= 50
+    finally:
+        unsent.sparkContext.setJobGroup("", "")
+
+
+@pytest.mark.parametrize("most", [1, 40])
+def test_large_flats_take_rounds(unsent, monkeypatch, most):
+    monkeypatch.setattr(flow, "WHOLE", most)
+    monkeypatch.setattr(flow, "TASK", 100)
+    code, cells = _lattice(unsent, 4)
+    assert {(r.row, r.col): r.flow for r in flow.directions(cells, SY, SX).collect()} == _queued(code)
+
+
+def test_graphs_at_once(unsent):
+    rng = np.random.default_rng(1)
+    edges = unsent.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(500, 900)], "a long, b long")
+    assert sorted(map(tuple, graph.components(edges, 1000).collect())) == sorted(map(tuple, graph.components(edges).collect()))
+    chain = [(i, i + 1 if i < 400 else None) for i in range(401)] + [(450, 451), (451, 452), (452, 450), (453, 450), (460, 460), (470, 999), (471, 470)]
+    pointers = unsent.createDataFrame(chain, "node long, next long")
+    got = dict(map(tuple, graph.jump(pointers, 1000).collect()))
+    assert got == dict(map(tuple, graph.jump(pointers).collect())) and got[0] == 400 and got[453] is None and 471 not in got
+    none = pointers.where("node < 0")
+    assert graph.jump(none, 1000).count() == 0 and graph.components(none.toDF("a", "b"), 1000).count() == 0
